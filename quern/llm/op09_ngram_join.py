@@ -16,6 +16,10 @@ that connects its linked members. A group over ``BLOCK_ROWS`` members or
 of its own, so no task holds a whole large group. Groups with the same members
 as one in an earlier trie are not shipped again.
 
+Only members of groups are read a second time: a bitmap of their hashed
+identifiers, of at most FILTER_BITS, spares all other texts the shuffle; with
+more members than it can tell apart, a semi-join does.
+
 Texts without words have no links and are their own class. Texts of fewer than
 five words, but not none, are one shingle of all their words. Nulls count as
 empty. An identifier names one text; its
@@ -37,7 +41,7 @@ from .shared import map_batches, text_or_empty, written
 from .words import blocks, mix, utf8
 
 WIDTH, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 10, 6, 0.999
-BLOCK_ROWS, BLOCK_BYTES = 1024, 8 << 20
+BLOCK_ROWS, BLOCK_BYTES, FILTER_BITS = 1024, 8 << 20, 1 << 25
 
 
 def prefix_length(threshold: float, trees: int, depth: int, recall: float) -> int:
@@ -102,11 +106,29 @@ def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     return map_batches(df.select(df[id_col].alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"doc_id {kind}, n long, print_a long, print_b long, keys array<long>")
 
 
-def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH) -> DataFrame:
-    """The identifier, the set's first fingerprint, and its sorted distinct shingles as packed 64-bit integers."""
+def _bitmap(chosen: DataFrame) -> np.ndarray | None:
+    """A bit for each hashed identifier in ``chosen``, at most FILTER_BITS / 8 bytes; None if that is too few to tell rows apart."""
+    n = chosen.count()
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    if n > bits // 4:
+        return None
+    bit = chosen.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit"))
+    words = bit.groupBy(F.expr("bit div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit % 64 AS int)))").alias("bits")).toArrow()
+    out = np.zeros(bits // 64, dtype=np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
+def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, bitmap: np.ndarray | None = None) -> DataFrame:
+    """The identifier, the set's first fingerprint, and its sorted distinct shingles as packed 64-bit integers; only for rows whose bit is set, if there is a bitmap."""
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            if bitmap is not None:
+                bit = batch.column(2).to_numpy() % (64 * len(bitmap))
+                batch = batch.filter(pa.array((bitmap[bit // 64] >> (bit % 64)) & 1 == 1))
+                if not batch.num_rows:
+                    return None
             prints: list[np.ndarray] = []
             packed: list[bytes] = []
             for _, block in blocks(utf8(batch.column(1))):
@@ -119,7 +141,8 @@ def shingle_sets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return step
 
     kind = df.schema[id_col].dataType.simpleString()
-    return map_batches(df.select(df[id_col].alias("doc_id"), text_or_empty(text_col).alias("text")), make, f"{id_col} {kind}, print_a long, shingles binary")
+    rows = df.select(id_col, text_or_empty(text_col).alias("text"), *([F.xxhash64(id_col).alias("hash")] if bitmap is not None else []))
+    return map_batches(rows, make, f"{id_col} {kind}, print_a long, shingles binary")
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -256,10 +279,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         .select("g.tree", "g.bucket", F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK_ROWS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int").alias("chunks"))
     )
     members = written(forest.join(groups, ["tree", "bucket"]).select("rep", "tree", "bucket", "chunks"))
-    chosen = members.select("rep").distinct()
     kind = df.schema[id_col].dataType.simpleString()
-    texts = df.select(df[id_col].alias("rep"), F.col(text_col).alias("text")).join(chosen, "rep", "left_semi")
-    sets = shingle_sets(texts, "rep", width=width).join(reps.select("rep", "print_a", "keys"), ["rep", "print_a"]).dropDuplicates(["rep"]).select("rep", "keys", "shingles")
+    chosen = members.select("rep").distinct()
+    texts = df.select(df[id_col].alias("rep"), F.col(text_col).alias("text"))
+    bits = _bitmap(chosen)
+    if bits is None:
+        texts = texts.join(chosen, "rep", "left_semi")
+    sets = shingle_sets(texts, "rep", width=width, bitmap=bits).join(chosen.join(reps.select("rep", "print_a", "keys"), "rep"), ["rep", "print_a"])
+    sets = sets.dropDuplicates(["rep"]).select("rep", "keys", "shingles")
 
     mine = F.when(F.col("chunks") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     dealt = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))

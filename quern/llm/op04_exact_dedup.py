@@ -28,22 +28,24 @@ from pyspark.sql import functions as F
 HOT_SHARE, HOT_ROWS, PARTS, PREFIX = 1 / 1000, 500, 64, 12
 
 
-def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, normalise: Callable[[Column], Column] | None = None, keep: str = "smallest", parts: int = PARTS) -> DataFrame:
+def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, normalise: Callable[[Column], Column] | None = None, keep: str = "smallest", parts: int = PARTS, passing: list[str] | None = None) -> DataFrame:
     """One row per row of ``df``: doc_id, keep_id, group_size, kept, text_sha256.
 
     ``keep``: which identifier of equal texts stays, the ``smallest`` or the
-    ``largest``. ``normalise``: a column function applied to the text first.
+    ``largest``. ``normalise``: a column function applied to the text first. Each
+    column c in ``passing`` is returned as keep_c.
     """
     if keep not in ("smallest", "largest"):
         raise ValueError("keep must be 'smallest' or 'largest'")
     best = F.max if keep == "largest" else F.min
     text = F.coalesce(df[text_col].cast("string"), F.lit(""))
-    rows = df.select(df[id_col].alias("doc_id"), (normalise(text) if normalise else text).alias("text"))
+    rows = df.select(df[id_col].alias("doc_id"), (normalise(text) if normalise else text).alias("text"), *(df[c].alias(f"keep_{c}") for c in passing or []))
     rows = rows.withColumn("print", F.xxhash64("text"))
 
+    kept_columns = [f"keep_{c}" for c in passing or []]
     total = rows.count()
     hot = [r["print"] for r in rows.groupBy("print").agg(F.count("*").alias("n")).filter(F.col("n") > max(HOT_ROWS, total * HOT_SHARE)).select("print").collect()]
-    columns = ["doc_id", "text", "print", F.substring("text", 1, PREFIX).alias("prefix")]
+    columns = ["doc_id", "text", "print", F.substring("text", 1, PREFIX).alias("prefix"), *kept_columns]
     by = ["prefix", "print"]
     if hot:
         columns.append(F.when(F.col("print").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).otherwise(F.lit(0)).alias("part"))
@@ -61,6 +63,7 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.count(F.lit(1)).over(whole).alias("group_size"),
         F.row_number().over(same).alias("rank"),
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+        *kept_columns,
     )
     if hot:
         # the parts of a hot text: their winners meet by the digest of the text that was compared in full within each part
@@ -73,4 +76,4 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             }
         )
     kept = (F.col("rank") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))
-    return seen.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256")
+    return seen.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", *kept_columns)

@@ -40,3 +40,46 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op09_ngram_join import ngram_join
 
     return ngram_join(documents(spark, sf_dir))
+
+
+BPE_RANKS = "byte_bpe_50k.tiktoken"
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op05_bpe import round_trip_digests
+
+    return round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)
+
+
+def _bucket(id_col: str, n: int):
+    """crc32 of the identifier as text, modulo n: the contracts' folds."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
+
+
+@_query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op06_language import identify, train
+
+    docs = documents(spark, sf_dir)
+    model = train(docs, _bucket("doc_id", 4) != 2)
+    return identify(docs, model).withColumn("held_out", F.coalesce(_bucket("doc_id", 4) == 2, F.lit(False)))
+
+
+@_query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op08_decontaminate import find_contamination
+
+    found = find_contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hits = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        hits.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (hits > 0).alias("contaminated"),
+        F.size("near_items").cast("long").alias("n_near"),
+    )

@@ -83,3 +83,81 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         (hits > 0).alias("contaminated"),
         F.size("near_items").cast("long").alias("n_near"),
     )
+
+
+#: The rules that the url query is judged by.
+URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
+
+
+@_query
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op01_url_filter import filter_urls, parse_rule
+
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), [parse_rule(*r) for r in URL_RULES])
+
+
+ORACLES["op1_url_filter"] = f"""
+WITH parts AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id,
+         translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parts
+), rules(verdict, rule) AS (VALUES {", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)}
+), fits AS (
+  SELECT page_id, verdict, rule, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC) AS place
+  FROM split JOIN rules
+    ON (host = split_part(rule, '/', 1) OR suffix(host, '.' || split_part(rule, '/', 1)))
+   AND starts_with(path, substr(rule, strpos(rule, '/')))
+)
+SELECT s.page_id, s.host, s.path, f.rule, coalesce(f.verdict, 'allow') AS verdict
+FROM split s LEFT JOIN fits f ON f.page_id = s.page_id AND f.place = 1
+"""
+
+
+@_query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op02_pii import BASE_KINDS, find_personal_data
+
+    found = find_personal_data(documents(spark, sf_dir))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return found.select("doc_id", *(count(k) for k in BASE_KINDS), F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"), count("url"), count("account"))
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@_query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op03_token_count import count_tokens
+
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
+@_query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op07_toxicity import score_texts, train
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = train(docs, labels, _bucket("id", 5) != 0)
+    return score_texts(docs, model).withColumn("held_out", F.coalesce(_bucket("doc_id", 5) == 0, F.lit(False)))
+
+
+@_query
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_chat import format_chats
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return format_chats(conversations, mark=F.col("role"))
+
+
+ORACLES["op10_chat_format"] = """
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, text,
+       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered
+FROM conversations
+"""

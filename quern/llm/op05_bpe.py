@@ -20,7 +20,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
+from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,8 +32,8 @@ from pyspark.sql import DataFrame
 from .shared import map_batches, text_or_empty
 from .words import utf8
 
-#: Characters split at once, characters that a match may look past its end, pieces and bytes a piece that the cache keeps.
-SPLIT_CHARS, LOOKAHEAD, CACHE_PIECES, CACHE_BYTES = 1 << 19, 3, 200_000, 64
+#: Characters split at once, characters that a match may look past its end, pieces and bytes a piece that the cache keeps, and pairs of tokens.
+SPLIT_CHARS, LOOKAHEAD, CACHE_PIECES, CACHE_BYTES, CACHE_PAIRS = 1 << 19, 3, 200_000, 64, 300_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,7 +42,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Tokens with their ranks, and which two tokens may be neighbours."""
+    """Tokens with their ranks, an automaton that finds them, and which two tokens may be neighbours."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -47,33 +50,62 @@ class Vocabulary:
         if missing := [b for b in range(256) if bytes([b]) not in ranks]:
             raise ValueError(f"no token for the bytes {missing}")
         self.longest = max(map(len, ranks))
-        self._fits: dict[tuple[int, int], bool] = {}
-        self._own: dict[int, bool] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """Encoding by the definition: merge the neighbours of lowest rank, leftmost first. For short strings."""
+        self.machine = ahocorasick.Automaton()
+        for token, rank in ranks.items():  # bytes as the characters of the same numbers
+            self.machine.add_word(token.decode("latin-1"), (len(token), rank))
+        self.machine.make_automaton()
+        self.known: dict[int, bool] = {}
+        self._halves: dict[int, tuple[int, int] | None] = {}
+
+    def merge(self, data: bytes, below: int = 1 << 62) -> list[int]:
+        """Encoding by the definition: merge the neighbours of lowest rank, leftmost first. Only ranks under ``below`` count."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             rank, at = min((self.ranks.get(a + b, 1 << 62), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-            if rank == 1 << 62:
+            if rank >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[x] for x in parts]
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge makes this one; None for a byte, and for a token that merges never make."""
+        if token not in self._halves:
+            before = self.merge(self.tokens[token], token)
+            self._halves[token] = (before[0], before[1]) if len(before) == 2 else None
+        return self._halves[token]
+
     def alone(self, token: int) -> bool:
         """Whether merging the token's own bytes gives the token."""
-        if (known := self._own.get(token)) is None:
-            known = self._own[token] = self.merge(self.tokens[token]) == [token]
-        return known
+        return len(self.tokens[token]) == 1 or self.halves(token) is not None
 
     def fit(self, left: int, right: int) -> bool:
         """Whether the two tokens' bytes are encoded as just these two."""
-        if (known := self._fits.get((left, right))) is None:
-            if len(self._fits) > 1_000_000:
-                self._fits.clear()
-            known = self._fits[left, right] = self.merge(self.tokens[left] + self.tokens[right]) == [left, right]
+        key = left << 32 | right
+        known = self.known.get(key)
+        if known is None:
+            if len(self.known) >= CACHE_PAIRS:
+                self.known.clear()
+            known = self.known[key] = self._apart(left, right)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        """Undo the two tokens' merges, the latest first, and ask each time whether a merge across the border would have come before it."""
+        ranks, tokens = self.ranks, self.tokens
+        if not (self.alone(left) and self.alone(right)):
+            return False
+        limit = 1 << 62  # ranks under this may still merge across the border
+        while True:
+            across = ranks.get(tokens[left] + tokens[right])
+            if across is not None and across < limit:
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                left, limit = a[1], left  # at the same rank the merge further left goes first: the one inside ``left``'s place
+            else:
+                right, limit = b[0], right + 1  # and here the border is further left than the merge inside
+
 
 class PrefixTable:
     """The last token of each prefix of one piece."""
@@ -83,15 +115,25 @@ class PrefixTable:
         self.append(data)
 
     def append(self, more: bytes) -> None:
-        ranks, fit, last = self.vocabulary.ranks, self.vocabulary.fit, self.last
+        vocabulary, last = self.vocabulary, self.last
+        known, fit, alone = vocabulary.known.get, vocabulary.fit, vocabulary.alone
+        begin = max(0, len(last) - vocabulary.longest + 1)
         self.data += more
-        for end in range(len(last) + 1, len(self.data) + 1):
-            tail = bytes(self.data[max(0, end - self.vocabulary.longest) : end])
-            for size in range(len(tail), 0, -1):
-                token = ranks.get(tail[len(tail) - size :])
-                if token is not None and (fit(last[end - size - 1], token) if end > size else self.vocabulary.alone(token)):
+        done = len(last) - begin
+        # tokens that end at each place, the longest first; just one of them fits what is before it
+        for at, (size, token) in vocabulary.machine.iter(self.data[begin:].decode("latin-1")):
+            if at == done:
+                before = begin + at - size
+                if before >= 0:
+                    left = last[before]
+                    fits = known(left << 32 | token)
+                    if fits is None:
+                        fits = fit(left, token)
+                else:
+                    fits = alone(token)
+                if fits:
                     last.append(token)
-                    break
+                    done += 1
 
     def truncate(self, size: int) -> None:
         del self.data[size:], self.last[size:]
@@ -135,7 +177,8 @@ class Encoder:
 
     def encode_piece(self, piece: str) -> bytes:
         """The piece's ids as little-endian unsigned 32-bit integers."""
-        return np.array(PrefixTable(self.vocabulary, piece.encode()).tokens(), dtype="<u4").tobytes()
+        ids = PrefixTable(self.vocabulary, piece.encode()).tokens()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_parts(self, text: str):
         """Packed ids, window by window."""
@@ -153,21 +196,30 @@ class Encoder:
 
 
 class _Cache(dict):
-    """Packed ids of short pieces, forgotten together when there are too many."""
+    """Packed ids of short pieces: the young generation, with the one before it, so that pieces in use stay while old ones go."""
 
     def __init__(self, encoder: Encoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.old = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.encoder.encode_piece(piece)
+        packed = self.old.get(piece)
+        if packed is None:
+            packed = self.encoder.encode_piece(piece)
         if len(piece) <= CACHE_BYTES:
             if len(self) >= CACHE_PIECES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = packed
         return packed
 
 
+@lru_cache(2)
+def encoder_of(ranks_path: str, pattern: str) -> Encoder:
+    """An encoder that the tasks of one worker share, with what it has cached."""
+    return Encoder(read_ranks(ranks_path), pattern)
+
+
 class EditableText:
     """A text with its pieces and their prefix tables, kept exact under appends and edits."""
 
@@ -220,7 +272,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        encoder = Encoder(read_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids = [np.frombuffer(b"".join(encoder.encode_parts(t.decode())), dtype="<i4") for t in utf8(batch.column(1))]
@@ -237,7 +289,7 @@ def decode_documents(df: DataFrame, ranks_path: str, pattern: str, id_col: str =
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        encoder = Encoder(read_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = [encoder.decode_bytes(np.array(x or [], dtype="<u4").tobytes()) for x in batch.column(1).to_pylist()]
@@ -253,7 +305,7 @@ def round_trip_digests(df: DataFrame, ranks_path: str, pattern: str, id_col: str
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        encoder = Encoder(read_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             count, ids, decoded = [], [], []

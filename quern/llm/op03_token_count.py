@@ -23,6 +23,7 @@ one, whole, at any length; ties, repeated rows and other columns do no harm.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -58,6 +59,7 @@ class TokenCounter:
         self.covered = frozenset(p for p, _ in scored if len(p) == 1)
         self.byte_fallback = byte_fallback
         self._cache: dict[str, int] = {}
+        self._old: dict[str, int] = {}
 
     def count_word(self, word: str) -> int:
         """Tokens of one pre-token."""
@@ -98,21 +100,30 @@ class TokenCounter:
             for rest in (window[1:] if window[0] == SPACE else window).split(SPACE):
                 n = cache.get(rest)
                 if n is None:
-                    n = self.count_word(SPACE + rest)
+                    n = self._old.get(rest)
+                    if n is None:
+                        n = self.count_word(SPACE + rest)
                     if len(rest) <= CACHE_CHARS:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
+                        if len(cache) >= CACHE_WORDS:  # words in use come back from the generation before
+                            self._cache, self._old = {}, cache
+                            cache = self._cache
                         cache[rest] = n
                 total += n
         return total
 
 
+@lru_cache(2)
+def counter_of(model_path: str, byte_fallback: bool) -> TokenCounter:
+    """A counter that the tasks of one worker share, with what it has cached."""
+    return TokenCounter(zipf_scores(read_pieces(model_path)), byte_fallback=byte_fallback)
+
+
 def count_tokens(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", *, byte_fallback: bool = True) -> DataFrame:
     """One row per row of ``df``: doc_id, n_tokens. ``model_path`` is read by each task, so it must be there on every machine."""
     kind = df.schema[id_col].dataType.simpleString()
 
     def make():
-        counter = TokenCounter(zipf_scores(read_pieces(model_path)), byte_fallback=byte_fallback)
+        counter = counter_of(model_path, byte_fallback)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array([counter.count(t) for t in batch.column(1).to_pylist()], pa.int64())], names=["doc_id", "n_tokens"])

@@ -36,7 +36,7 @@ from .shared import map_batches, text_or_empty
 from .words import blocks, mix, utf8
 
 TOXIC_ROWS, UNLABELLED_ROWS, TEXT_BYTES = 2000, 6000, 64_000
-BUCKET_BITS, BEGINNING, EPOCHS, BATCH, RATE = 18, 5, 8, 128, 0.3
+BUCKET_BITS, BEGINNING, EPOCHS, BATCH, RATE, SEEN, STEPS = 18, 5, 8, 128, 0.3, 1e-5, 400
 
 
 def word_buckets(block) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +70,7 @@ def _batches(toxic: np.ndarray, rng: np.random.Generator, epochs: int):
     """Batches that hold both kinds in the sample's shares."""
     n = max(1, len(toxic) // BATCH)
     kinds = [np.flatnonzero(toxic), np.flatnonzero(~toxic)]
-    for _ in range(epochs):
+    for _ in range(max(epochs, STEPS // n)):
         for parts in zip(*(np.array_split(rng.permutation(k), n) for k in kinds), strict=True):
             if len(parts[0]) and len(parts[1]):
                 yield np.concatenate(parts)
@@ -125,7 +125,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 1) -> T
         for a, b in zip(block.first[:-1], block.first[1:], strict=True):
             bucket, times = np.unique(np.concatenate((whole[a:b], begin[a:b])), return_counts=True)
             rows.append((bucket, (times / np.sqrt(max(1, b - a))).astype(np.float32)))
-    weights, seen, bias, bias_seen = np.zeros(1 << BUCKET_BITS, np.float32), np.full(1 << BUCKET_BITS, 1e-8, np.float32), 0.0, 1e-8
+    # only words of several confirmed texts can tell: with few texts, each has words that no other has
+    having = np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(toxic)]), minlength=1 << BUCKET_BITS)
+    telling = having >= min(3, max(1, int(toxic.sum()) // 4))
+    rows = [(b[telling[b]], v[telling[b]]) for b, v in rows]
+    weights, seen, bias, bias_seen = np.zeros(1 << BUCKET_BITS, np.float32), np.full(1 << BUCKET_BITS, SEEN, np.float32), 0.0, SEEN
     for chosen in _batches(toxic, rng, EPOCHS):
         bucket = np.concatenate([rows[i][0] for i in chosen])
         value = np.concatenate([rows[i][1] for i in chosen])

@@ -33,9 +33,12 @@ def records(seed: DataFrame, kind: str) -> DataFrame:
     return seed.filter(F.col("kind") == kind).select("record.*")
 
 
-def numbered(df: DataFrame, *order: Column | str, to: str = "id") -> DataFrame:
-    """Identifiers 1, 2, … in a stable order. For parent tables only: it orders in one task."""
-    return df.withColumn(to, F.row_number().over(Window.orderBy(*order)).cast("long"))
+def numbered(df: DataFrame, *keys: str, to: str = "id") -> DataFrame:
+    """Identifiers 1, 2, … in order of the natural key. One task orders the keys, which are short; texts stay where they are."""
+    order = df.select(*keys).distinct().withColumn(to, F.row_number().over(Window.orderBy(*keys)).cast("long"))
+    own = order.select(*(F.col(k).alias(f"_{k}") for k in keys), to)
+    same = [df[k].eqNullSafe(own[f"_{k}"]) for k in keys]
+    return df.join(own, same).drop(*(f"_{k}" for k in keys))
 
 
 def child_ids(df: DataFrame, parent: str, place: str, stride: int = 1 << 20) -> Column:
@@ -196,9 +199,13 @@ def record_counts(corpora: Corpora) -> DataFrame:
     return rows[0].union(rows[1]).union(rows[2])
 
 
-def manifest(corpora: Corpora, built_at: str, stamp: str, sources: list[str], seed_dir: str) -> str:
-    """The manifest as JSON; corpora without records are left out."""
+def manifest(corpora: Corpora, built_at: str, stamp: str, sources: list[str], seed_dir: str, folder: str | None = None) -> str:
+    """The manifest as JSON; corpora without records are left out. With the built ``folder``, each corpus has one digest over its files' digests."""
     counts = {r["corpus"]: {"records": r["records"], "passages": r["passages"]} for r in record_counts(corpora).collect() if r["records"]}
+    for corpus in counts if folder else ():
+        files = file_checksums(corpora["statutes"].sparkSession, f"{folder}/{corpus}").filter(F.col("file").endswith(".parquet"))
+        digest = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), "").cast("binary"), 256).alias("d")).first()["d"]  # a digest for each file
+        counts[corpus] |= {"file": corpus, "sha256": digest}
     return json.dumps({"schemaVersion": 1, "version": stamp, "builtAt": built_at, "corpora": counts, "sources": sources, "seedDir": seed_dir}, indent=2)
 
 

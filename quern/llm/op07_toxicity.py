@@ -167,13 +167,14 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 1) -> T
     return model
 
 
-def _sample(rows: DataFrame, most: int) -> list[bytes]:
-    """At most ``most`` texts of rows (id, text), by a hash of the identifier."""
-    short = rows.filter(F.octet_length("text") <= TEXT_BYTES)
-    n = short.count()
+def _sample(texts: DataFrame, ids: DataFrame, most: int) -> list[bytes]:
+    """At most ``most`` of the texts (id, text) that have one of ``ids`` (id), by a hash of the identifier. Identifiers are chosen first; no other text is shuffled."""
+    n = ids.count()
     dice = F.xxhash64(F.col("id").cast("string"), F.lit(7))
-    thin = short.withColumn("dice", dice).filter(F.pmod("dice", F.lit(1 << 30)) / float(1 << 30) * n < 2 * most + 100)
-    return [r["text"].encode() for r in thin.orderBy("dice", "id", "text").limit(most).collect()]
+    thin = ids.withColumn("dice", dice).filter(F.pmod("dice", F.lit(1 << 30)) / float(1 << 30) * n < 2 * most + 100)
+    chosen = thin.orderBy("dice", "id").limit(most)
+    rows = texts.join(F.broadcast(chosen), "id").orderBy("dice", "id", "text").limit(most)  # at most ``most`` short rows
+    return [r["text"].encode() for r in rows.collect()]
 
 
 def train(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, prior: float | None = None) -> ToxicityModel | None:
@@ -181,12 +182,12 @@ def train(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "do
     confirmed = labels.select(labels[label_id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).filter(learnable & F.col("toxic").isNotNull()).groupBy("id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = confirmed.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    texts = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).filter(learnable)
-    toxic_ids = confirmed.filter("toxic = 1").select("id")
-    toxic = _sample(texts.join(toxic_ids, "id", "left_semi"), TOXIC_ROWS)
+    texts = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).filter(learnable).filter(F.octet_length("text") <= TEXT_BYTES)
+    toxic_ids, ids = confirmed.filter("toxic = 1").select("id"), texts.select("id")
+    toxic = _sample(texts, ids.join(toxic_ids, "id", "left_semi"), TOXIC_ROWS)
     if not toxic:
         return None
-    other = _sample(texts.join(toxic_ids, "id", "left_anti"), UNLABELLED_ROWS)
+    other = _sample(texts, ids.join(toxic_ids, "id", "left_anti"), UNLABELLED_ROWS)
     return fit(toxic + other, np.arange(len(toxic) + len(other)) < len(toxic), min(max(prior, 0.001), 0.9))
 
 

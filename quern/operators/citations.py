@@ -109,9 +109,12 @@ def extract_citations(df: DataFrame, text_col: str = "text", *, max_spans: int =
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.concat(*(_found(k, text) for k in ORDER))
     spans = F.filter(spans, lambda s: (s["priority"] != ORDER.index("provision")) | s["statute_title"].isNotNull())
-    raws = F.transform(F.col("_spans"), lambda z: z["raw"])
-    rows = df.withColumn("_spans", spans).withColumn("_first", F.filter("_spans", lambda s, i: F.array_position(raws, s["raw"]) == i + 1))
-    out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(F.slice("_first", 1, max_spans)).alias("place", "span"))
+    # equal raw texts side by side, the first of each kept: n log n however often a text cites
+    by_raw = F.array_sort(F.transform(spans, lambda s: F.struct(s["raw"].alias("raw"), s["priority"].alias("priority"), s["position"].alias("position"), s.alias("span"))))
+    rows = df.withColumn("_spans", by_raw)
+    first = F.filter("_spans", lambda s, i: (i == 0) | (F.get(F.col("_spans"), i - 1)["raw"] != s["raw"]))
+    found = F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["priority"].alias("priority"), s["position"].alias("position"), s["span"].alias("span")))), lambda s: s["span"])
+    out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(F.slice(found, 1, max_spans)).alias("place", "span"))
     return out.select(*(c for c in df.columns if c != text_col), "place", "span.kind", "span.raw", "span.case_citation", "span.act_number", "span.statute_title", "span.provision_no")
 
 

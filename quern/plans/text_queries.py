@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import content_hash, first_iso_date, leading_int, normalise_whitespace
+from quern.functions.text import ascii_upper, content_hash, first_iso_date, leading_int, normalise_whitespace
 from quern.operators import evaluate, search, segment
 from quern.sources import html, ingest, robots
 
@@ -255,7 +255,7 @@ def catalogue_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("place").alias("page_id"), F.col("source_url").alias("url"))
 
 
-_ANSWER = "CASE WHEN doc_id % 3 = 0 THEN split_part(text, ' ', 2) WHEN doc_id % 3 = 1 THEN '  ' || upper(split_part(text, ' ', 3)) || ' ' || split_part(text, ' ', 4) ELSE CAST(n_chars AS VARCHAR) END"
+_ANSWER = "CASE WHEN doc_id % 3 = 0 THEN split_part(text, ' ', 2) WHEN doc_id % 3 = 1 THEN '  ' || translate(split_part(text, ' ', 3), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' || split_part(text, ' ', 4) ELSE CAST(n_chars AS VARCHAR) END"
 _NORMAL = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 
 
@@ -269,7 +269,7 @@ SELECT doc_id, CASE WHEN needle = '' THEN false WHEN length(needle) >= 8 THEN co
 def answers_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
-    answer = F.when(F.col("doc_id") % 3 == 0, word(2)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), F.upper(word(3)), F.lit(" "), word(4))).otherwise(F.col("n_chars").cast("string"))
+    answer = F.when(F.col("doc_id") % 3 == 0, word(2)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  "), ascii_upper(word(3)), F.lit(" "), word(4))).otherwise(F.col("n_chars").cast("string"))
     return docs.select("doc_id", evaluate.answer_matches(F.col("text"), answer).alias("matched"))
 
 

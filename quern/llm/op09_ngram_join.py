@@ -229,28 +229,29 @@ def _verify(threshold: float):
         return [(members[k][0], int(degree[k]), members[centre[k]][0]) for k in np.flatnonzero(degree)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, out, kind = None, [], [], None
 
         def flush():
             if key is not None and len(rows) > 1:
                 out.extend(group(key[0], key[2] == key[3], rows))
 
         for batch in batches:
+            kind = batch.column(0).type
             for rep, tree, bucket, lo, hi, mine, keys, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != (tree, bucket, lo, hi):
                     flush()
                     key, rows = (tree, bucket, lo, hi), []
                 rows.append((rep, keys, np.frombuffer(packed, dtype=np.uint64), mine == lo))
             if len(out) > 10_000:
-                yield _linked(out)
+                yield _linked(out, kind)
                 out = []
         flush()
         if out:
-            yield _linked(out)
+            yield _linked(out, kind)
 
-    def _linked(out: list[tuple]) -> pa.RecordBatch:
+    def _linked(out: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
         rep, degree, centre = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(degree, pa.int64()), pa.array(centre)], names=["rep", "degree", "centre"])
+        return pa.RecordBatch.from_arrays([pa.array(rep, kind), pa.array(degree, pa.int64()), pa.array(centre, kind)], names=["rep", "degree", "centre"])
 
     return run
 

@@ -122,6 +122,10 @@ def test_join_edges(spark):
     df = spark.createDataFrame([(1, "a b c d e"), (1, "a b c d e"), (2, None)], "doc_id long, text string")
     assert sorted((r["doc_id"], r["class_id"], r["n_copies"]) for r in near.ngram_join(df).collect()) == [(1, 1, 2), (1, 1, 2), (2, 2, 1)]
     assert near.ngram_join(df.filter("false")).isEmpty()
+    words = " ".join(f"w{k}" for k in range(60))
+    for kind in ("int", "string"):
+        pair = spark.createDataFrame([("5", words), ("6", words + " end")], "doc_id string, text string").select(F.col("doc_id").cast(kind), "text")
+        assert {(str(r["class_id"]), r["n_links"]) for r in near.ngram_join(pair).collect()} == {("5", 1)}
     assert near.prefix_length(0.8, 10, 6, 0.999) == 3
     with pytest.raises(ValueError):
         near.prefix_length(0.1, 2, 6, 0.999)

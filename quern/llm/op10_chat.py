@@ -8,15 +8,19 @@ marked line the speaker may change; elsewhere he goes on. Viterbi recovers the
 most likely roles of a whole conversation, and each run of lines of one role in
 a row is rendered as one canonical turn.
 
-A conversation may be of any length: it is cut into segments of ``SEGMENT``
-turn numbers, dealt to tasks by (conversation, segment). For each segment a
-first pass gives the best score from each role before it to each role at its
-end; a second pass joins these small tables in order; a third decodes each
-segment between its two fixed roles. That is exact Viterbi, and no task ever
-holds a conversation's text. Lines of one turn number stay together.
+A conversation may be of any length: its rows are range-partitioned and sorted
+by their total order, and each partition's share of it (a part) is cut after
+every ``SEGMENT`` rows or ``SEGMENT_CHARS`` characters, whatever their turn
+numbers. A first pass gives for each segment the best score from each role before
+it to each role at its end. These small tables are composed ``FAN`` at a time,
+level by level, until each part has one; then roles are fixed level by level
+downwards, and a last pass decodes each segment between its two roles. That is
+exact Viterbi. No task holds more of a conversation than a segment's text, or
+``FAN`` tables, or one table of each part.
 
 A null text is one empty line. A null turn comes first. Rows of one turn are
-taken in order of marker, then text; repeated rows are turns of their own. Rows
+taken in order of marker, then text (of texts with ``PREFIX`` equal characters,
+their fingerprint); repeated rows are turns of their own. Rows
 with a null conversation form one conversation. An unknown marker counts as
 none. Other columns are not read; an empty table gives an empty result.
 """
@@ -26,14 +30,20 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches, written
+
 ROLES = ("system", "user", "assistant")
-SEGMENT = 64
+SEGMENT, SEGMENT_CHARS, FAN = 64, 1 << 20, 256
+#: So many characters of a text are in the sampled splitters; rows with more in common are told apart by a fingerprint.
+PREFIX = 256
 
 #: Names that speakers go by.
 NAMES = {
@@ -112,7 +122,7 @@ def decode(emission: np.ndarray, turns: np.ndarray, entry: int, leave: int) -> l
 def _segments(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: int) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows of sorted batches by their first ``keys`` columns."""
     key, rows = None, []
-    for batch in batches:
+    for batch in small_batches(batches):
         for row in batch.to_pylist():
             own = tuple(row[n] for n in names[:keys])
             if own != key:
@@ -124,13 +134,54 @@ def _segments(batches: Iterator[pa.RecordBatch], names: tuple[str, ...], keys: i
         yield key, rows
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First pass: of each segment its 9 scores as the first of a conversation, and 9 as a later one."""
+_CUT = "conv string, part int, segment long, place int, turn long, mark string, text string, begin array<double>, later array<double>"
+_CUT_TYPES = (("conv", pa.string()), ("part", pa.int32()), ("segment", pa.int64()), ("place", pa.int32()), ("turn", pa.int64()), ("mark", pa.string()), ("text", pa.string()), ("begin", pa.list_(pa.float64())), ("later", pa.list_(pa.float64())))
+_TABLE = (("conv", pa.string()), ("part", pa.int32()), ("segment", pa.int64()), ("begin", pa.list_(pa.float64())), ("later", pa.list_(pa.float64())))
+_ENDS = (("conv", pa.string()), ("part", pa.int32()), ("segment", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()))
+
+
+def _batch(rows: list[tuple], schema: tuple) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+
+
+def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """First pass, over a range of sorted rows: the rows with their segments, and after each segment a row (place -1) of its 9 scores as the first of a conversation, and 9 as a later one."""
+    part, out, held = TaskContext.get().partitionId(), [], 0
+    conv, segment, seen, chars = None, 0, [], 0
+
+    def table() -> tuple:
+        emission, turns = np.concatenate([p[0] for p in seen]), np.concatenate([p[1] for p in seen])
+        return (conv, part, segment, -1, None, None, None, transfer(emission, turns, True)[0].tolist(), transfer(emission, turns, False).ravel().tolist())
+
+    for batch in small_batches(batches):
+        for row in batch.to_pylist():
+            if seen and (row["conv"] != conv or len(seen) == size or chars >= SEGMENT_CHARS):
+                out.append(table())
+                segment, seen, chars = segment + 1, [], 0
+            if row["conv"] != conv:
+                conv, segment = row["conv"], 0
+            out.append((conv, part, segment, len(seen), row["turn"], row["mark"], row["text"], None, None))
+            seen.append(observe(row["text"], row["mark"])[:2])
+            chars += len(row["text"] or "")
+            held += len(row["text"] or "")
+            if len(out) >= 2000 or held >= 4 << 20:
+                yield _batch(out, _CUT_TYPES)
+                out, held = [], 0
+    if seen:
+        out.append(table())
+    if out:
+        yield _batch(out, _CUT_TYPES)
+
+
+def _compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tables of each block of segments as one."""
     out = []
-    for (conv, segment), rows in _segments(batches, ("conv", "segment"), 2):
-        parts = [observe(r["text"], r["mark"]) for r in rows]
-        emission, turns = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        out.append((conv, segment, transfer(emission, turns, True)[0].tolist(), transfer(emission, turns, False).ravel().tolist()))
+    for (conv, part, block), rows in _segments(batches, ("conv", "part", "block"), 3):
+        begin, later = np.array(rows[0]["begin"]), np.array(rows[0]["later"]).reshape(3, 3)
+        for row in rows[1:]:
+            step = np.array(row["later"]).reshape(3, 3)
+            begin, later = (begin[:, None] + step).max(axis=0), (later[:, :, None] + step).max(axis=1)
+        out.append((conv, part, block, begin.tolist(), later.ravel().tolist()))
         if len(out) == 5000:
             yield _batch(out, _TABLE)
             out = []
@@ -138,28 +189,37 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, _TABLE)
 
 
-_TABLE = (("conv", pa.string()), ("segment", pa.int64()), ("begin", pa.list_(pa.float64())), ("later", pa.list_(pa.float64())))
-_ENDS = (("conv", pa.string()), ("segment", pa.int64()), ("entry", pa.int32()), ("leave", pa.int32()))
+def _through(rows: list[dict], entry: int, leave: int | None) -> list[tuple]:
+    """Of each table the role before it and at its end, on the best way from the role before all (-1: none) to the last one's (None: the best)."""
+    score, back = np.array(rows[0]["begin"]) if entry < 0 else np.array(rows[0]["later"]).reshape(3, 3)[entry], []
+    for row in rows[1:]:
+        step = score[:, None] + np.array(row["later"]).reshape(3, 3)
+        back.append(step.argmax(axis=0).tolist())
+        score = step.max(axis=0)
+    ends = [int(score.argmax()) if leave is None else leave]
+    for b in reversed(back):
+        ends.append(b[ends[-1]])
+    ends = ends[::-1]
+    return [(row["conv"], row["part"], row["segment"], before, at) for row, before, at in zip(rows, [entry, *ends], ends, strict=False)]
 
 
-def _batch(rows: list[tuple], schema: tuple) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
+def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second pass, at the top: of each part of a conversation the role before it (-1: none) and at its end."""
+    out = []
+    for _, rows in _segments(batches, ("conv",), 1):
+        out += _through(rows, -1, None)
+        if len(out) > 5000:
+            yield _batch(out, _ENDS)
+            out = []
+    if out:
+        yield _batch(out, _ENDS)
 
 
-def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Second pass: of each segment the role before it (-1: none) and at its end."""
+def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Second pass, a level down: tables of a block, after the row that holds its two roles."""
     out = []
-    for (conv,), rows in _segments(batches, ("conv",), 1):
-        score, back = np.array(rows[0]["begin"]), []
-        for row in rows[1:]:
-            step = score[:, None] + np.array(row["later"]).reshape(3, 3)
-            back.append(step.argmax(axis=0).tolist())
-            score = step.max(axis=0)
-        ends = [int(score.argmax())]
-        for b in reversed(back):
-            ends.append(b[ends[-1]])
-        ends = ends[::-1]
-        out += [(conv, row["segment"], before, at) for row, before, at in zip(rows, [-1, *ends], ends, strict=False)]
+    for _, rows in _segments(batches, ("conv", "part", "block"), 3):
+        out += _through(rows[1:], rows[0]["entry"], rows[0]["leave"])
         if len(out) > 5000:
             yield _batch(out, _ENDS)
             out = []
@@ -167,6 +227,24 @@ def _stitch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, _ENDS)
 
 
+def _ends(tables: DataFrame, fan: int) -> DataFrame:
+    """Of each segment the role before it (-1: none) and at its end: composed upwards to one table a part, then decided downwards."""
+    largest = tables.agg(F.max("segment")).first()[0] or 0
+    levels, ends_schema = [tables], "conv string, part int, segment long, entry int, leave int"
+    while largest > 0:
+        blocks = levels[-1].withColumn("block", F.floor(F.col("segment") / fan).cast("long"))
+        blocks = blocks.repartition("conv", "part", "block").sortWithinPartitions("conv", "part", "block", "segment")
+        levels.append(blocks.mapInArrow(_compose, "conv string, part int, segment long, begin array<double>, later array<double>"))
+        largest //= fan
+    ends = levels.pop().repartition("conv").sortWithinPartitions("conv", "part", "segment").mapInArrow(_stitch, ends_schema)
+    for level in reversed(levels):
+        below = level.withColumns({"block": F.floor(F.col("segment") / fan).cast("long"), "kind": F.lit(1)})
+        above = ends.withColumnRenamed("segment", "block").withColumn("kind", F.lit(0))
+        both = below.unionByName(above, allowMissingColumns=True).repartition("conv", "part", "block")
+        ends = both.sortWithinPartitions("conv", "part", "block", "kind", "segment").mapInArrow(_descend, ends_schema)
+    return ends
+
+
 def render(role: str, text: str) -> str:
     return f"<|{role}|>\n{text}\n<|end|>\n"
 
@@ -177,7 +255,7 @@ _TURNS = (("conv", pa.string()), ("turn", pa.int64()), ("part", pa.int32()), ("r
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Third pass: rows of a segment, after the one that holds its two roles."""
     out = []
-    for (conv, _), rows in _segments(batches, ("conv", "segment"), 2):
+    for (conv, _, _), rows in _segments(batches, ("conv", "part", "segment"), 3):
         ends, rows = rows[0], rows[1:]
         parts = [observe(r["text"], r["mark"]) for r in rows]
         roles = decode(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), ends["entry"], ends["leave"])
@@ -200,19 +278,23 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", mark: Column | None = None) -> DataFrame:
     """One row per recovered turn: conv_id, turn, part (of the row), role, text, rendered. ``mark``: a column with the speaker's name, if there is one."""
-    conv, turn = df[conv_col], df[turn_col].cast("long")
+    conv, text = df[conv_col], df[text_col].cast("string")
     rows = df.select(
         F.when(conv.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), conv.cast("string"))).alias("conv"),
-        F.coalesce(F.floor(turn / SEGMENT), F.lit(-(1 << 62))).cast("long").alias("segment"),
-        turn.alias("turn"),
+        df[turn_col].cast("long").alias("turn"),
         (mark if mark is not None else F.lit(None)).cast("string").alias("mark"),
-        df[text_col].cast("string").alias("text"),
+        text.alias("text"),
+        F.substring(text, 1, PREFIX).alias("prefix"),
+        F.xxhash64(text).alias("print"),
+        F.monotonically_increasing_id().alias("copy"),  # deals out repeated rows
     )
-    order = ["conv", "segment", "turn", "mark", "text"]
-    tables = rows.repartition("conv", "segment").sortWithinPartitions(*order).mapInArrow(_tables, "conv string, segment long, begin array<double>, later array<double>")
-    ends = tables.repartition("conv").sortWithinPartitions("conv", "segment").mapInArrow(_stitch, "conv string, segment long, entry int, leave int")
-    both = rows.withColumn("kind", F.lit(1)).unionByName(ends.withColumn("kind", F.lit(0)), allowMissingColumns=True)
-    both = both.repartition("conv", "segment").sortWithinPartitions("conv", "segment", "kind", "turn", "mark", "text")
+    order = ["conv", "turn", "mark", "prefix", "print"]
+    ranged = rows.repartitionByRange(*order, "copy").sortWithinPartitions(*order).select("conv", "turn", "mark", "text")
+    cut = written(ranged.mapInArrow(partial(_cut, size=SEGMENT), _CUT))  # once, as another sample would give other parts
+    ends = _ends(cut.filter("place < 0").select("conv", "part", "segment", "begin", "later"), FAN)
+    texts = cut.filter("place >= 0").select("conv", "part", "segment", "place", "turn", "mark", "text")
+    both = texts.unionByName(ends.withColumn("place", F.lit(-1)), allowMissingColumns=True)
+    both = both.repartition("conv", "part", "segment").sortWithinPartitions("conv", "part", "segment", "place")
     turns = both.mapInArrow(_decoded, "conv string, turn long, part int, role string, text string, rendered string")
     named = F.when(F.col("conv") != "", F.expr("substring(conv, 2)")).cast(df.schema[conv_col].dataType)
     return turns.select(named.alias("conv_id"), "turn", "part", "role", "text", "rendered")

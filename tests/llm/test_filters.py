@@ -3,7 +3,9 @@
 import itertools
 import random
 import re
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,6 +131,33 @@ def test_roles_across_segments(spark, monkeypatch):
             assert [r["role"] for r in got for _ in r["text"].split("\n")] == want
 
 
+@pytest.mark.parametrize("turn", [None, 0])
+def test_rows_of_one_turn_are_cut(spark, monkeypatch, turn):
+    from quern.llm import shared
+
+    cuts = []
+    monkeypatch.setattr(chat, "written", lambda df: cuts.append(shared.written(df)) or cuts[-1], raising=False)
+    monkeypatch.setattr(chat, "SEGMENT", 4)
+    monkeypatch.setattr(chat, "FAN", 3, raising=False)
+    rnd = random.Random(5)
+    texts = [f"{k:04d} " + rnd.choice(["short one?", "word " * rnd.randrange(20, 150), f"ok\nAssistant: {k:04d} sure\nmore", f"fine\nUser: {k:04d} hi there"]) for k in range(600)]
+    df = spark.createDataFrame([("c", turn, t) for t in rnd.sample(texts, 600)] + [("d", turn, "same")] * 300, "conv_id string, turn long, text string").repartition(5)
+    got = chat.format_chats(df).collect()
+    assert sum(r["conv_id"] == "d" for r in got) == 300
+    # every part holds its row's number: the roles of all lines in order have the best score there is
+    said = sorted((re.search("[0-9]{4}", r["text"])[0], r["part"], r["role"], r["text"]) for r in got if r["conv_id"] == "c")
+    path = [chat.ROLES.index(role) for _, _, role, text in said for _ in text.split("\n")]
+    seen = [chat.observe(t, None) for t in texts]
+    emission, turns = np.concatenate([p[0] for p in seen]), np.concatenate([p[1] for p in seen])
+    assert [x for _, _, _, text in said for x in text.split("\n")] == [x for p in seen for x in p[2]]
+    score = chat.START[path[0]] + emission[0][path[0]]
+    for k in range(1, len(path)):
+        score += (chat.NEXT if turns[k] else chat.STAY)[path[k - 1]][path[k]] + emission[k][path[k]]
+    assert abs(score - chat.transfer(emission, turns, True)[0].max()) < 1e-6
+    sizes = cuts[0].filter("conv = '=c' and place >= 0").groupBy("part", "segment").count().collect()
+    assert max(r["count"] for r in sizes) == 4 and max(r["segment"] for r in sizes) >= 9  # three levels
+
+
 def test_markers_and_rendering(spark):
     text = "### Human: What is it?\nplease\n[assistant] It is so.\n<|system|>\nBe kind."
     row = chat.format_chats(spark.createDataFrame([(1, 0, text)], "conv_id int, turn long, text string")).orderBy("part").collect()

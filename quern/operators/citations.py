@@ -100,12 +100,8 @@ def _found(kind: str, text: Column) -> Column:
     return F.transform(zipped, span)
 
 
-def extract_citations(df: DataFrame, text_col: str = "text", *, max_spans: int = MAX_SPANS) -> DataFrame:
-    """A row for each distinct citation of each row of ``df``: its columns but the text, and kind, raw, case_citation, act_number, statute_title, provision_no, place.
-
-    Cases come first, then the constitution, provisions, implementing rules and
-    bare acts; a raw text counts once, and ``max_spans`` of a row are kept.
-    """
+def _spans(df: DataFrame, text_col: str, max_spans: int | None) -> DataFrame:
+    """As ``extract_citations``, with the priority of each span's kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     spans = F.concat(*(_found(k, text) for k in ORDER))
     spans = F.filter(spans, lambda s: (s["priority"] != ORDER.index("provision")) | s["statute_title"].isNotNull())
@@ -114,8 +110,21 @@ def extract_citations(df: DataFrame, text_col: str = "text", *, max_spans: int =
     rows = df.withColumn("_spans", by_raw)
     first = F.filter("_spans", lambda s, i: (i == 0) | (F.get(F.col("_spans"), i - 1)["raw"] != s["raw"]))
     found = F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["priority"].alias("priority"), s["position"].alias("position"), s["span"].alias("span")))), lambda s: s["span"])
-    out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(F.slice(found, 1, max_spans)).alias("place", "span"))
-    return out.select(*(c for c in df.columns if c != text_col), "place", "span.kind", "span.raw", "span.case_citation", "span.act_number", "span.statute_title", "span.provision_no")
+    out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(found if max_spans is None else F.slice(found, 1, max_spans)).alias("place", "span"))
+    return out.select(*(c for c in df.columns if c != text_col), "place", *(f"span.{c}" for c in _SPAN), "span.priority")
+
+
+_SPAN = ("kind", "raw", "case_citation", "act_number", "statute_title", "provision_no")
+
+
+def extract_citations(df: DataFrame, text_col: str = "text", *, max_spans: int | None = MAX_SPANS) -> DataFrame:
+    """A row for each distinct citation of each row of ``df``: its columns but the text, and kind, raw, case_citation, act_number, statute_title, provision_no, place.
+
+    Cases come first, then the constitution, provisions, implementing rules and
+    bare acts; a raw text counts once, and ``max_spans`` of a row are kept (None:
+    all).
+    """
+    return _spans(df, text_col, max_spans).drop("priority")
 
 
 def resolve_spans(spans: DataFrame, statutes: DataFrame, cases: DataFrame, *, use_titles: bool = True) -> DataFrame:
@@ -165,14 +174,27 @@ def first_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
     return edges.withColumn("_place", F.row_number().over(pair)).filter("_place = 1").select(*EDGE_COLUMNS)
 
 
-def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, max_spans: int = MAX_SPANS) -> Graph:
-    """Edges from texts ``sources`` (citing_kind, citing_id, text): entities that cite themselves give none, and only the first reference to an entity is kept."""
-    spans = extract_citations(sources, "text", max_spans=max_spans)
-    spans = spans.withColumn("span_id", F.concat_ws("|", "citing_kind", "citing_id", "place"))
+def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, max_spans: int | None = MAX_SPANS) -> Graph:
+    """Edges from texts ``sources`` (citing_kind, citing_id, text): entities that cite themselves give none, and only the first reference to an entity is kept.
+
+    With a column ``passage`` an entity's text comes in several rows, in order of
+    it: spans are those of the whole text if no citation runs over a row's end,
+    but ``max_spans`` (None: no bound) holds for each row.
+    """
+    if "passage" in sources.columns:
+        entity, order = ("citing_kind", "citing_id"), ("priority", "passage", "place")
+        spans = _spans(sources, "text", max_spans)
+        least = F.min(F.struct(*order, *(c for c in _SPAN if c != "raw"))).alias("span")  # aggregated in tasks first: a raw text may be in every passage
+        spans = spans.groupBy(*entity, "raw").agg(least).select(*entity, "raw", "span.*")
+        spans = spans.withColumn("span_id", F.concat_ws("|", *entity, "passage", "place"))
+    else:
+        order = ("place",)
+        spans = extract_citations(sources, "text", max_spans=max_spans)
+        spans = spans.withColumn("span_id", F.concat_ws("|", "citing_kind", "citing_id", "place"))
     found = resolve_spans(spans, statutes, cases)
     found = found.withColumns({"cited_kind": F.col("kind"), "cited_id": F.when(F.col("kind") == "case", F.col("case_id")).otherwise(F.col("statute_id")), "cited_reference": F.col("raw")})
     good = F.col("cited_id").isNotNull() & ~((F.col("citing_kind") == F.col("cited_kind")) & (F.col("citing_id") == F.col("cited_id")))
-    edges = first_edges(found.filter(good), [F.col("place")])
+    edges = first_edges(found.filter(good), [F.col(c) for c in order])
     counters = found.agg(F.count("*").alias("spans"), F.count_if(good).alias("resolved"), F.count_if(~good | good.isNull()).alias("unresolved"))
     return Graph(edges, counters.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges_inserted")))))  # one row each
 

@@ -222,12 +222,16 @@ def vocabulary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schemas.violations(rows, "cases").select("o_orderkey", "o_orderstatus")
 
 
+#: A passage cites parts of so many consecutive keys at most, however many its customer cites.
+_PASSAGE_KEYS = 1024
+
+
 def _citing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A text of each customer that cites the parts of his orders as acts, and himself as a case."""
+    """Texts of each customer, in passages of bounded size, that cite the parts of their orders as acts, and the customer as a case."""
     edges = _edges(spark, sf_dir).select("citing_id", "cited_id")
     said = F.concat(F.lit("See Republic Act No. "), F.col("cited_id"), F.lit("."))
-    texts = edges.groupBy("citing_id").agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("acts"))
-    return texts.select(F.lit("case").alias("citing_kind"), "citing_id", F.concat(F.lit("G.R. No. "), F.col("citing_id"), F.lit(" holds.\n"), F.col("acts")).alias("text"))
+    texts = edges.groupBy("citing_id", F.floor(F.col("cited_id") / _PASSAGE_KEYS).alias("passage")).agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("acts"))
+    return texts.select(F.lit("case").alias("citing_kind"), "citing_id", "passage", F.concat(F.lit("G.R. No. "), F.col("citing_id"), F.lit(" holds.\n"), F.col("acts")).alias("text"))
 
 
 def _numbered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,18 +240,18 @@ def _numbered_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT o_custkey AS citing_id, CAST(l_partkey AS VARCHAR) AS act_number FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def citation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = citations.extract_citations(_citing_texts(spark, sf_dir), max_spans=100_000)
-    return spans.filter("kind = 'statute'").select("citing_id", "act_number")
+    spans = citations.extract_citations(_citing_texts(spark, sf_dir), max_spans=None)
+    return spans.filter("kind = 'statute'").select("citing_id", "act_number").distinct()
 
 
 @query("SELECT DISTINCT 'case' AS citing_kind, o_custkey AS citing_id, 'statute' AS cited_kind, l_partkey AS cited_id, 'Republic Act No. ' || l_partkey AS cited_reference FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=100_000).edges
+    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=None).edges
 
 
 @query("SELECT n + c AS spans, n AS resolved, c AS unresolved, n AS edges_inserted FROM (SELECT count(*) AS n, count(DISTINCT o_custkey) AS c FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey))")
 def resolve_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=100_000).counters
+    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=None).counters
 
 
 @query(f"SELECT s.slug, s.name, count(n_nationkey) AS n FROM (VALUES {_NAMES}) s(slug, name) LEFT JOIN nation ON n_nationkey % 15 = (SELECT count(*) FROM (VALUES {_NAMES}) t(slug, name) WHERE t.slug < s.slug) GROUP BY 1, 2".replace("Human Resources & Workplace", "HR & Workplace"))

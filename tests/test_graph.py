@@ -40,6 +40,35 @@ def test_extraction(spark):
     assert [r["raw"] for r in capped.orderBy("place").collect()] == raws[:3]
 
 
+def test_all_spans_of_many_passages(spark, corpus):
+    acts = [f"See Republic Act No. {k}." for k in range(1, 301)]
+    whole = spark.createDataFrame([("case", 1, "G.R. No. 238875 holds.\n" + "\n".join(acts))], "citing_kind string, citing_id long, text string")
+    assert citations.extract_citations(whole, max_spans=None).count() == 301
+    cut = spark.createDataFrame([("case", 1, k, "G.R. No. 238875 holds.\n" + "\n".join(acts[k * 100 : k * 100 + 100])) for k in range(3)], "citing_kind string, citing_id long, passage long, text string")
+    assert citations.build_graph(cut, corpus[0], corpus[2], max_spans=None).counters.first() == citations.build_graph(whole, corpus[0], corpus[2], max_spans=None).counters.first() == (301, 1, 300, 1)
+
+
+def test_passages_give_the_edges_of_the_whole_text(corpus, spark):
+    rows = [r.asDict() for r in corpus[4].collect()]
+    pieces = [(r["citing_kind"], r["citing_id"], n, piece) for r in rows for n, piece in enumerate(r["text"].replace(". See", ".|See").replace(". The IRR", ".|The IRR").replace(". Unknown", ".|Unknown").split("|"))]
+    assert len(pieces) > len(rows)
+    got = citations.build_graph(spark.createDataFrame(pieces, "citing_kind string, citing_id long, passage int, text string"), corpus[0], corpus[2])
+    assert sorted(got.edges.collect()) == sorted(corpus[3].edges.collect()) and got.counters.first() == corpus[3].counters.first()
+
+
+def test_a_customer_may_cite_any_number_of_parts(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from quern.plans import graph_queries
+
+    n = 100_500
+    spark.createDataFrame([(1, 7)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("l_orderkey"), F.col("id").alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"), F.col("id").alias("l_linenumber"), F.lit(1.0).alias("l_extendedprice"))
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert graph_queries.citation_round_trip(spark, str(tmp_path)).distinct().count() == n
+    assert graph_queries._citing_texts(spark, str(tmp_path)).agg(F.max(F.length("text"))).first()[0] < 40_000
+
+
 def test_edges(corpus):
     edges = {(r["citing_kind"], r["citing_id"], r["cited_kind"], r["cited_id"], r["cited_reference"]) for r in corpus[3].edges.collect()}
     assert edges == {

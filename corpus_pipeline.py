@@ -16,7 +16,7 @@ from quern.llm.op04_exact_dedup import exact_groups
 from quern.llm.op05_bpe import round_trip_digests
 from quern.llm.op06_language import identify, train
 from quern.llm.op08_decontaminate import find_contamination
-from quern.llm.op09_ngram_join import ngram_join
+from quern.llm.op09_ngram_join import keyed_rows, least_members, ngram_join
 from quern.llm.shared import written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -39,7 +39,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays."""
+    """Of each class of near copies the document with the smallest doc_id stays; one with a null doc_id only if no other of its class has one."""
+    if (keyed := keyed_rows(docs, "doc_id")) is not None:
+        kept = least_members(keyed, "doc_id", ngram_join(keyed, "row_key"), "class_id").select(F.col("least_key").alias("row_key"))
+        return keyed.join(kept, "row_key", "left_semi").select(docs.columns)
     return docs.join(ngram_join(docs).filter("doc_id = class_id").select("doc_id"), "doc_id", "left_semi")
 
 

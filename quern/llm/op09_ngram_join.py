@@ -23,7 +23,9 @@ more members than it can tell apart, a semi-join does.
 Texts without words have no links and are their own class. Texts of fewer than
 five words, but not none, are one shingle of all their words. Nulls count as
 empty. An identifier names one text; its
-repeated rows are copies. An empty table
+repeated rows are copies. Each row with a null identifier is a text of its own,
+which links and copies like any other; only where all members have none is a
+class's or copies' least identifier null. An empty table
 gives an empty result. Other columns are not read.
 """
 
@@ -256,6 +258,22 @@ def _verify(threshold: float):
     return run
 
 
+def keyed_rows(df: DataFrame, id_col: str) -> DataFrame | None:
+    """``df``, written, with a text ``row_key``: of the identifier, or of the row where that is null; None if no identifier is null."""
+    if df.filter(df[id_col].isNull()).isEmpty():
+        return None
+    own = F.concat(F.lit("="), df[id_col].cast("string"))
+    return written(df.withColumn("row_key", F.coalesce(own, F.concat(F.lit("~"), F.monotonically_increasing_id().cast("string")))))
+
+
+def least_members(keyed: DataFrame, id_col: str, found: DataFrame, group: str) -> DataFrame:
+    """Of each ``group`` of a join by ``row_key`` its least identifier (nulls last) and that row's key: group, least_id, least_key."""
+    ids = keyed.select(F.col("row_key"), F.col(id_col).alias("own_id")).distinct()
+    members = found.select(F.col("doc_id").alias("row_key"), group).distinct().join(ids, "row_key")
+    least = F.min(F.struct(F.col("own_id").isNull().alias("none"), "own_id", "row_key")).alias("least")
+    return members.groupBy(group).agg(least).select(group, F.col("least.own_id").alias("least_id"), F.col("least.row_key").alias("least_key"))
+
+
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, width: int = WIDTH, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> DataFrame:
     """One row per row of ``df``: doc_id, class_id, n_links, copy_id, n_copies, n_shingles.
 
@@ -264,6 +282,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     threshold or above; ``class_id`` is the least identifier that links and
     copies connect the row with.
     """
+    keyed = keyed_rows(df.select(df[id_col].alias("own_id"), df[text_col].alias("text")), "own_id")
+    if keyed is not None:
+        found = written(ngram_join(keyed, "row_key", "text", width=width, threshold=threshold, trees=trees, depth=depth, recall=recall))
+        ids = keyed.select(F.col("row_key").alias("doc_id"), F.col("own_id")).distinct()
+        classes = least_members(keyed, "own_id", found, "class_id").select("class_id", F.col("least_id").alias("class_least"))
+        same = least_members(keyed, "own_id", found, "copy_id").select("copy_id", F.col("least_id").alias("copy_least"))
+        found = found.join(ids, "doc_id").join(classes, "class_id").join(same, "copy_id")
+        return found.select(F.col("own_id").alias("doc_id"), F.col("class_least").alias("class_id"), "n_links", F.col("copy_least").alias("copy_id"), "n_copies", "n_shingles")
     length = prefix_length(threshold, trees, depth, recall)
     docs = written(signatures(df, id_col, text_col, width=width, trees=trees, length=length))
     copies = ["n", "print_a", "print_b"]

@@ -207,3 +207,17 @@ def test_stages_take_odd_tables(spark, tmp_path):
             assert out.columns == df.columns
         n = out.count()
         assert {"language_id": 3, "exact_dedup": 3, "decontamination": 5, "byte_bpe": 5}.get(name, n) == n
+
+
+def test_null_identifiers_are_joined(spark):
+    import corpus_pipeline
+
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(None, a), (None, a + " end"), (None, b), (None, b), (10, b + " end"), (9, "other words"), (None, c), (None, None), (9, "other words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r["doc_id"], r["class_id"], r["n_links"], r["copy_id"], r["n_copies"]) for r in near.ngram_join(df).collect())
+    want = {(None, None, 1, None, 1): 2, (None, 10, 1, None, 2): 2, (10, 10, 1, 10, 1): 1, (9, 9, 0, 9, 2): 2, (None, None, 0, None, 1): 2}
+    assert got == want
+    kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, df, "").collect()]
+    assert len(kept) == 6 and sum(t in (a, a + " end") for _, t in kept) == 1  # of the class without identifiers either
+    assert Counter(x for x in kept if x[1] not in (a, a + " end")) == {(10, b + " end"): 1, (9, "other words"): 2, (None, c): 1, (None, None): 1}

@@ -15,8 +15,9 @@ document has all its distinct words, in any order.
 The benchmark reaches the tasks in blocks of at most ``BENCHMARK_BYTES`` of
 text, measured beforehand; more blocks mean more passes within the same stage.
 Null and empty texts have no words and match nothing; an empty benchmark leaves
-all documents clean; repeated item texts count as items of their own, items with
-a null identifier are left out. Rows are judged one by one, so repeated
+all documents clean; repeated item texts count as items of their own. Items with
+a null identifier are searched like all others, but have no place in the lists of
+identifiers. Rows are judged one by one, so repeated
 identifiers do no harm, and other columns are not read. Texts may be of any length.
 """
 
@@ -36,7 +37,7 @@ WINDOW, SLOP, BENCHMARK_BYTES, CANDIDATES = 10, 4, 4 << 20, 1 << 21
 class Windows:
     """The distinct windows of one block of items: their terms, by length, and the items that have them."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         block = Block([t for _, t in items])
         folded = block.folded.tobytes()
         words = [folded[a:b] for a, b in zip(block.start.tolist(), block.end.tolist(), strict=True)]
@@ -182,12 +183,12 @@ def search_block(block: Block, windows: Windows, slop: int | None) -> tuple[np.n
     return covered, items, close
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[str, bytes]]]:
-    """The items as (identifier as text, UTF-8 text), in blocks of about ``limit`` bytes by a hash of the identifier."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), text_or_empty(text_col).alias("text")).filter("item is not null")
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[str | None, bytes]]]:
+    """The items as (identifier as text, UTF-8 text), in blocks of about ``limit`` bytes by a hash of the identifier, or of the text where that is null."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), text_or_empty(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = -(-size // limit) if size else 0
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(max(n, 1))))
+    dealt = rows.withColumn("block", F.pmod(F.when(F.col("item").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item")), F.lit(max(n, 1))))
     return [[(r["item"], r["text"].encode()) for r in dealt.filter(F.col("block") == k).collect()] for k in range(n)]
 
 
@@ -224,8 +225,8 @@ def _pass(windows: Windows, slop: int | None, last: bool):
                             mine[s["start"] : s["end"]] = True
                     edges = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8))).tolist() if mine.any() else []
                     spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    items.append(sorted({*old[1][at + i], *(windows.items[k] for k in own[i])}))
-                    close.append(sorted({*old[2][at + i], *(windows.items[k] for k in own_near[i])}))
+                    items.append(sorted({*old[1][at + i], *(windows.items[k] for k in own[i])} - {None}))
+                    close.append(sorted({*old[2][at + i], *(windows.items[k] for k in own_near[i])} - {None}))
             text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             columns = [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))]

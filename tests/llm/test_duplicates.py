@@ -221,3 +221,11 @@ def test_null_identifiers_are_joined(spark):
     kept = [(r["doc_id"], r["text"]) for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, df, "").collect()]
     assert len(kept) == 6 and sum(t in (a, a + " end") for _, t in kept) == 1  # of the class without identifiers either
     assert Counter(x for x in kept if x[1] not in (a, a + " end")) == {(10, b + " end"): 1, (9, "other words"): 2, (None, c): 1, (None, None): 1}
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 20])
+def test_items_without_identifier_count(spark, limit):
+    df = spark.createDataFrame([(1, "x a b c d y"), (2, "p q r s"), (3, "b a d c"), (4, "none")], "doc_id int, text string")
+    bench = spark.createDataFrame([(None, "a b c d"), ("7", "p q r s"), (None, "p q r s"), (None, None)], "item_id string, text string")
+    found = {r["doc_id"]: ([tuple(x) for x in r["spans"]], r["items"], r["near_items"]) for r in leaks.find_contamination(df, bench, width=4, slop=2, benchmark_bytes=limit).collect()}
+    assert found == {1: ([(1, 5)], [], []), 2: ([(0, 4)], ["7"], ["7"]), 3: ([], [], []), 4: ([], [], [])}

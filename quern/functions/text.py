@@ -13,6 +13,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: White space as ECMAScript regular expressions understand it, for Java character classes.
 SPACE = r"[\t-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The same within a line.
+BLANK = r"[\t\x0B-\r \u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
+#: The rest of a line as ECMAScript's dot reads it, and the two sides of an ASCII word.
+REST_OF_LINE = r"[^\n\r\u2028\u2029]*"
+EDGE = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
 
 
 def ascii_lower(c: Column) -> Column:

@@ -1,7 +1,7 @@
 r"""Citations: extraction from text, resolution against a corpus, and the edge table that comes of them.
 
-Patterns are in Java's dialect. ``\b`` is written out, as it is ASCII there, and
-the end of text is ``\z``.
+Patterns are in Java's dialect, read without regard to case: SPACE and EDGE stand
+for ECMAScript's white space and ASCII word edge, and the end of text is ``\z``.
 """
 
 from __future__ import annotations
@@ -11,20 +11,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import SPACE, ascii_upper, norm_key
+from quern.functions.tables import written
+from quern.functions.text import EDGE, SPACE, ascii_upper, norm_key
 
 MAX_SPANS = 200
 
-# The citation patterns. S stands for white space, < and > for the two sides of a word.
-_ACTS = r"(?:RepublicS+Act|R\.?S*A\.?|PresidentialS+Decree|P\.?S*D\.?|ExecutiveS+Order|E\.?S*O\.?|BatasS+Pambansa|B\.?S*P\.?|CommonwealthS+Act|C\.?S*A\.?"
-_PATTERNS = {
-    "case": r"<G\.R\.S*No\.S*(L?-?[0-9]+)>",
-    "constitution": r"<(?:Art(?:icle)?\.?)S*([IVXLCDM]+)S*,S*(?:Sec(?:tion)?\.?)S*([0-9]+(?:S*\([0-9]+\))?)S*(?:ofS+)?(?:theS+)?1987S+Constitution>",
-    "provision": r"<(?:Art(?:icle)?\.?|Sec(?:tion)?\.?)S*([0-9]+(?:-[A-Za-z0-9]+)?(?:\([A-Za-z0-9]+\))?)S*(?:,S*|S+ofS+)(?:theS+)?([A-Z][A-Za-z0-9 ,.'-]{2,80}?)"
-    r"(?=S*(?:\.(?=S*(?:\z|[A-Z]))|\z|,S*and>|S+andS+(?:Art(?:icle)?|Sec(?:tion)?|G\.R\.|R\.?S*A\.?|Republic|Presidential|Executive|Batas|Commonwealth|Act)>))",
-    "irr": r"<(?:theS+)?(?:RevisedS+)?(?:ImplementingS+Rules(?:S+andS+Regulations)?|IRR)S+ofS+(?:theS+)?(?:RA|RepublicS+Act|R\.?S*A\.?)S*(?:No\.?S*)?([0-9]+)>",
-    "act": "<" + _ACTS + r"|ActS+No\.?)S*(?:No\.?S*)?([0-9]+)>",
-    "act_in_title": "<" + _ACTS + r")S*(?:No\.?S*)?([0-9]+)>",
+# The citation patterns.
+_ACTS = rf"(?:Republic{SPACE}+Act|R\.?{SPACE}*A\.?|Presidential{SPACE}+Decree|P\.?{SPACE}*D\.?|Executive{SPACE}+Order|E\.?{SPACE}*O\.?|Batas{SPACE}+Pambansa|B\.?{SPACE}*P\.?|Commonwealth{SPACE}+Act|C\.?{SPACE}*A\.?"
+PATTERNS = {
+    "case": rf"{EDGE}G\.R\.{SPACE}*No\.{SPACE}*(L?-?[0-9]+){EDGE}",
+    "constitution": rf"{EDGE}(?:Art(?:icle)?\.?){SPACE}*([IVXLCDM]+){SPACE}*,{SPACE}*(?:Sec(?:tion)?\.?){SPACE}*([0-9]+(?:{SPACE}*\([0-9]+\))?){SPACE}*(?:of{SPACE}+)?(?:the{SPACE}+)?1987{SPACE}+Constitution{EDGE}",
+    "provision": rf"{EDGE}(?:Art(?:icle)?\.?|Sec(?:tion)?\.?){SPACE}*([0-9]+(?:-[A-Za-z0-9]+)?(?:\([A-Za-z0-9]+\))?){SPACE}*(?:,{SPACE}*|{SPACE}+of{SPACE}+)(?:the{SPACE}+)?([A-Z][A-Za-z0-9 ,.'-]{{2,80}}?)"
+    rf"(?={SPACE}*(?:\.(?={SPACE}*(?:\z|[A-Z]))|\z|,{SPACE}*and{EDGE}|{SPACE}+and{SPACE}+(?:Art(?:icle)?|Sec(?:tion)?|G\.R\.|R\.?{SPACE}*A\.?|Republic|Presidential|Executive|Batas|Commonwealth|Act){EDGE}))",
+    "irr": rf"{EDGE}(?:the{SPACE}+)?(?:Revised{SPACE}+)?(?:Implementing{SPACE}+Rules(?:{SPACE}+and{SPACE}+Regulations)?|IRR){SPACE}+of{SPACE}+(?:the{SPACE}+)?(?:RA|Republic{SPACE}+Act|R\.?{SPACE}*A\.?){SPACE}*(?:No\.?{SPACE}*)?([0-9]+){EDGE}",
+    "act": EDGE + _ACTS + rf"|Act{SPACE}+No\.?){SPACE}*(?:No\.?{SPACE}*)?([0-9]+){EDGE}",
+    "act_in_title": EDGE + _ACTS + rf"){SPACE}*(?:No\.?{SPACE}*)?([0-9]+){EDGE}",
 }
 CODE_TITLES = (
     "Civil Code",
@@ -42,25 +43,6 @@ CODE_TITLES = (
 ORDER = ("case", "constitution", "provision", "irr", "act")
 
 
-def _java(pattern: str) -> str:
-    edge = "(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
-    out, at = [], 0
-    while at < len(pattern):
-        if pattern[at] == "<" and pattern[at - 1 : at] != "?":
-            out.append(edge)
-        elif pattern[at] == ">":
-            out.append(edge)
-        elif pattern[at] == "S" and pattern[at + 1 : at + 2] in ("*", "+"):
-            out.append(SPACE)
-        else:
-            out.append(pattern[at])
-        at += 1
-    return "(?i)" + "".join(out)
-
-
-PATTERNS = {k: _java(v) for k, v in _PATTERNS.items()}
-
-
 def normalise_title(hint: Column) -> Column:
     """A title hint without ``the`` and closing punctuation; a known code's long name where the hint is its short one; null if nothing is left."""
     t = F.regexp_replace(F.regexp_replace(F.trim(hint), f"(?i)^the{SPACE}+", ""), "[.,;]+$", "")
@@ -71,7 +53,7 @@ def normalise_title(hint: Column) -> Column:
 
 def _found(kind: str, text: Column) -> Column:
     """Matches of a kind as an array of structs, in order of position."""
-    pattern = F.lit(PATTERNS[kind])
+    pattern = F.lit("(?i)" + PATTERNS[kind])
     raws = F.regexp_extract_all(text, pattern, F.lit(0))
     groups = [F.regexp_extract_all(text, pattern, F.lit(g)) for g in ((1, 2) if kind in ("constitution", "provision") else (1,))]
     zipped = F.arrays_zip(raws.alias("raw"), groups[0].alias("a"), (groups[1] if len(groups) > 1 else groups[0]).alias("b"))
@@ -84,7 +66,7 @@ def _found(kind: str, text: Column) -> Column:
         provision = {"constitution": F.concat_ws("-", a, b), "provision": ascii_upper(a)}.get(kind, none)
         if kind == "provision":
             title = normalise_title(b)
-            number = F.nullif(F.regexp_extract(title, PATTERNS["act_in_title"], 1), F.lit(""))
+            number = F.nullif(F.regexp_extract(title, "(?i)" + PATTERNS["act_in_title"], 1), F.lit(""))
         case = F.concat(F.lit("G.R. No. "), F.when(ascii_upper(a).startswith("L-"), F.concat(F.lit("L-"), F.substring(a, 3, 1000))).otherwise(a)) if kind == "case" else none
         return F.struct(
             F.lit("case" if kind == "case" else "statute").alias("kind"),
@@ -127,34 +109,69 @@ def extract_citations(df: DataFrame, text_col: str = "text", *, max_spans: int |
     return _spans(df, text_col, max_spans).drop("priority")
 
 
+#: Length of the runs of characters by which titles that contain a hint are found.
+GRAM = 6
+
+
+def _grams(key: Column, length: Column | int) -> Column:
+    """Distinct runs of ``length`` characters of a key; none if it is shorter."""
+    last = F.length(key) - length + 1
+    return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda k: F.substring(key, k, length)))).otherwise(F.array().cast("array<string>"))
+
+
+def titles_with(hints: DataFrame, keys: DataFrame) -> DataFrame:
+    """For each ``title_key`` of ``hints`` that some key of ``keys`` (id, key) contains: of how many identifiers, and the least.
+
+    A hint of up to GRAM characters is one of the keys' runs of that length, which
+    are counted beforehand. A longer one meets the keys that share its rarest run
+    of GRAM characters, and is then looked for in them; a run that all its keys
+    share is in more titles than the hint only if no rarer run tells them apart.
+    """
+    counts = [F.countDistinct("id").alias("n"), F.min("id").alias("title_id")]
+    short = hints.filter(F.length("title_key") <= GRAM)
+    runs = keys.select("id", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda n: _grams(F.col("key"), n)))).alias("title_key"))
+    short = short.join(runs.groupBy("title_key").agg(*counts), "title_key")
+    own = keys.select("id", "key", F.explode(_grams(F.col("key"), GRAM)).alias("gram"))
+    asked = hints.filter(F.length("title_key") > GRAM).select("title_key", F.explode(_grams(F.col("title_key"), GRAM)).alias("gram"))
+    frequency = own.groupBy("gram").agg(F.count("*").alias("frequency"))
+    # a hint with a run that no title has is in none; the inner join drops the run, and the search below the hint
+    rarest = asked.join(frequency, "gram").groupBy("title_key").agg(F.min_by("gram", F.struct("frequency", "gram")).alias("gram"))
+    long = rarest.join(own, "gram").filter(F.contains("key", F.col("title_key"))).groupBy("title_key").agg(*counts)
+    return short.select("title_key", "n", "title_id").union(long.select("title_key", "n", "title_id"))
+
+
 def resolve_spans(spans: DataFrame, statutes: DataFrame, cases: DataFrame, *, use_titles: bool = True) -> DataFrame:
     """Spans with ``statute_id`` and ``case_id`` of what they cite, null where that is unknown or ambiguous.
 
-    ``spans`` needs a unique ``span_id``. Acts resolve by number (the least
-    identifier), else by title: an exact key, else one that contains the hint's;
-    only a single statute counts. Distinct hints are few, so the containing
-    titles are looked for once for each, not for each span.
+    ``spans`` needs a unique ``span_id``, and is read several times. Acts resolve
+    by number (the least identifier), else by title: an exact key, else one that
+    contains the hint's; only a single statute counts. Titles are looked for once
+    for each distinct hint, cases once for each distinct citation. Spans without a
+    key are spread by their identifiers, so that no task gets them all.
     """
+
+    def look_up(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
+        spread = F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col("span_id")))  # no key starts so
+        return rows.withColumn("_key", spread).join(found.withColumnRenamed(key, "_key"), "_key", "left").drop("_key")
+
     by_number = statutes.filter("act_number is not null").groupBy("act_number").agg(F.min("id").alias("number_id"))
-    spans = spans.join(by_number, "act_number", "left")
-    keyed = spans.withColumn("title_key", F.when(F.col("number_id").isNull() & (F.col("kind") == "statute"), norm_key(F.col("statute_title"))))
+    keyed = look_up(spans, "act_number", by_number)
     if use_titles:
-        titles = statutes.select("id", norm_key(F.col("short_title")).alias("short_key"), norm_key(F.col("official_title")).alias("official_key"))
+        keyed = keyed.withColumn("title_key", F.when(F.col("number_id").isNull() & (F.col("kind") == "statute"), F.nullif(norm_key(F.col("statute_title")), F.lit(""))))
+        keys = statutes.select("id", F.explode(F.array("short_title", "official_title")).alias("title"))
+        keys = keys.select("id", norm_key(F.col("title")).alias("key")).filter("key <> ''").distinct()
         hints = keyed.select("title_key").filter("title_key is not null").distinct()
-        keys = titles.select("id", "short_key").union(titles.select("id", "official_key")).toDF("id", "title_key").distinct()
-        exact = hints.join(keys, "title_key").groupBy("title_key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("title_id"))
-        rest = hints.join(exact, "title_key", "left_anti")
-        within = rest.join(titles, F.col("short_key").contains(F.col("title_key")) | F.col("official_key").contains(F.col("title_key")))
-        within = within.groupBy("title_key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("title_id"))
-        keyed = keyed.join(exact.union(within).filter("n = 1").drop("n"), "title_key", "left")
+        exact = hints.join(keys.withColumnRenamed("key", "title_key"), "title_key").groupBy("title_key").agg(F.countDistinct("id").alias("n"), F.min("id").alias("title_id"))
+        within = titles_with(hints.join(exact, "title_key", "left_anti"), keys)
+        keyed = look_up(keyed, "title_key", exact.union(within).filter("n = 1").drop("n")).drop("title_key")
     else:
         keyed = keyed.withColumn("title_id", F.lit(None).cast("long"))
     tail = F.regexp_extract("case_citation", r"([0-9]+)\D*\z", 1)
+    cited = spans.select("case_citation", norm_key(F.col("case_citation")).alias("case_key"), tail.alias("tail")).filter("case_citation is not null").distinct()
     known = cases.select(norm_key(F.col("citation")).alias("case_key"), F.col("id").alias("found_case"), F.col("citation").alias("found_citation"))
-    keyed = keyed.withColumns({"case_key": norm_key(F.col("case_citation")), "tail": tail})
-    matched = keyed.join(known, "case_key", "left").withColumn("found_case", F.when(F.contains("found_citation", F.col("tail")), F.col("found_case")))
-    best = matched.groupBy("span_id").agg(F.min("found_case").alias("case_id"))
-    return keyed.join(best, "span_id", "left").withColumn("statute_id", F.when(F.col("kind") == "statute", F.coalesce("number_id", "title_id"))).drop("number_id", "title_id", "title_key", "case_key", "tail")
+    best = cited.join(known, "case_key").filter(F.contains("found_citation", F.col("tail"))).groupBy("case_citation").agg(F.min("found_case").alias("case_id"))
+    keyed = look_up(keyed, "case_citation", best)
+    return keyed.withColumn("statute_id", F.when(F.col("kind") == "statute", F.coalesce("number_id", "title_id"))).drop("number_id", "title_id")
 
 
 @dataclass(frozen=True)
@@ -191,7 +208,7 @@ def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, ma
         order = ("place",)
         spans = extract_citations(sources, "text", max_spans=max_spans)
         spans = spans.withColumn("span_id", F.concat_ws("|", "citing_kind", "citing_id", "place"))
-    found = resolve_spans(spans, statutes, cases)
+    found = written(resolve_spans(written(spans), statutes, cases))  # edges and counters both read it; texts are read once
     found = found.withColumns({"cited_kind": F.col("kind"), "cited_id": F.when(F.col("kind") == "case", F.col("case_id")).otherwise(F.col("statute_id")), "cited_reference": F.col("raw")})
     good = F.col("cited_id").isNotNull() & ~((F.col("citing_kind") == F.col("cited_kind")) & (F.col("citing_id") == F.col("cited_id")))
     edges = first_edges(found.filter(good), [F.col(c) for c in order])

@@ -137,3 +137,22 @@ def test_lookups(spark, corpus):
     assert len(domains) == 15 and domains[0]["keyInstruments"] == []
     big = spark.createDataFrame([(["x" * 1000] * 60,), (["y"],)], "items array<string>")
     assert sorted(r["truncated"] for r in lookup.bounded_payload(big, "items").collect()) == [False, True]
+
+
+def test_titles_with_a_hint(spark):
+    from collections import defaultdict
+
+    import random
+
+    from quern.operators.citations import titles_with
+
+    rnd = random.Random(8)
+    keys = [(k, "".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 14)))) for k in range(60)]
+    hints = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randrange(1, 11))) for _ in range(80)})
+    got = {r["title_key"]: (r["n"], r["title_id"]) for r in titles_with(spark.createDataFrame([(h,) for h in hints], "title_key string"), spark.createDataFrame(keys, "id int, key string")).collect()}
+    want = defaultdict(set)
+    for h in hints:
+        for k, key in keys:
+            if h in key:
+                want[h].add(k)
+    assert got == {h: (len(ids), min(ids)) for h, ids in want.items()}

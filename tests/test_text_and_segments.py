@@ -98,3 +98,40 @@ def test_tax_issuance(spark):
 def test_agency_issuance(spark, body, wanted):
     r = segment.normalise_agency_issuance(spark.createDataFrame([(body,)], "text string")).first()
     assert (r["agency"], r["issuance_type"], r["reference_no"], r["title"]) == wanted
+
+
+def by_lines(text):
+    """Sections of a text, line by line."""
+    import re
+
+    white = segment._WHITE
+    heads = (r"(?:ARTICLE|ART\.?)[%s]+([IVXLCDM]+|[0-9]+)\.?[%s]*(.*)" % (white, white), r"(?:SECTION|SEC\.?)[%s]+([0-9]+)\.?[%s]*(.*)" % (white, white))
+    out = []
+    for line in text.split("\n"):
+        line = line.strip(white)
+        found = next((m for h in heads if (m := re.fullmatch(h, line, re.I))), None)
+        if found:
+            out.append([found[1].upper(), found[2].strip(white), [found[2].strip(white)]])
+        elif out:
+            out[-1][2].append(line)
+    rows = [(n, h, "\n".join(b).strip(white)) for n, h, b in out]
+    return [r for r in rows if r[1] or r[2]]
+
+
+def test_segments_equal_lines(spark):
+    import random
+
+    rnd = random.Random(6)
+    parts = ["Section 5", "SECTION 7.", "Art. IV.  Of things ", "article 12 x", " Sec.\t3\r", "Sections 4", "Section", "　", "", "words and words", "see Section 9", "ART 1 b", "Sec. 2.."]
+    texts = ["\n".join(rnd.choice(parts) for _ in range(rnd.randrange(12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    got = {}
+    for r in segment.segment_provisions(df).orderBy("id", "place").collect():
+        got.setdefault(r["id"], []).append((r["number"], r["heading"], r["body"]))
+    assert all(got.get(k, []) == by_lines(t) for k, t in enumerate(texts))
+
+
+def test_a_long_text_is_segmented(spark):
+    text = "\n".join(f"Section {k}. Heading {k}\n  body of {k}" for k in range(20_000))
+    rows = segment.segment_provisions(spark.createDataFrame([(1, text)], "id int, text string"))
+    assert rows.filter("body = concat('Heading ', number, '\nbody of ', number)").count() == 20_000

@@ -102,10 +102,11 @@ def corpus(seed, groups=6, size=9):
     return rows + [(3, None), (4, ""), (5, "..."), (6, "one two"), (7, "One, TWO"), (8, "one"), (9, "x " * 30_000), (10, "x " * 29_000)]
 
 
-@pytest.mark.parametrize("block_rows", [1024, 4])
-def test_join_equals_brute_force(spark, monkeypatch, block_rows):
+@pytest.mark.parametrize("block_rows, ball", [(1024, 64), (4, 3)])
+def test_join_equals_brute_force(spark, monkeypatch, block_rows, ball):
     monkeypatch.setattr(near, "BLOCK_ROWS", block_rows)
-    rows = corpus(1)
+    monkeypatch.setattr(near, "BALL", ball)
+    rows = corpus(1, groups=3) + [(50_000_000 + i, t) for i, t in corpus(7, groups=1, size=30)[:30]]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n": F.lit(0), "keys": F.lit(0)})
     got = {r["doc_id"]: (r["class_id"], r["n_links"], r["copy_id"], r["n_copies"]) for r in near.ngram_join(df, trees=40, recall=0.99999999).collect()}
     assert got == brute_join(rows, 0.8)
@@ -126,9 +127,32 @@ def test_join_edges(spark):
     for kind in ("int", "string"):
         pair = spark.createDataFrame([("5", words), ("6", words + " end")], "doc_id string, text string").select(F.col("doc_id").cast(kind), "text")
         assert {(str(r["class_id"]), r["n_links"]) for r in near.ngram_join(pair).collect()} == {("5", 1)}
-    assert near.prefix_length(0.8, 10, 6, 0.999) == 3
+    assert near.shortest_prefix(0.8, 12, 5, 0.999) == 3
     with pytest.raises(ValueError):
-        near.prefix_length(0.1, 2, 6, 0.999)
+        near.shortest_prefix(0.1, 2, 6, 0.999)
+
+
+def test_prefixes_are_shortened_until_the_recall(spark):
+    import numpy as np
+
+    sizes = np.ones((3, 12, 3))
+    sizes[1, :8] = 1000  # eight crowded tries
+    sizes[2] = 1000
+    kept = near.shortened(sizes, 3, 0.8, 0.999)
+    missed = (1 - 0.8 ** (3.0 + kept)).prod(axis=1)
+    assert (missed <= 0.001).all() and (missed > 0.0004).all()
+    assert kept[1, 8:].max() == 0 and kept[1, :8].sum() == 10  # the sparse tries are asked first
+    full = near.shortened(np.ones((1, 23, 4)), 3, 0.8, 0.999)
+    assert (full == 3).all()  # enough tries at full length
+
+
+def test_balls_count_links_of_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(near, "BALL", 8)
+    monkeypatch.setattr(near, "BLOCK_ROWS", 16)
+    base = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*base[: 3 * k], f"x{k}", *base[3 * k + 1 :]])) for k in range(90)]  # any two differ in two words of 300
+    got = [(r["class_id"], r["n_links"]) for r in near.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert got == [(0, 89)] * 90
 
 
 def brute_leaks(docs, items, width, slop):

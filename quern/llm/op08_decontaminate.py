@@ -1,237 +1,284 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is dealt by document: each task builds, for each block of its
-documents, the sorted posting lists (term, position) of the benchmark's terms.
-The test windows go to every part of the index, and each is looked up there from
-its locally rarest term: that term's list gives candidate places, and the other
-terms' lists, shifted by their offsets, are intersected with it in order of
-rarity until only exact phrases remain. Nothing is shuffled, and a frequent
-word, passage or source is never gathered in one task. Hashed terms are compared
-byte by byte before a phrase counts.
-
-A window is near a document if some run of up to ``length + slop`` words of the
-document has all its distinct words, in any order.
-
-The benchmark reaches the tasks in blocks of at most ``BENCHMARK_BYTES`` of
-text, measured beforehand; more blocks mean more passes within the same stage.
+The index is a stored table. Each training word has a place in the whole corpus,
+a number of which the upper bits name a block of about 1 MiB of text and the
+lower ones count its words; between texts lies a gap wider than any search, so
+nothing that is looked for can reach over a text's end. A posting list holds a
+term's places within one cell of 32,768: (term, cell, places), dealt by (term, a
+run of cells) and sorted, so a frequent term's lists lie in many partitions, and
+no row is larger than a cell. Words are kept as they are, not as hashes. Beside
+the lists stands a directory of where each text begins.
+
+Every window of ``width`` benchmark words is looked up by joins. Its distinct
+terms are put in order of their number of places in the index; a window with a
+term that is in no text drops out. The lists of its rarest term give candidate
+places; these meet the second rarest term's lists by (term, cell), and where a
+place of that is close enough, all terms' lists, shifted by their offsets. A
+window is an exact phrase if every list has the place it should have. It is near
+if some run of up to ``length + slop`` words of the text has all its distinct
+words, in any order. Neither texts nor benchmark pass through the driver, and
+both may be of any size; only a vocabulary under VOCABULARY_BYTES is sent to
+all tasks, so that other words are left out of the index: else all words are
+stored, with the same results.
+
 Null and empty texts have no words and match nothing; an empty benchmark leaves
 all documents clean; repeated item texts count as items of their own. Items with
 a null identifier are searched like all others, but have no place in the lists of
-identifiers. Rows are judged one by one, so repeated
-identifiers do no harm, and other columns are not read. Texts may be of any length.
+identifiers. Rows with equal identifiers and equal texts have equal results;
+otherwise repeated identifiers do no harm, and other columns are not read. Texts
+may be of any length: a long one is indexed in slices.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_batches, text_or_empty
-from .words import Block, blocks, utf8
-
-WINDOW, SLOP, BENCHMARK_BYTES, CANDIDATES = 10, 4, 4 << 20, 1 << 21
-
-
-class Windows:
-    """The distinct windows of one block of items: their terms, by length, and the items that have them."""
-
-    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
-        block = Block([t for _, t in items])
-        folded = block.folded.tobytes()
-        words = [folded[a:b] for a, b in zip(block.start.tolist(), block.end.tolist(), strict=True)]
-        self.items = [i for i, _ in items]
-        vocabulary = sorted(set(words))
-        hashes = Block([b" ".join(vocabulary)]).word_hashes() if vocabulary else np.zeros(0, np.uint64)
-        order = np.argsort(hashes)
-        self.hashes, self.terms = hashes[order], [vocabulary[i] for i in order]
-        if len(np.unique(self.hashes)) < len(self.hashes):
-            raise ValueError("two benchmark words have the same 64-bit hash")
-        number = {w: i for i, w in enumerate(self.terms)}
-        owners: dict[tuple[int, ...], set[int]] = {}
-        for i in range(len(items)):
-            ids = [number[w] for w in words[block.first[i] : block.first[i + 1]]]
-            for at in range(max(1, len(ids) - width + 1) if ids else 0):
-                owners.setdefault(tuple(ids[at : at + width]), set()).add(i)
-        self.by_length: list[tuple[np.ndarray, list[list[int]]]] = []
-        for n in range(1, width + 1):
-            if rows := [w for w in owners if len(w) == n]:
-                self.by_length.append((np.array(rows, dtype=np.int64), [sorted(owners[w]) for w in rows]))
-
-
-class Postings:
-    """The posting lists of a block's words that are benchmark terms."""
-
-    def __init__(self, block: Block, windows: Windows):
-        self.block, self.windows, self.n_words = block, windows, len(block.start)
-        hashes = block.word_hashes()
-        at = np.minimum(np.searchsorted(windows.hashes, hashes), max(0, len(windows.hashes) - 1))
-        self.term = np.where(windows.hashes[at] == hashes, at, -1) if len(windows.hashes) else np.full(len(hashes), -1)
-        self.text_of = block.text_of
-        self._sort()
-
-    def _sort(self) -> None:
-        places = np.flatnonzero(self.term >= 0)
-        order = np.argsort(self.term[places], kind="stable")
-        self.places = places[order]
-        self.counts = np.bincount(self.term[places], minlength=len(self.windows.terms))
-        self.begin = np.concatenate(([0], np.cumsum(self.counts)))
-        self.keys = self.term[self.places] * (self.n_words + 1) + self.places  # sorted: (term, place)
-
-    def _candidates(self, table: np.ndarray):
-        """Windows with all terms in the block, with (window, place of rarest term) pairs, some at a time: windows, places, order of rarity."""
-        counts = self.counts[table]
-        alive = np.flatnonzero(counts.min(axis=1) > 0)
-        rarity = np.argsort(counts[alive], axis=1, kind="stable")
-        n = counts[alive, rarity[:, 0]]
-        slab = np.cumsum(n) // CANDIDATES
-        for k in np.unique(slab):
-            rows = np.flatnonzero(slab == k)
-            w = np.repeat(rows, n[rows])
-            first = self.begin[table[alive[rows], rarity[rows, 0]]]
-            inside = np.arange(len(w)) - np.repeat(np.cumsum(n[rows]) - n[rows], n[rows])
-            yield alive[w], self.places[np.repeat(first, n[rows]) + inside], rarity[w]
-
-    def phrases(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, place of its first word) of each occurrence."""
-        length, found = table.shape[1], []
-        for w, place, rarity in self._candidates(table):
-            start = place - rarity[:, 0]
-            ok = (start >= 0) & (start + length <= self.n_words)
-            w, start, rarity = w[ok], start[ok], rarity[ok]
-            for k in range(1, length):  # intersect with the next rarest list, shifted by its offset
-                ok = self.term[start + rarity[:, k]] == table[w, rarity[:, k]]
-                w, start, rarity = w[ok], start[ok], rarity[ok]
-            ok = self.text_of[start] == self.text_of[start + length - 1]
-            found.append((w[ok], start[ok]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-    def _next(self, term: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """The least place of the term at or after ``place``; far beyond the block if there is none."""
-        at = np.searchsorted(self.keys, term * (self.n_words + 1) + place)
-        inside = at < self.begin[term + 1]
-        return np.where(inside, self.places[np.minimum(at, len(self.places) - 1)], 2 * self.n_words + 2)
-
-    def near(self, table: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """(window, text) pairs that are near each other."""
-        length, found = table.shape[1], []
-        reach = length + slop
-        for w, place, rarity in self._candidates(table):
-            text = self.text_of[place]
-            low = np.maximum(place - reach + 1, self.block.first[text])
-            high = np.minimum(place + reach, self.block.first[text + 1])
-            for k in range(1, length):  # a place of each term close enough to the rarest term's
-                ok = self._next(table[w, rarity[:, k]], low) < high
-                w, place, rarity, text, low, high = w[ok], place[ok], rarity[ok], text[ok], low[ok], high[ok]
-            good = np.zeros(len(w), dtype=bool)
-            for back in range(reach):  # runs that begin ``back`` words before the rarest term
-                left = place - back
-                rows = np.flatnonzero((left >= low) & ~good)
-                last = np.zeros(len(rows), dtype=np.int64)
-                for k in range(length):
-                    np.maximum(last, self._next(table[w[rows], k], left[rows]), out=last)
-                good[rows] = last < np.minimum(left[rows] + reach, high[rows])
-            found.append((w[good], text[good]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
-
-    def correct(self, places: np.ndarray) -> bool:
-        """Compare the words at ``places`` byte by byte with their terms; drop any that differ, and say whether none did."""
-        places = np.unique(places)
-        wrong = []
-        for term in np.unique(self.term[places]):
-            own = places[self.term[places] == term]
-            word = np.frombuffer(self.windows.terms[term], dtype=np.uint8)
-            fits = self.block.end[own] - self.block.start[own] == len(word)
-            same = np.zeros(len(own), dtype=bool)
-            same[fits] = (self.block.folded[self.block.start[own[fits], None] + np.arange(len(word))] == word).all(axis=1)
-            wrong.append(own[~same])
-        wrong = np.concatenate(wrong) if wrong else places[:0]
-        if len(wrong):
-            self.term[wrong] = -1
-            self._sort()
-        return not len(wrong)
-
-
-def search_block(block: Block, windows: Windows, slop: int | None) -> tuple[np.ndarray, list[set[int]], list[set[int]]]:
-    """Of each word whether it is hit; of each text the items that occur in it, and those that are near it."""
-    index = Postings(block, windows)
-    while True:
-        found = [(table, owners, *index.phrases(table)) for table, owners in windows.by_length]
-        hit = np.zeros(index.n_words + 1, dtype=np.int64)
-        for table, _, _, start in found:
-            np.add.at(hit, start, 1)
-            np.add.at(hit, start + table.shape[1], -1)
-        covered = np.cumsum(hit[:-1]) > 0
-        if index.correct(np.flatnonzero(covered)):
-            break
-    items: list[set[int]] = [set() for _ in range(block.n_texts)]
-    close: list[set[int]] = [set() for _ in range(block.n_texts)]
-
-    def give(to: list[set[int]], owners: list[list[int]], w: np.ndarray, text: np.ndarray) -> None:
-        for pair in np.unique(text * len(owners) + w).tolist():
-            to[pair // len(owners)].update(owners[pair % len(owners)])
-
-    for table, owners, w, start in found:
-        give(items, owners, w, index.text_of[start])
-        if slop is not None:
-            give(close, owners, *index.near(table, slop))
-    return covered, items, close
-
-
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> list[list[tuple[str | None, bytes]]]:
-    """The items as (identifier as text, UTF-8 text), in blocks of about ``limit`` bytes by a hash of the identifier, or of the text where that is null."""
-    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), text_or_empty(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = -(-size // limit) if size else 0
-    dealt = rows.withColumn("block", F.pmod(F.when(F.col("item").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item")), F.lit(max(n, 1))))
-    return [[(r["item"], r["text"].encode()) for r in dealt.filter(F.col("block") == k).collect()] for k in range(n)]
-
-
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = WINDOW, slop: int | None = SLOP, benchmark_bytes: int = BENCHMARK_BYTES, passing: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, spans (word positions [start, end) that are hit), items, near_items (both in order as text), and each column c in ``passing`` as keep_c."""
-    kind = docs.schema[id_col].dataType.simpleString()
-    span = "array<struct<start:bigint,end:bigint>>"
-    schema = f"doc_id {kind}, text string, n_words long, spans {span}, items array<string>, near_items array<string>"
-    schema += "".join(f", `keep_{c}` {docs.schema[c].dataType.simpleString()}" for c in passing or [])
-    kept = [docs[c].alias(f"keep_{c}") for c in passing or []]
-    none = [F.lit(0).cast("long").alias("n_words"), F.array().cast(span).alias("spans"), F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("near_items")]
-    found = docs.select(docs[id_col].alias("doc_id"), text_or_empty(text_col).alias("text"), *none, *kept)
-    parts = benchmark_blocks(benchmark, item_col, item_text_col, benchmark_bytes) or [[]]
-    for number, items in enumerate(parts):
-        found = map_batches(found, _pass(Windows(items, width), slop, number == len(parts) - 1), schema)
-    return found.drop("text")
-
-
-def _pass(windows: Windows, slop: int | None, last: bool):
+from quern.functions.text import ascii_lower
+
+from .shared import map_batches, text_or_empty, written
+from .words import BLOCK_BYTES, Block, utf8
+
+WINDOW, SLOP, VOCABULARY_BYTES = 10, 4, 4 << 20
+#: A place is (task, block of the task, word of the block) in 20, COUNT_BITS and BLOCK_BITS bits; a cell has 2**CELL_BITS places; so many places lie between texts.
+COUNT_BITS, BLOCK_BITS, CELL_BITS, GAP = 13, 30, 15, 256
+_BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct windows (window number, terms), and the items that have each (window, item)."""
+    words = F.regexp_extract_all(ascii_lower(text_or_empty(text_col)), F.lit(WORD), F.lit(0))
+    listed = benchmark.select(F.col(item_col).cast("string").alias("item"), words.alias("words")).filter(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - width + 1))
+    owned = written(listed.select("item", F.explode(F.transform(starts, lambda k: F.slice("words", k, width))).alias("terms")).distinct())
+    windows = written(owned.select("terms").distinct().withColumn("window", F.monotonically_increasing_id()))
+    return windows, windows.join(owned, "terms").select("window", "item")
+
+
+def vocabulary_hashes(windows: DataFrame, limit: int) -> np.ndarray | None:
+    """Sorted hashes of the windows' terms; None if the terms have more than ``limit`` bytes."""
+    terms = windows.select(F.explode("terms").alias("term")).distinct()
+    if (terms.agg(F.sum(F.octet_length("term") + 1)).first()[0] or 0) > limit:
+        return None
+    words = [r["term"].encode() for r in terms.collect()]
+    return np.sort(Block([b" ".join(words)]).word_hashes())
+
+
+def _slices(text: bytes, size: int) -> Iterator[bytes]:
+    """A long text in slices of about ``size`` bytes that end between words."""
+    at = 0
+    while at < len(text):
+        found = _BETWEEN.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _blocks(texts: list[bytes], limit: int) -> Iterator[tuple[list[int], Block, np.ndarray, np.ndarray | None]]:
+    """Blocks of texts: (numbers of the texts that begin in it, block, place of each of its words, where those texts begin); a slice after a long text's first begins none."""
+    held: list[int] = []
+    size = 0
+
+    def together() -> tuple[list[int], Block, np.ndarray, np.ndarray]:
+        block = Block([texts[i] for i in held])
+        return held, block, np.arange(len(block.start)) + GAP * block.text_of, block.first[:-1] + GAP * np.arange(len(held))
+
+    for i, text in enumerate(texts):
+        if held and size + len(text) > limit:
+            yield together()
+            held, size = [], 0
+        if len(text) > limit:
+            so_far = 0
+            for k, part in enumerate(_slices(text, limit)):
+                block = Block([part])
+                yield [] if k else [i], block, np.arange(len(block.start)) + so_far, None if k else np.zeros(1, np.int64)
+                so_far += len(block.start)
+        else:
+            held.append(i)
+            size += len(text) + 1
+    if held:
+        yield together()
+
+
+def _same_words(block: Block, words: np.ndarray, first: np.ndarray) -> bool:
+    """Whether each of ``words`` has the length and the outer eight bytes of the word in ``first`` (of up to 16 bytes: is that word)."""
+    folded = np.concatenate((block.folded, np.zeros(8, np.uint8))).astype(np.uint64)
+    eight = np.zeros(len(folded) - 8, dtype=np.uint64)
+    for k in range(8):
+        eight |= folded[k : k + len(eight)] << np.uint64(8 * k)
+    length = block.end - block.start
+    head = eight[block.start] << (8 * (8 - np.minimum(length, 8))).astype(np.uint64)
+    tail = np.where(length >= 8, eight[np.maximum(block.end - 8, 0)], 0)
+    return bool((length[words] == length[first]).all() and (head[words] == head[first]).all() and (tail[words] == tail[first]).all())
+
+
+def _lists(block: Block, places: np.ndarray, vocabulary: np.ndarray | None, cell_bits: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Posting lists of a block: terms, cells, where each list begins (with the end), places in order of list."""
+    hashes = block.word_hashes()
+    words = np.arange(len(hashes))
+    if vocabulary is not None:
+        at = np.minimum(np.searchsorted(vocabulary, hashes), max(0, len(vocabulary) - 1))
+        words = words[vocabulary[at] == hashes] if len(vocabulary) else words[:0]
+    number = hashes[words]
+    order = np.argsort(number, kind="stable")
+    words, number = words[order], number[order]
+    run = np.concatenate(([True], number[1:] != number[:-1])) if len(words) else np.zeros(0, bool)
+    text = block.folded.tobytes()
+    spelt = lambda w: text[block.start[w] : block.end[w]]
+    if len(words) and not _same_words(block, words, words[np.flatnonzero(run)[np.cumsum(run) - 1]]):
+        names: dict[bytes, int] = {}  # two words with one hash: number the words themselves
+        number = np.array([names.setdefault(spelt(w), len(names)) for w in words.tolist()])
+        order = np.lexsort((words, number))
+        words, number = words[order], number[order]
+        run = np.concatenate(([True], number[1:] != number[:-1]))
+    places = places[words]
+    begin = np.flatnonzero(run | np.concatenate(([True], (places[1:] >> cell_bits) != (places[:-1] >> cell_bits)))) if len(words) else np.zeros(0, np.int64)
+    return [spelt(w) for w in words[begin].tolist()], places[begin] >> cell_bits, np.append(begin, len(words)), places
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: np.ndarray | None = None, *, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The index, written: (term, cell, n, places within the cell), and for each text a row without a term: (base, doc_id, print)."""
+
     def make():
+        task, count = TaskContext.get().partitionId(), [0]
+
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n_words, spans, items, close = [], [], [], []
-            old = [batch.column(k).to_pylist() for k in (3, 4, 5)]
-            for at, block in blocks(utf8(batch.column(1))):
-                covered, own, own_near = search_block(block, windows, slop)
-                for i in range(block.n_texts):
-                    a, b = block.first[i], block.first[i + 1]
-                    before = old[0][at + i]
-                    n_words.append(int(b - a))
-                    mine = covered[a:b]
-                    if before:
-                        mine = mine.copy()
-                        for s in before:
-                            mine[s["start"] : s["end"]] = True
-                    edges = np.flatnonzero(np.diff(np.concatenate(([False], mine, [False])).astype(np.int8))).tolist() if mine.any() else []
-                    spans.append([{"start": x, "end": y} for x, y in zip(edges[::2], edges[1::2], strict=True)])
-                    items.append(sorted({*old[1][at + i], *(windows.items[k] for k in own[i])} - {None}))
-                    close.append(sorted({*old[2][at + i], *(windows.items[k] for k in own_near[i])} - {None}))
-            text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [batch.column(0), text, pa.array(n_words, pa.int64()), pa.array(spans, kind), pa.array(items, pa.list_(pa.string())), pa.array(close, pa.list_(pa.string()))]
-            return pa.RecordBatch.from_arrays([*columns, *batch.columns[6:]], names=batch.schema.names)
+            terms, cells, sizes, places, bases, rows = [], [], [], [], [], []
+            for begun, block, local, begins in _blocks(utf8(batch.column(1)), block_bytes):
+                count[0] += begins is not None
+                if count[0] > 1 << COUNT_BITS:
+                    raise ValueError(f"a partition has more than {1 << COUNT_BITS} blocks of text: repartition the documents")
+                base = (task << COUNT_BITS | count[0] - 1) << BLOCK_BITS
+                own, cell, begin, at = _lists(block, local + base, vocabulary, cell_bits)
+                terms += own
+                cells.append(cell)
+                sizes.append(np.diff(begin))
+                places.append((at & ((1 << cell_bits) - 1)).astype(np.int16))
+                rows += begun
+                if begins is not None:
+                    bases.append(begins + base)
+            n = len(terms)
+            empty = lambda k, kind: pa.nulls(k, kind)
+            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, np.full(len(rows), offsets[-1])), pa.int32()), pa.array(np.concatenate(places) if places else np.zeros(0, np.int16)))
+            pick = pa.array(rows, pa.int64())
+            join = lambda a, b: pa.concat_arrays([a, b])
+            columns = [
+                join(pa.array(terms, pa.binary()).cast(pa.string()), empty(len(rows), pa.string())),
+                join(pa.array(np.concatenate(cells) if cells else [], pa.int64()), empty(len(rows), pa.int64())),
+                join(pa.array(np.concatenate(sizes) if sizes else [], pa.int32()), empty(len(rows), pa.int32())),
+                lists,
+                join(empty(n, pa.int64()), pa.array(np.concatenate(bases) if bases else [], pa.int64())),
+                join(empty(n, batch.column(0).type), batch.column(0).take(pick)),
+                join(empty(n, pa.int64()), batch.column(2).take(pick)),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["term", "cell", "n", "places", "base", "doc_id", "print"])
 
         return step
 
-    return make
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = text_or_empty(text_col)
+    rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
+    index = map_batches(rows, make, f"term string, cell long, n int, places array<short>, base long, doc_id {kind}, print long")
+    dealt = index.repartition("term", F.shiftright(F.coalesce("cell", F.shiftright("base", cell_bits)), 12))
+    return written(dealt.sortWithinPartitions("term", "cell"))
+
+
+def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell_bits: int = CELL_BITS) -> DataFrame:
+    """Matches of windows: (window, place of the rarest term, start, length, exact, near); ``near`` is false if ``slop`` is None."""
+    lists = index.filter("term IS NOT NULL").select("term", "cell", "n", "places")
+    frequency = lists.groupBy("term").agg(F.sum("n").alias("frequency"))
+    spread = windows.select("window", F.size("terms").alias("length"), F.size(F.array_distinct("terms")).alias("distinct"), F.posexplode("terms").alias("offset", "term"))
+    parts = spread.groupBy("window", "length", "distinct", "term").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))  # at most ``width``
+    asked = parts.join(frequency, "term").groupBy("window", "length", "distinct").agg(F.array_sort(F.collect_list(F.struct("frequency", "term", "offsets"))).alias("parts"))
+    asked = written(asked.filter(F.size("parts") == F.col("distinct")).select("window", "length", "parts"))
+    part = lambda k: F.try_element_at("parts", F.lit(k))
+    first = asked.select("window", "length", part(1)["term"].alias("term"), part(1)["offsets"][0].alias("first"), part(2)["term"].alias("second"), part(2)["offsets"][0].alias("next"))
+    found = first.join(lists.select("term", "cell", F.explode("places").alias("low")), "term").withColumn("place", F.shiftleft("cell", cell_bits) + F.col("low")).drop("term", "cell", "low", "n")
+
+    def close(rows: DataFrame, offset: Column) -> DataFrame:
+        """Rows with the places of their term that are close enough: where the term at ``offset`` must be if there is no slop, else within reach of the place found."""
+        if slop is None:
+            low = high = F.col("place") - F.col("first") + offset
+        else:
+            low, high = F.col("place") - F.col("length") - slop + 1, F.col("place") + F.col("length") + slop - 1
+        rows = rows.withColumns({"low": low, "high": high})
+        rows = rows.withColumn("cell", F.explode(F.array_distinct(F.array(F.shiftright("low", cell_bits), F.shiftright("high", cell_bits)))))
+        begin = F.shiftleft("cell", cell_bits)
+        least, most = F.greatest(F.col("low") - begin, F.lit(0)).cast("short"), F.least(F.col("high") - begin, F.lit((1 << cell_bits) - 1)).cast("short")
+        rows = rows.join(lists.drop("n"), ["term", "cell"])
+        if slop is None:
+            rows = rows.filter(F.array_contains("places", least)).withColumn("around", F.array("low"))
+        else:
+            rows = rows.withColumn("around", F.transform(F.array_intersect(F.sequence(least, most), "places"), lambda p: begin + p)).filter(F.size("around") > 0)
+        return rows.drop("places", "low", "high", "cell")
+
+    pairs = close(found.filter("second IS NOT NULL").withColumnRenamed("second", "term"), F.col("next")).select("window", "length", "first", "place")
+    alone = found.filter("second IS NULL").select("window", "length", "first", "place")
+    kept = written(pairs.union(alone).distinct())
+    words = windows.select("window", F.posexplode("terms").alias("offset", "term"))
+    every = close(kept.join(words, "window"), F.col("offset"))
+    right = F.when(F.array_contains("around", F.col("place") - F.col("first") + F.col("offset")), F.col("offset"))
+    seen = every.groupBy("window", "length", "first", "place").agg(F.size(F.collect_set(right)).alias("right"), *([F.collect_list(F.struct("offset", "around")).alias("all")] if slop is not None else []))
+    near = F.lit(False)
+    if slop is not None:
+        reach = F.col("length") + slop
+        near = F.exists(
+            F.sequence(F.col("place") - reach + 1, F.col("place")),
+            lambda s: F.forall(F.sequence(F.lit(0), F.col("length") - 1), lambda o: F.exists("all", lambda x: (x["offset"] == o) & F.exists(x["around"], lambda p: (p >= s) & (p < s + reach)))),
+        )
+    matches = seen.select("window", "place", (F.col("place") - F.col("first")).alias("start"), "length", (F.col("right") == F.col("length")).alias("exact"), near.alias("near"))
+    return matches.filter("exact OR near")
+
+
+def _texts_of(index: DataFrame, matches: DataFrame) -> DataFrame:
+    """Matches with the text that each lies in: base, doc_id, print. Texts of a block and its matches are read in order of place."""
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    texts = index.filter("term IS NULL").select(F.col("base").alias("at"), F.lit(0).alias("kind"), F.struct("base", "doc_id", "print").alias("text"), *(none(c, k) for c, k in (("window", "long"), ("start", "long"), ("length", "int"), ("exact", "boolean"), ("near", "boolean"))))
+    places = matches.select(F.col("place").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(texts.schema["text"].dataType).alias("text"), "window", "start", "length", "exact", "near")
+    blocks = places.select(F.shiftright("at", BLOCK_BITS).alias("block")).distinct()
+    both = texts.withColumn("block", F.shiftright("at", BLOCK_BITS)).join(blocks, "block", "left_semi").unionByName(places.withColumn("block", F.shiftright("at", BLOCK_BITS)))
+    before = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("text", F.last("text", ignorenulls=True).over(before)).filter("kind = 1").select("text.*", "window", "start", "length", "exact", "near")
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = WINDOW, slop: int | None = SLOP, vocabulary_bytes: int = VOCABULARY_BYTES, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES, passing: list[str] | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_words, spans (word positions [start, end) that are hit), items, near_items (both in order as text), and each column c in ``passing`` as keep_c."""
+    if 2 * (width + (slop or 0)) > min(GAP, 1 << cell_bits):
+        raise ValueError("width and slop reach too far for the gap between texts, or for cells")
+    windows, owners = benchmark_windows(benchmark, item_col, item_text_col, width)
+    index = build_index(docs, id_col, text_col, vocabulary_hashes(windows, vocabulary_bytes), cell_bits=cell_bits, block_bytes=block_bytes)
+    matches = written(_texts_of(index, written(search_index(index, windows, slop, cell_bits=cell_bits))))
+
+    own = Window.partitionBy("base").orderBy("start", "end")
+    start = F.col("start") - F.col("base")
+    hits = matches.filter("exact").select("base", start.alias("start"), (start + F.col("length")).alias("end")).distinct()
+    reached = F.max("end").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    runs = hits.withColumn("fresh", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int")).withColumn("run", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = runs.groupBy("base", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = spans.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    named = matches.select("base", "window", "exact", "near").distinct().join(owners.filter("item IS NOT NULL"), "window")
+    listed = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("item")))).alias(c)
+    items = named.groupBy("base").agg(listed("exact"), listed("near")).toDF("base", "items", "near_items")
+    found = matches.groupBy("base").agg(F.first("doc_id").alias("doc_id"), F.first("print").alias("print")).join(spans, "base", "left").join(items, "base", "left")
+    found = found.dropDuplicates(["doc_id", "print"]).drop("base")
+
+    body = text_or_empty(text_col)
+    rows = docs.select(docs[id_col].alias("own_id"), F.xxhash64(body).alias("own_print"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"), *(docs[c].alias(f"keep_{c}") for c in passing or []))
+    rows = rows.join(found, rows["own_id"].eqNullSafe(found["doc_id"]) & (rows["own_print"] == found["print"]), "left")
+    none = lambda kind: F.array().cast(kind)
+    return rows.select(
+        F.col("own_id").alias("doc_id"),
+        "n_words",
+        F.coalesce("spans", none("array<struct<start:bigint,end:bigint>>")).alias("spans"),
+        F.coalesce("items", none("array<string>")).alias("items"),
+        F.coalesce("near_items", none("array<string>")).alias("near_items"),
+        *(f"keep_{c}" for c in passing or []),
+    )

@@ -57,7 +57,7 @@ from .shared import map_batches, small_batches, text_or_empty, written
 from .words import blocks, mix, utf8
 
 WIDTH, THRESHOLD, TREES, DEPTH, RECALL = 5, 0.8, 12, 5, 0.999
-BLOCK_ROWS, BLOCK_BYTES, FILTER_BITS, BALL = 1024, 8 << 20, 1 << 25, 64
+BLOCK_ROWS, BLOCK_BYTES, FILTER_BITS, BALL = 256, 8 << 20, 1 << 25, 64
 
 
 def shortest_prefix(threshold: float, trees: int, depth: int, recall: float) -> int:

@@ -174,24 +174,35 @@ def brute_leaks(docs, items, width, slop):
     return out
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 60])
-def test_contamination_equals_brute_force(spark, limit):
+@pytest.mark.parametrize("limit, block, cell", [(1 << 20, 1 << 20, 15), (0, 100, 4)])
+def test_contamination_equals_brute_force(spark, limit, block, cell):
     rnd = random.Random(4)
     text = lambda n: " ".join(rnd.choice("abcdÉ") + rnd.choice(["", "x", ",", "."]) for _ in range(n))
-    docs = [None, "", "...", *(text(rnd.randrange(60)) for _ in range(40)), "a b " * 30_000]
+    docs = [None, "", "...", *(text(rnd.randrange(60)) for _ in range(40)), "a b " * 3_000]
     items = [("0", None), ("1", ""), *((str(k), text(rnd.randrange(1, 9))) for k in range(2, 12)), ("10", "a")]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string").withColumn("items", F.lit(1))
     bench = spark.createDataFrame([*items, (None, "a")], "item_id string, text string")
-    found = leaks.find_contamination(df, bench, width=4, slop=2, benchmark_bytes=limit, passing=["items"]).collect()
+    found = leaks.find_contamination(df, bench, width=4, slop=2, vocabulary_bytes=limit, block_bytes=block, cell_bits=cell, passing=["items"]).collect()
     got = {r["doc_id"]: (r["n_words"], sum(s["end"] - s["start"] for s in r["spans"]), r["items"], r["near_items"]) for r in found}
     want = brute_leaks(docs[:-1], items, 4, 2)
     assert [got[k] for k in range(len(want))] == want
     assert all(r["keep_items"] == 1 for r in found)
+    exact = leaks.find_contamination(df, bench, width=4, slop=None, vocabulary_bytes=limit, block_bytes=block, cell_bits=cell).collect()
+    assert {r["doc_id"]: (r["spans"], r["items"], r["near_items"]) for r in exact} == {r["doc_id"]: (r["spans"], r["items"], []) for r in found}
     empty = leaks.find_contamination(df, bench.filter("false")).collect()
     assert len(empty) == len(docs) and not any(r["spans"] or r["items"] for r in empty)
     assert leaks.find_contamination(df.filter("false"), bench).isEmpty()
 
 
+def test_words_with_one_hash_are_told_apart(monkeypatch):
+    import numpy as np
+
+    block = leaks.Block([b"aa bb aa longerthansixteenbytesA longerthansixteenbytesB cc bb"])
+    monkeypatch.setattr(leaks.Block, "word_hashes", lambda self: np.zeros(len(self.start), np.uint64))
+    terms, cells, begin, places = leaks._lists(block, np.arange(7), None, 15)
+    assert {t: places[a:b].tolist() for t, a, b in zip(terms, begin, begin[1:])} == {b"aa": [0, 2], b"bb": [1, 6], b"longerthansixteenbytesa": [3], b"longerthansixteenbytesb": [4], b"cc": [5]}
+
+
 def test_pipeline_equals_brute_force(spark, sf_dir):
     import corpus_pipeline
 
@@ -247,9 +258,9 @@ def test_null_identifiers_are_joined(spark):
     assert Counter(x for x in kept if x[1] not in (a, a + " end")) == {(10, b + " end"): 1, (9, "other words"): 2, (None, c): 1, (None, None): 1}
 
 
-@pytest.mark.parametrize("limit", [1 << 20, 20])
+@pytest.mark.parametrize("limit", [1 << 20, 0])
 def test_items_without_identifier_count(spark, limit):
     df = spark.createDataFrame([(1, "x a b c d y"), (2, "p q r s"), (3, "b a d c"), (4, "none")], "doc_id int, text string")
     bench = spark.createDataFrame([(None, "a b c d"), ("7", "p q r s"), (None, "p q r s"), (None, None)], "item_id string, text string")
-    found = {r["doc_id"]: ([tuple(x) for x in r["spans"]], r["items"], r["near_items"]) for r in leaks.find_contamination(df, bench, width=4, slop=2, benchmark_bytes=limit).collect()}
+    found = {r["doc_id"]: ([tuple(x) for x in r["spans"]], r["items"], r["near_items"]) for r in leaks.find_contamination(df, bench, width=4, slop=2, vocabulary_bytes=limit).collect()}
     assert found == {1: ([(1, 5)], [], []), 2: ([(0, 4)], ["7"], ["7"]), 3: ([], [], []), 4: ([], [], [])}

@@ -47,7 +47,7 @@ from .words import BLOCK_BYTES, Block, utf8
 
 WINDOW, SLOP, VOCABULARY_BYTES = 10, 4, 4 << 20
 #: A place is (task, block of the task, word of the block) in 20, COUNT_BITS and BLOCK_BITS bits; a cell has 2**CELL_BITS places; so many places lie between texts.
-COUNT_BITS, BLOCK_BITS, CELL_BITS, GAP = 13, 30, 15, 256
+COUNT_BITS, BLOCK_BITS, CELL_BITS, GAP = 13, 30, 15, 32
 _BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -81,42 +81,46 @@ def _slices(text: bytes, size: int) -> Iterator[bytes]:
         at = end
 
 
-def _blocks(texts: list[bytes], limit: int) -> Iterator[tuple[list[int], Block, np.ndarray, np.ndarray | None]]:
-    """Blocks of texts: (numbers of the texts that begin in it, block, place of each of its words, where those texts begin); a slice after a long text's first begins none."""
+def _blocks(texts: list[bytes], limit: int) -> Iterator[tuple[bool, Block, np.ndarray, list[tuple[int, int, int]]]]:
+    """Blocks of texts: (whether places begin anew, block, place of each of its words, and of the texts that end in it the number, begin and count of words)."""
     held: list[int] = []
     size = 0
 
-    def together() -> tuple[list[int], Block, np.ndarray, np.ndarray]:
+    def together() -> tuple[bool, Block, np.ndarray, list[tuple[int, int, int]]]:
         block = Block([texts[i] for i in held])
-        return held, block, np.arange(len(block.start)) + GAP * block.text_of, block.first[:-1] + GAP * np.arange(len(held))
+        first = block.first[:-1] + GAP * np.arange(len(held))
+        return True, block, np.arange(len(block.start)) + GAP * block.text_of, list(zip(held, first.tolist(), np.diff(block.first).tolist(), strict=True))
 
     for i, text in enumerate(texts):
         if held and size + len(text) > limit:
             yield together()
             held, size = [], 0
-        if len(text) > limit:
-            so_far = 0
-            for k, part in enumerate(_slices(text, limit)):
-                block = Block([part])
-                yield [] if k else [i], block, np.arange(len(block.start)) + so_far, None if k else np.zeros(1, np.int64)
-                so_far += len(block.start)
-        else:
+        if len(text) <= limit:
             held.append(i)
             size += len(text) + 1
+            continue
+        so_far, left = 0, len(text)
+        for part in _slices(text, limit):
+            block, fresh = Block([part]), left == len(text)
+            left -= len(part)
+            places = np.arange(len(block.start)) + so_far
+            so_far += len(block.start)
+            yield fresh, block, places, [] if left else [(i, 0, so_far)]
     if held:
         yield together()
 
 
 def _same_words(block: Block, words: np.ndarray, first: np.ndarray) -> bool:
     """Whether each of ``words`` has the length and the outer eight bytes of the word in ``first`` (of up to 16 bytes: is that word)."""
-    folded = np.concatenate((block.folded, np.zeros(8, np.uint8))).astype(np.uint64)
-    eight = np.zeros(len(folded) - 8, dtype=np.uint64)
+    start, end = block.start[words], block.end[words]
+    other, stop = block.start[first], block.end[first]
+    if (end - start != stop - other).any():
+        return False
     for k in range(8):
-        eight |= folded[k : k + len(eight)] << np.uint64(8 * k)
-    length = block.end - block.start
-    head = eight[block.start] << (8 * (8 - np.minimum(length, 8))).astype(np.uint64)
-    tail = np.where(length >= 8, eight[np.maximum(block.end - 8, 0)], 0)
-    return bool((length[words] == length[first]).all() and (head[words] == head[first]).all() and (tail[words] == tail[first]).all())
+        left, right = np.minimum(start + k, end - 1), np.maximum(end - 1 - k, start)
+        if (block.folded[left] != block.folded[other + (left - start)]).any() or (block.folded[right] != block.folded[other + (right - start)]).any():
+            return False
+    return True
 
 
 def _lists(block: Block, places: np.ndarray, vocabulary: np.ndarray | None, cell_bits: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -144,15 +148,15 @@ def _lists(block: Block, places: np.ndarray, vocabulary: np.ndarray | None, cell
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: np.ndarray | None = None, *, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The index, written: (term, cell, n, places within the cell), and for each text a row without a term: (base, doc_id, print)."""
+    """The index, written: (term, cell, n, places within the cell), and for each text a row without a term: (base, doc_id, print, n_words)."""
 
     def make():
         task, count = TaskContext.get().partitionId(), [0]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            terms, cells, sizes, places, bases, rows = [], [], [], [], [], []
-            for begun, block, local, begins in _blocks(utf8(batch.column(1)), block_bytes):
-                count[0] += begins is not None
+            terms, cells, sizes, places, texts = [], [], [], [], []
+            for fresh, block, local, ended in _blocks(utf8(batch.column(1)), block_bytes):
+                count[0] += fresh
                 if count[0] > 1 << COUNT_BITS:
                     raise ValueError(f"a partition has more than {1 << COUNT_BITS} blocks of text: repartition the documents")
                 base = (task << COUNT_BITS | count[0] - 1) << BLOCK_BITS
@@ -160,39 +164,27 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 terms += own
                 cells.append(cell)
                 sizes.append(np.diff(begin))
-                places.append((at & ((1 << cell_bits) - 1)).astype(np.int16))
-                rows += begun
-                if begins is not None:
-                    bases.append(begins + base)
-            n = len(terms)
-            empty = lambda k, kind: pa.nulls(k, kind)
-            offsets = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))) if sizes else np.zeros(1, np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(offsets, np.full(len(rows), offsets[-1])), pa.int32()), pa.array(np.concatenate(places) if places else np.zeros(0, np.int16)))
-            pick = pa.array(rows, pa.int64())
-            join = lambda a, b: pa.concat_arrays([a, b])
-            columns = [
-                join(pa.array(terms, pa.binary()).cast(pa.string()), empty(len(rows), pa.string())),
-                join(pa.array(np.concatenate(cells) if cells else [], pa.int64()), empty(len(rows), pa.int64())),
-                join(pa.array(np.concatenate(sizes) if sizes else [], pa.int32()), empty(len(rows), pa.int32())),
-                lists,
-                join(empty(n, pa.int64()), pa.array(np.concatenate(bases) if bases else [], pa.int64())),
-                join(empty(n, batch.column(0).type), batch.column(0).take(pick)),
-                join(empty(n, pa.int64()), batch.column(2).take(pick)),
-            ]
-            return pa.RecordBatch.from_arrays(columns, names=["term", "cell", "n", "places", "base", "doc_id", "print"])
+                places.append((at & ((1 << cell_bits) - 1)).astype(np.int32))
+                texts += [(i, start + base, n) for i, start, n in ended]
+            size, rows = np.concatenate(sizes), pa.array([i for i, _, _ in texts], pa.int64())
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(places)))
+            postings = pa.record_batch([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(np.concatenate(cells), pa.int64()), pa.array(size, pa.int32()), lists], names=["term", "cell", "n", "places"])
+            directory = pa.record_batch([pa.array([b for _, b, _ in texts], pa.int64()), batch.column(0).take(rows), batch.column(2).take(rows), pa.array([n for _, _, n in texts], pa.int64())], names=["base", "doc_id", "print", "n_words"])
+            both = pa.concat_tables([pa.Table.from_batches([postings]), pa.Table.from_batches([directory])], promote_options="default")
+            return both.combine_chunks().to_batches()[0]
 
         return step
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = text_or_empty(text_col)
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
-    index = map_batches(rows, make, f"term string, cell long, n int, places array<short>, base long, doc_id {kind}, print long")
-    dealt = index.repartition("term", F.shiftright(F.coalesce("cell", F.shiftright("base", cell_bits)), 12))
+    index = map_batches(rows, make, f"term string, cell long, n int, places array<int>, base long, doc_id {kind}, print long, n_words long")
+    dealt = index.repartition("term", F.shiftright(F.coalesce("cell", F.shiftright("base", cell_bits)), 24 - min(cell_bits, 24)))
     return written(dealt.sortWithinPartitions("term", "cell"))
 
 
-def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell_bits: int = CELL_BITS) -> DataFrame:
-    """Matches of windows: (window, place of the rarest term, start, length, exact, near); ``near`` is false if ``slop`` is None."""
+def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell_bits: int = CELL_BITS, few_terms: bool = False) -> DataFrame:
+    """Matches of windows: (window, place of the rarest term, start, length, exact, near); ``near`` is false if ``slop`` is None. ``few_terms``: the windows' terms are known to fit into every task."""
     lists = index.filter("term IS NOT NULL").select("term", "cell", "n", "places")
     frequency = lists.groupBy("term").agg(F.sum("n").alias("frequency"))
     spread = windows.select("window", F.size("terms").alias("length"), F.size(F.array_distinct("terms")).alias("distinct"), F.posexplode("terms").alias("offset", "term"))
@@ -201,9 +193,9 @@ def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell
     asked = written(asked.filter(F.size("parts") == F.col("distinct")).select("window", "length", "parts"))
     part = lambda k: F.try_element_at("parts", F.lit(k))
     first = asked.select("window", "length", part(1)["term"].alias("term"), part(1)["offsets"][0].alias("first"), part(2)["term"].alias("second"), part(2)["offsets"][0].alias("next"))
-    found = first.join(lists.select("term", "cell", F.explode("places").alias("low")), "term").withColumn("place", F.shiftleft("cell", cell_bits) + F.col("low")).drop("term", "cell", "low", "n")
+    found = first.join(lists, "term").withColumn("low", F.explode("places")).withColumn("place", F.shiftleft("cell", cell_bits) + F.col("low")).drop("term", "cell", "low", "n", "places")
 
-    def close(rows: DataFrame, offset: Column) -> DataFrame:
+    def close(rows: DataFrame, offset: Column, lists: DataFrame) -> DataFrame:
         """Rows with the places of their term that are close enough: where the term at ``offset`` must be if there is no slop, else within reach of the place found."""
         if slop is None:
             low = high = F.col("place") - F.col("first") + offset
@@ -212,19 +204,21 @@ def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell
         rows = rows.withColumns({"low": low, "high": high})
         rows = rows.withColumn("cell", F.explode(F.array_distinct(F.array(F.shiftright("low", cell_bits), F.shiftright("high", cell_bits)))))
         begin = F.shiftleft("cell", cell_bits)
-        least, most = F.greatest(F.col("low") - begin, F.lit(0)).cast("short"), F.least(F.col("high") - begin, F.lit((1 << cell_bits) - 1)).cast("short")
+        least, most = F.greatest(F.col("low") - begin, F.lit(0)).cast("int"), F.least(F.col("high") - begin, F.lit((1 << cell_bits) - 1)).cast("int")
         rows = rows.join(lists.drop("n"), ["term", "cell"])
         if slop is None:
             rows = rows.filter(F.array_contains("places", least)).withColumn("around", F.array("low"))
         else:
-            rows = rows.withColumn("around", F.transform(F.array_intersect(F.sequence(least, most), "places"), lambda p: begin + p)).filter(F.size("around") > 0)
+            rows = rows.withColumn("around", F.transform(F.array_intersect("places", F.sequence(least, most)), lambda p: begin + p)).filter(F.size("around") > 0)
         return rows.drop("places", "low", "high", "cell")
 
-    pairs = close(found.filter("second IS NOT NULL").withColumnRenamed("second", "term"), F.col("next")).select("window", "length", "first", "place")
+    seconds = first.select(F.col("second").alias("term")).filter("term IS NOT NULL").distinct()
+    rarer = lists.join(F.broadcast(seconds) if few_terms else seconds, "term", "left_semi")
+    pairs = close(found.filter("second IS NOT NULL").withColumnRenamed("second", "term"), F.col("next"), rarer).select("window", "length", "first", "place")
     alone = found.filter("second IS NULL").select("window", "length", "first", "place")
     kept = written(pairs.union(alone).distinct())
     words = windows.select("window", F.posexplode("terms").alias("offset", "term"))
-    every = close(kept.join(words, "window"), F.col("offset"))
+    every = close(kept.join(words, "window"), F.col("offset"), lists)
     right = F.when(F.array_contains("around", F.col("place") - F.col("first") + F.col("offset")), F.col("offset"))
     seen = every.groupBy("window", "length", "first", "place").agg(F.size(F.collect_set(right)).alias("right"), *([F.collect_list(F.struct("offset", "around")).alias("all")] if slop is not None else []))
     near = F.lit(False)
@@ -238,24 +232,28 @@ def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell
     return matches.filter("exact OR near")
 
 
-def _texts_of(index: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matches with the text that each lies in: base, doc_id, print. Texts of a block and its matches are read in order of place."""
-    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    texts = index.filter("term IS NULL").select(F.col("base").alias("at"), F.lit(0).alias("kind"), F.struct("base", "doc_id", "print").alias("text"), *(none(c, k) for c, k in (("window", "long"), ("start", "long"), ("length", "int"), ("exact", "boolean"), ("near", "boolean"))))
-    places = matches.select(F.col("place").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(texts.schema["text"].dataType).alias("text"), "window", "start", "length", "exact", "near")
-    blocks = places.select(F.shiftright("at", BLOCK_BITS).alias("block")).distinct()
-    both = texts.withColumn("block", F.shiftright("at", BLOCK_BITS)).join(blocks, "block", "left_semi").unionByName(places.withColumn("block", F.shiftright("at", BLOCK_BITS)))
-    before = Window.partitionBy("block").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("text", F.last("text", ignorenulls=True).over(before)).filter("kind = 1").select("text.*", "window", "start", "length", "exact", "near")
+def _with_texts(index: DataFrame, matches: DataFrame) -> DataFrame:
+    """Matches with the base of the text that each lies in. Texts of a block and its matches are read in order of place."""
+    block = F.shiftright("at", BLOCK_BITS)
+    texts = index.filter("term IS NULL").select(F.col("base").alias("at"), "base")
+    places = matches.withColumnRenamed("place", "at").withColumn("block", block)
+    both = texts.withColumn("block", block).join(places.select("block").distinct(), "block", "left_semi").unionByName(places, allowMissingColumns=True)
+    before = Window.partitionBy("block").orderBy("at", F.col("window").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("base", F.last("base", ignorenulls=True).over(before)).filter("window IS NOT NULL").drop("block", "at")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", *, width: int = WINDOW, slop: int | None = SLOP, vocabulary_bytes: int = VOCABULARY_BYTES, cell_bits: int = CELL_BITS, block_bytes: int = BLOCK_BYTES, passing: list[str] | None = None) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_words, spans (word positions [start, end) that are hit), items, near_items (both in order as text), and each column c in ``passing`` as keep_c."""
+    """One row per row of ``docs``: doc_id, n_words, spans (word positions [start, end) that are hit), items, near_items (both in order as text).
+
+    With ``passing``, each column c of it is returned as keep_c, and ``n_words`` is not: texts
+    without a match are then neither moved nor joined with the index, if Spark can broadcast the others.
+    """
     if 2 * (width + (slop or 0)) > min(GAP, 1 << cell_bits):
         raise ValueError("width and slop reach too far for the gap between texts, or for cells")
     windows, owners = benchmark_windows(benchmark, item_col, item_text_col, width)
-    index = build_index(docs, id_col, text_col, vocabulary_hashes(windows, vocabulary_bytes), cell_bits=cell_bits, block_bytes=block_bytes)
-    matches = written(_texts_of(index, written(search_index(index, windows, slop, cell_bits=cell_bits))))
+    vocabulary = vocabulary_hashes(windows, vocabulary_bytes)
+    index = build_index(docs, id_col, text_col, vocabulary, cell_bits=cell_bits, block_bytes=block_bytes)
+    matches = written(_with_texts(index, written(search_index(index, windows, slop, cell_bits=cell_bits, few_terms=vocabulary is not None))))
 
     own = Window.partitionBy("base").orderBy("start", "end")
     start = F.col("start") - F.col("base")
@@ -267,18 +265,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     named = matches.select("base", "window", "exact", "near").distinct().join(owners.filter("item IS NOT NULL"), "window")
     listed = lambda c: F.array_sort(F.collect_set(F.when(F.col(c), F.col("item")))).alias(c)
     items = named.groupBy("base").agg(listed("exact"), listed("near")).toDF("base", "items", "near_items")
-    found = matches.groupBy("base").agg(F.first("doc_id").alias("doc_id"), F.first("print").alias("print")).join(spans, "base", "left").join(items, "base", "left")
-    found = found.dropDuplicates(["doc_id", "print"]).drop("base")
-
-    body = text_or_empty(text_col)
-    rows = docs.select(docs[id_col].alias("own_id"), F.xxhash64(body).alias("own_print"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"), *(docs[c].alias(f"keep_{c}") for c in passing or []))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    answers = [none("spans", "array<struct<start:bigint,end:bigint>>"), none("items", "array<string>"), none("near_items", "array<string>")]
+    texts = index.filter("term IS NULL").select("base", "doc_id", "print", "n_words")
+    if passing is None:
+        return texts.join(spans, "base", "left").join(items, "base", "left").select("doc_id", "n_words", *answers)
+    found = texts.join(matches.select("base").distinct(), "base").join(spans, "base", "left").join(items, "base", "left")
+    found = found.dropDuplicates(["doc_id", "print"]).select("doc_id", "print", "spans", "items", "near_items")
+    rows = docs.select(docs[id_col].alias("own_id"), F.xxhash64(text_or_empty(text_col)).alias("own_print"), *(docs[c].alias(f"keep_{c}") for c in passing))
     rows = rows.join(found, rows["own_id"].eqNullSafe(found["doc_id"]) & (rows["own_print"] == found["print"]), "left")
-    none = lambda kind: F.array().cast(kind)
-    return rows.select(
-        F.col("own_id").alias("doc_id"),
-        "n_words",
-        F.coalesce("spans", none("array<struct<start:bigint,end:bigint>>")).alias("spans"),
-        F.coalesce("items", none("array<string>")).alias("items"),
-        F.coalesce("near_items", none("array<string>")).alias("near_items"),
-        *(f"keep_{c}" for c in passing or []),
-    )
+    return rows.select(F.col("own_id").alias("doc_id"), *answers, *(f"keep_{c}" for c in passing))

@@ -2,12 +2,19 @@ r"""Transcript parsing into canonical chat turns.
 
 A hidden Markov model has a state for each role. Each line of a transcript is an
 observation: its speaker marker, if it has one (``User:``, ``### Assistant``,
-``[system]``, ``<|user|>`` and the like, or the row's own marker column), how
-long the row's text is, and whether it asks. At a row's first line and at a
-marked line the speaker may change; elsewhere he goes on. Viterbi recovers the
+``[system]``, ``<|user|>`` and the like, or a column of the caller's with the
+speaker's name), how long the row's text is, whether it has several lines, and
+whether it asks. At a row's first line and at a
+marked line the speaker may change; elsewhere the same one goes on. Viterbi recovers the
 most likely roles of a whole conversation, and each run of lines of one role in
 a row is rendered as one canonical turn.
 
+The tables of the model (who begins, who follows whom, which role has which kind
+of row) can be learned from conversations whose roles are known: counts over at
+most ``LEARN_ROWS`` rows of whole conversations in order of a hash, added to the
+given tables as if those were ``PRIOR`` rows. The roles of the rows that are
+parsed are never read.
+
 A conversation may be of any length: its rows are range-partitioned and sorted
 by their total order, and each partition's share of it (a part) is cut after
 every ``SEGMENT`` rows or ``SEGMENT_CHARS`` characters, whatever their turn
@@ -30,6 +37,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import partial
 
 import numpy as np
@@ -54,14 +62,56 @@ NAMES = {
 _ROLE_OF = {name: k for k, role in enumerate(ROLES) for name in NAMES[role]}
 _MARK = re.compile(r"^\s*(?:#+\s*|[*_]+)?[\[(<]?\|?\s*(?:im_start\|>)?\s*([A-Za-z]+)\s*(?:\|>|[\])>])?(?:[*_]+)?\s*(:|：|$|(?<=[>\])]))\s*(?:[*_]+\s*)?")
 
-# log-probabilities: the first speaker, who follows whom, markers (in a line; in the marker column), and rows by length and question mark
-START = np.log([0.30, 0.65, 0.05])
-NEXT = np.log([[0.02, 0.93, 0.05], [0.02, 0.05, 0.93], [0.02, 0.93, 0.05]])
+#: Bounds of length classes; a row's kind is its class, whether it has several lines, and whether it asks.
+LENGTHS = (40, 100, 200, 350, 600)
+KINDS = 4 * (len(LENGTHS) + 1)
+LEARN_ROWS, PRIOR = 20_000, 20
+# log-probabilities: that a speaker goes on within a row, and of another role's marker in a line or in the marker column
 STAY = np.log([[0.998, 0.001, 0.001], [0.001, 0.998, 0.001], [0.001, 0.001, 0.998]])
 LINE_MARK, COLUMN_MARK = math.log(0.005), math.log(1e-6)
-LENGTHS = (60, 250, 500)
-BY_LENGTH = np.log([[0.20, 0.50, 0.28, 0.02], [0.25, 0.50, 0.23, 0.02], [0.08, 0.12, 0.20, 0.60]])
-BY_QUESTION = np.log([[0.98, 0.02], [0.75, 0.25], [0.92, 0.08]])
+
+_BY_LENGTH = np.array([[0.15, 0.30, 0.25, 0.20, 0.08, 0.02], [0.20, 0.30, 0.22, 0.16, 0.08, 0.04], [0.05, 0.08, 0.10, 0.12, 0.20, 0.45]])
+_BY_LINES = np.array([[0.7, 0.3], [0.55, 0.45], [0.25, 0.75]])
+_BY_QUESTION = np.array([[0.98, 0.02], [0.75, 0.25], [0.92, 0.08]])
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log-probabilities of the first speaker, of who follows whom, and of each role's kinds of rows."""
+
+    start: np.ndarray
+    follow: np.ndarray
+    kinds: np.ndarray
+
+
+GIVEN = Model(
+    np.log([0.30, 0.65, 0.05]),
+    np.log([[0.02, 0.93, 0.05], [0.02, 0.05, 0.93], [0.02, 0.93, 0.05]]),
+    np.log((_BY_LENGTH[:, :, None, None] * _BY_LINES[:, None, :, None] * _BY_QUESTION[:, None, None, :]).reshape(3, KINDS)),
+)
+
+
+def row_kind(text: str) -> int:
+    return 4 * sum(len(text) >= n for n in LENGTHS) + 2 * ("\n" in text) + ("?" in text)
+
+
+def learn(df: DataFrame, learnable: Column, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role", *, most: int = LEARN_ROWS) -> Model:
+    """The model from rows that are ``learnable`` and have a known role; the given one, if there are none."""
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    kind = sum((4 * (F.length(text) >= n).cast("int") for n in LENGTHS), F.lit(0)) + 2 * text.contains("\n").cast("int") + text.contains("?").cast("int")
+    rows = df.filter(learnable & df[role_col].isin(*ROLES) & df[conv_col].isNotNull()).select(df[conv_col].cast("string").alias("conv"), df[turn_col].cast("long").alias("turn"), df[role_col].alias("role"), kind.alias("kind"), F.xxhash64(text).alias("print"))
+    sample = rows.orderBy(F.xxhash64("conv"), "conv", "turn", "print", "role").limit(most).toArrow().to_pydict()  # a bounded sample of labelled rows
+    start, follow, kinds = (PRIOR * np.exp(t) for t in (GIVEN.start, GIVEN.follow, GIVEN.kinds))
+    before: tuple[str | None, int] = (None, -1)
+    for conv, role, row in zip(sample["conv"], sample["role"], sample["kind"], strict=True):
+        k = ROLES.index(role)
+        kinds[k, row] += 1
+        if conv == before[0]:
+            follow[before[1], k] += 1
+        else:
+            start[k] += 1
+        before = (conv, k)
+    return Model(*(np.log(t / t.sum(axis=-1, keepdims=True)) for t in (start, follow, kinds)))
 
 
 def marker(line: str) -> tuple[int, str]:
@@ -75,7 +125,7 @@ def marker(line: str) -> tuple[int, str]:
     return role, line[found.end() :]
 
 
-def observe(text: str, mark: str | None) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def observe(text: str, mark: str | None, model: Model = GIVEN) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Of each line: emission of each role, whether the speaker may change there, and the line without its marker."""
     lines = (text or "").split("\n")
     emission, turns, bare = np.zeros((len(lines), 3)), np.zeros(len(lines), dtype=bool), []
@@ -86,31 +136,31 @@ def observe(text: str, mark: str | None) -> tuple[np.ndarray, np.ndarray, list[s
             emission[k] += np.where(np.arange(3) == role, 0, LINE_MARK)
             turns[k] = True
     turns[0] = True
-    emission[0] += BY_LENGTH[:, sum(len(text or "") >= n for n in LENGTHS)] + BY_QUESTION[:, int("?" in (text or ""))]
+    emission[0] += model.kinds[:, row_kind(text or "")]
     if (role := _ROLE_OF.get((mark or "").strip().lower(), -1)) >= 0:
         emission[0] += np.where(np.arange(3) == role, 0, COLUMN_MARK)
     return emission, turns, bare
 
 
-def transfer(emission: np.ndarray, turns: np.ndarray, first: bool) -> np.ndarray:
+def transfer(emission: np.ndarray, turns: np.ndarray, first: bool, model: Model = GIVEN) -> np.ndarray:
     """Best score from each role before the lines to each role at the last; ``first``: nothing is before."""
     score = np.where(np.eye(3, dtype=bool), 0.0, -np.inf)
     for k in range(len(emission)):
         if first and k == 0:
-            score = np.tile(START + emission[0], (3, 1))
+            score = np.tile(model.start + emission[0], (3, 1))
         else:
-            score = (score[:, :, None] + (NEXT if turns[k] else STAY)).max(axis=1) + emission[k]
+            score = (score[:, :, None] + (model.follow if turns[k] else STAY)).max(axis=1) + emission[k]
     return score
 
 
-def decode(emission: np.ndarray, turns: np.ndarray, entry: int, leave: int) -> list[int]:
+def decode(emission: np.ndarray, turns: np.ndarray, entry: int, leave: int, model: Model = GIVEN) -> list[int]:
     """The best roles of the lines between the role before (-1: none) and the last line's role."""
     score, back = None, np.zeros((len(emission), 3), dtype=np.int64)
     for k in range(len(emission)):
         if k == 0:
-            score = (START if entry < 0 else (NEXT if turns[0] else STAY)[entry]) + emission[0]
+            score = (model.start if entry < 0 else (model.follow if turns[0] else STAY)[entry]) + emission[0]
         else:
-            step = score[:, None] + (NEXT if turns[k] else STAY)
+            step = score[:, None] + (model.follow if turns[k] else STAY)
             back[k] = step.argmax(axis=0)
             score = step.max(axis=0) + emission[k]
     path = [leave]
@@ -144,14 +194,14 @@ def _batch(rows: list[tuple], schema: tuple) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), schema, strict=True)], names=[n for n, _ in schema])
 
 
-def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], size: int, model: Model) -> Iterator[pa.RecordBatch]:
     """First pass, over a range of sorted rows: the rows with their segments, and after each segment a row (place -1) of its 9 scores as the first of a conversation, and 9 as a later one."""
     part, out, held = TaskContext.get().partitionId(), [], 0
     conv, segment, seen, chars = None, 0, [], 0
 
     def table() -> tuple:
         emission, turns = np.concatenate([p[0] for p in seen]), np.concatenate([p[1] for p in seen])
-        return (conv, part, segment, -1, None, None, None, transfer(emission, turns, True)[0].tolist(), transfer(emission, turns, False).ravel().tolist())
+        return (conv, part, segment, -1, None, None, None, transfer(emission, turns, True, model)[0].tolist(), transfer(emission, turns, False, model).ravel().tolist())
 
     for batch in small_batches(batches):
         for row in batch.to_pylist():
@@ -161,7 +211,7 @@ def _cut(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatc
             if row["conv"] != conv:
                 conv, segment = row["conv"], 0
             out.append((conv, part, segment, len(seen), row["turn"], row["mark"], row["text"], None, None))
-            seen.append(observe(row["text"], row["mark"])[:2])
+            seen.append(observe(row["text"], row["mark"], model)[:2])
             chars += len(row["text"] or "")
             held += len(row["text"] or "")
             if len(out) >= 2000 or held >= 4 << 20:
@@ -252,13 +302,13 @@ def render(role: str, text: str) -> str:
 _TURNS = (("conv", pa.string()), ("turn", pa.int64()), ("part", pa.int32()), ("role", pa.string()), ("text", pa.string()), ("rendered", pa.string()))
 
 
-def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _decoded(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     """Third pass: rows of a segment, after the one that holds its two roles."""
     out = []
     for (conv, _, _), rows in _segments(batches, ("conv", "part", "segment"), 3):
         ends, rows = rows[0], rows[1:]
-        parts = [observe(r["text"], r["mark"]) for r in rows]
-        roles = decode(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), ends["entry"], ends["leave"])
+        parts = [observe(r["text"], r["mark"], model) for r in rows]
+        roles = decode(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), ends["entry"], ends["leave"], model)
         at = 0
         for row, (_, _, lines) in zip(rows, parts, strict=True):
             own = roles[at : at + len(lines)]
@@ -276,7 +326,7 @@ def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, _TURNS)
 
 
-def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", mark: Column | None = None) -> DataFrame:
+def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", mark: Column | None = None, model: Model = GIVEN) -> DataFrame:
     """One row per recovered turn: conv_id, turn, part (of the row), role, text, rendered. ``mark``: a column with the speaker's name, if there is one."""
     conv, text = df[conv_col], df[text_col].cast("string")
     rows = df.select(
@@ -290,11 +340,11 @@ def format_chats(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     )
     order = ["conv", "turn", "mark", "prefix", "print"]
     ranged = rows.repartitionByRange(*order, "copy").sortWithinPartitions(*order).select("conv", "turn", "mark", "text")
-    cut = written(ranged.mapInArrow(partial(_cut, size=SEGMENT), _CUT))  # once, as another sample would give other parts
+    cut = written(ranged.mapInArrow(partial(_cut, size=SEGMENT, model=model), _CUT))  # once, as another sample would give other parts
     ends = _ends(cut.filter("place < 0").select("conv", "part", "segment", "begin", "later"), FAN)
     texts = cut.filter("place >= 0").select("conv", "part", "segment", "place", "turn", "mark", "text")
     both = texts.unionByName(ends.withColumn("place", F.lit(-1)), allowMissingColumns=True)
     both = both.repartition("conv", "part", "segment").sortWithinPartitions("conv", "part", "segment", "place")
-    turns = both.mapInArrow(_decoded, "conv string, turn long, part int, role string, text string, rendered string")
+    turns = both.mapInArrow(partial(_decoded, model=model), "conv string, turn long, part int, role string, text string, rendered string")
     named = F.when(F.col("conv") != "", F.expr("substring(conv, 2)")).cast(df.schema[conv_col].dataType)
     return turns.select(named.alias("conv_id"), "turn", "part", "role", "text", "rendered")

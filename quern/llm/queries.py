@@ -150,14 +150,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .op10_chat import format_chats
+    """Roles from the texts alone; the model's tables are learned from conversations that are not held out."""
+    from .op10_chat import format_chats, learn
 
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return format_chats(conversations, mark=F.col("role"))
-
-
-ORACLES["op10_chat_format"] = """
-SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, role, text,
-       '<|' || role || '|>' || chr(10) || text || chr(10) || '<|end|>' || chr(10) AS rendered
-FROM conversations
-"""
+    held_out = F.coalesce(_bucket("conv_id", 5) == 0, F.lit(True))
+    model = learn(conversations, ~held_out)
+    return format_chats(conversations.drop("role"), model=model).withColumn("held_out", held_out)

@@ -9,8 +9,11 @@ see, so that a score is the probability of being right; a text is rejected if
 its score is under ``min_score``, or if it has no letter.
 
 The fit reads a bounded sample: at most PER_LANGUAGE labelled rows of each
-language, of at most TEXT_BYTES each. Predictions read every whole text; mean
-and softmax are exact at any length, block by block.
+language, and about SAMPLE_ROWS of all, whatever their length. Tasks turn the
+sampled texts, whole, into shares of buckets; only these reach the driver. Rows
+of equal texts lie on one side of the split between training and calibration.
+Predictions read every whole text; mean and softmax are exact at any length,
+block by block.
 
 Null texts and texts without a letter get ``und`` with score 0 and are rejected.
 Without any labelled row all texts do. Ties between languages go to the first in
@@ -19,6 +22,7 @@ order. Repeated rows are judged one by one; other columns are not read.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 from .shared import map_batches
 from .words import blocks, utf8
 
-PER_LANGUAGE, TEXT_BYTES = 400, 64_000
+PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS = 400, 8000, 10
 BUCKET_BITS, DIMENSIONS, SIZES, EPOCHS, BATCH, RATE = 17, 8, (2, 3, 4), 5, 16, 0.2
 MIN_SCORE = 0.5
 
@@ -94,12 +98,17 @@ def _rows(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def fit(texts: list[bytes], labels: list[str], seed: int = 1) -> LanguageModel:
-    """Train on four of five rows and set the temperature on the fifth."""
+    return fit_rows(_rows(texts), labels, [zlib.crc32(t) for t in texts], seed)
+
+
+def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], prints: list[int], seed: int = 1) -> LanguageModel:
+    """Train on the rows of four of five prints of texts and set the temperature on the others."""
     languages = sorted(set(labels))
     y = np.array([languages.index(x) for x in labels])
     rng = np.random.default_rng(seed)
-    held = np.arange(len(texts)) % 5 == 4
-    rows = _rows(texts)
+    held = np.array(prints) % 5 == 4
+    if held.all():
+        held[:] = False
     use = np.array([i for i in np.flatnonzero(~held) if len(rows[i][0])], dtype=np.int64)
     embedding = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     weights, bias = rng.normal(0, 0.3, (DIMENSIONS, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
@@ -129,36 +138,47 @@ def fit(texts: list[bytes], labels: list[str], seed: int = 1) -> LanguageModel:
     model = LanguageModel(languages, (embedding @ weights).astype(np.float32), bias.astype(np.float64))
     check = np.flatnonzero(held)
     if len(check):
-        logits = model.logits([texts[i] for i in check])
+        logits = np.stack([rows[i][1] @ model.scores[rows[i][0]] + model.bias for i in check])
         grid = np.geomspace(0.02, 20, 61)
         model.temperature = float(min(grid, key=lambda t: -np.log(_softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).sum()))
     return model
 
 
-def labelled_sample(df: DataFrame, labelled: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> list[tuple[bytes, str]]:
-    """At most ``per_language`` rows of each language for which ``labelled`` holds, chosen and ordered by a hash of the identifier."""
+def labelled_sample(df: DataFrame, labelled: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
+    """(lang, print, buckets, shares) of a bounded number of rows of each language for which ``labelled`` holds, chosen by a hash of the identifier."""
     rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"), labelled.alias("labelled"))
-    rows = rows.filter(F.col("labelled") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & (F.octet_length("text") <= TEXT_BYTES))
+    rows = rows.filter(F.col("labelled") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("dice", F.xxhash64(F.col("id").cast("string"), F.lit(6)))
     share = (F.pmod("dice", F.lit(1 << 30)) / float(1 << 30)).alias("share")
-    counts = rows.select("lang").groupBy("lang").agg(F.count("*").alias("n"))
-    # most rows go before the window, which then ranks about two times per_language rows of each language
-    near = rows.join(F.broadcast(counts), "lang").filter(share * F.col("n") < 2 * per_language + 100)  # one row for each language
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id"))).filter(F.col("rank") <= per_language)
-    return [(r["text"].encode(), r["lang"]) for r in ranked.select("text", "lang", "dice", "id").collect()]
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    most = F.least(F.lit(per_language), F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy()))))  # a row for each language
+    counts = counts.withColumn("most", most)
+    # most rows go before the window, which then ranks about two times as many rows of each language as are taken
+    near = rows.join(counts, "lang").filter(share * F.col("n") < 2 * F.col("most") + 100)
+    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))).filter(F.col("rank") <= F.col("most"))
 
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = utf8(batch.column(1))
+            found = _rows(texts)
+            cut = pa.array(np.concatenate(([0], np.cumsum([len(b) for b, _ in found]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[k] for r in found]), kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t) for t in texts], pa.int64()), *lists], names=["lang", "print", "buckets", "shares"])
 
-def train(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """A model from a bounded sample of the labelled rows, or None if there are none."""
-    sample = sorted(labelled_sample(df, labelled, id_col, text_col, lang_col, per_language), key=lambda x: (hash_order(x[0]), x[1]))
-    return fit([x[0] for x in sample], [x[1] for x in sample]) if sample else None
+        return step
 
+    return map_batches(ranked.select(F.col("lang").cast("string").alias("lang"), "text"), make, "lang string, print long, buckets array<int>, shares array<float>")
 
-def hash_order(text: bytes) -> int:
-    """A fixed shuffle of the sample, so that each fifth row is a fair sample of it."""
-    import zlib
 
-    return zlib.crc32(text)
+def train(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
+    """A model from a bounded sample of the labelled rows, or None if there are none."""
+    found = labelled_sample(df, labelled, id_col, text_col, lang_col, per_language).toArrow()
+    if not found.num_rows:
+        return None
+    langs, prints = found["lang"].to_pylist(), found["print"].to_pylist()
+    rows = [(b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for b, w in zip(found["buckets"], found["shares"], strict=True)]
+    order = sorted(range(len(rows)), key=lambda i: (prints[i], langs[i]))
+    return fit_rows([rows[i] for i in order], [langs[i] for i in order], [prints[i] for i in order])
 
 
 def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", *, min_score: float = MIN_SCORE, passing: list[str] | None = None) -> DataFrame:

@@ -13,8 +13,9 @@ probability is the score. Where a batch's corrected risk for unlabelled texts
 falls under zero, the step goes back on it, as non-negative estimation asks.
 
 The fit reads bounded samples: at most ``TOXIC_ROWS`` confirmed and
-``UNLABELLED_ROWS`` other rows, of at most TEXT_BYTES each. Scores read every
-whole text. The prior is the share of confirmed toxic rows among reviewed ones
+``UNLABELLED_ROWS`` other rows, whatever their length. Tasks turn the sampled
+texts, whole, into counts of hashed words; only these reach the driver. Scores
+read every whole text. The prior is the share of confirmed toxic rows among reviewed ones
 unless it is given.
 
 Null and empty texts have no words and get the score that the classifier gives
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from .shared import map_batches, text_or_empty
 from .words import blocks, mix, utf8
 
-TOXIC_ROWS, UNLABELLED_ROWS, TEXT_BYTES = 2000, 6000, 64_000
+TOXIC_ROWS, UNLABELLED_ROWS = 2000, 6000
 BUCKET_BITS, BEGINNING, EPOCHS, BATCH, RATE, SEEN, STEPS = 18, 5, 8, 128, 0.3, 1e-5, 400
 
 
@@ -116,15 +117,37 @@ def _summaries(block, weights: np.ndarray, level: float) -> np.ndarray:
     return out
 
 
+def counted_words(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each text its distinct (word bucket, beginning bucket) pairs as one number, and how often each occurs."""
+    out = []
+    for _, block in blocks(texts):
+        whole, begin = word_buckets(block)
+        pair = whole << BUCKET_BITS | begin
+        out += [np.unique(pair[a:b], return_counts=True) for a, b in zip(block.first[:-1], block.first[1:], strict=True)]
+    return out
+
+
+def _summary(pairs: np.ndarray, times: np.ndarray, weights: np.ndarray, level: float) -> list[float]:
+    """As a row of ``_summaries``, from counted words."""
+    begin = pairs & ((1 << BUCKET_BITS) - 1)
+    strength = weights[pairs >> BUCKET_BITS] + weights[begin]
+    high = strength > level
+    count, n = int(times[high].sum()), int(times.sum())
+    return [np.log1p(count), min(len(np.unique(begin[high])), 8), np.log1p((strength[high] * times[high]).sum()), np.log1p(200 * count / max(n, 1)), np.log1p(n), count >= 2]
+
+
 def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 1) -> ToxicityModel:
-    """Train both classifiers on confirmed toxic and unlabelled texts."""
+    return fit_counts(counted_words(texts), toxic, prior, seed)
+
+
+def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, prior: float, seed: int = 1) -> ToxicityModel:
+    """Train both classifiers on the counted words of confirmed toxic and unlabelled texts."""
     rng = np.random.default_rng(seed)
     rows: list[tuple[np.ndarray, np.ndarray]] = []
-    for _, block in blocks(texts):
-        whole, begin = word_buckets(block)
-        for a, b in zip(block.first[:-1], block.first[1:], strict=True):
-            bucket, times = np.unique(np.concatenate((whole[a:b], begin[a:b])), return_counts=True)
-            rows.append((bucket, (times / np.sqrt(max(1, b - a))).astype(np.float32)))
+    for pairs, times in counts:
+        buckets = np.concatenate((pairs >> BUCKET_BITS, pairs & ((1 << BUCKET_BITS) - 1)))
+        bucket, place = np.unique(buckets, return_inverse=True)
+        rows.append((bucket, (np.bincount(place, weights=np.concatenate((times, times)), minlength=len(bucket)) / np.sqrt(max(1, times.sum()))).astype(np.float32)))
     # only words of several confirmed texts can tell: with few texts, each has words that no other has
     having = np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(toxic)]), minlength=1 << BUCKET_BITS)
     telling = having >= min(3, max(1, int(toxic.sum()) // 4))
@@ -142,17 +165,11 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 1) -> T
         bias_seen += slope.sum() ** 2
         bias -= RATE * slope.sum() / np.sqrt(bias_seen)
     # the level: what few words of unlabelled texts exceed, and most toxic texts' strongest words do
-    strongest = []
-    for at, block in blocks(texts):
-        whole, begin = word_buckets(block)
-        strength = weights[whole] + weights[begin]
-        full = np.flatnonzero(np.diff(block.first))
-        top = np.maximum.reduceat(strength, block.first[:-1][full]) if len(full) else np.zeros(0)
-        strongest.append(top[toxic[at + full]])
-    strongest = np.concatenate(strongest) if strongest else np.zeros(0)
+    strength = lambda pairs: weights[pairs >> BUCKET_BITS] + weights[pairs & ((1 << BUCKET_BITS) - 1)]
+    strongest = np.array([strength(counts[i][0]).max() for i in np.flatnonzero(toxic) if len(counts[i][0])])
     level = float(0.4 * np.median(strongest)) if len(strongest) else 1.0
     model = ToxicityModel(weights, max(level, 1e-3), np.zeros(6), np.ones(6), np.zeros(6), 0.0)
-    x = model.summaries(texts)
+    x = np.array([_summary(pairs, times, weights, model.level) for pairs, times in counts], dtype=np.float64)
     model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - model.mean) / model.scale
     w, w_seen, b, b_seen = np.zeros(6), np.full(6, 1e-8), 0.0, 1e-8
@@ -167,28 +184,39 @@ def fit(texts: list[bytes], toxic: np.ndarray, prior: float, seed: int = 1) -> T
     return model
 
 
-def _sample(texts: DataFrame, ids: DataFrame, most: int) -> list[bytes]:
-    """At most ``most`` of the texts (id, text) that have one of ``ids`` (id), by a hash of the identifier. Identifiers are chosen first; no other text is shuffled."""
-    n = ids.count()
-    dice = F.xxhash64(F.col("id").cast("string"), F.lit(7))
-    thin = ids.withColumn("dice", dice).filter(F.pmod("dice", F.lit(1 << 30)) / float(1 << 30) * n < 2 * most + 100)
-    chosen = thin.orderBy("dice", "id").limit(most)
-    rows = texts.join(F.broadcast(chosen), "id").orderBy("dice", "id", "text").limit(most)  # at most ``most`` short rows
-    return [r["text"].encode() for r in rows.collect()]
-
-
 def train(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, prior: float | None = None) -> ToxicityModel | None:
-    """A model from rows for which ``learnable`` (of the column ``id``) holds, or None without any confirmed toxic row."""
+    """A model from rows for which ``learnable`` (of the column ``id``) holds, or None without any confirmed toxic row.
+
+    Identifiers are chosen first, by a hash; texts are read once, and only the chosen ones go on.
+    """
     confirmed = labels.select(labels[label_id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).filter(learnable & F.col("toxic").isNotNull()).groupBy("id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = confirmed.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    texts = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).filter(learnable).filter(F.octet_length("text") <= TEXT_BYTES)
-    toxic_ids, ids = confirmed.filter("toxic = 1").select("id"), texts.select("id")
-    toxic = _sample(texts, ids.join(toxic_ids, "id", "left_semi"), TOXIC_ROWS)
-    if not toxic:
+    ids = df.select(df[id_col].alias("id")).filter(learnable).join(confirmed.filter("toxic = 1"), "id", "left").select("id", (F.col("toxic") == 1).alias("toxic"), F.xxhash64(F.col("id").cast("string"), F.lit(7)).alias("dice"))
+    ids = ids.withColumn("toxic", F.coalesce("toxic", F.lit(False)))
+    totals = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if not totals.get(True):
+        return None
+    share = F.pmod("dice", F.lit(1 << 30)) / float(1 << 30)
+    chosen = [ids.filter((F.col("toxic") == kind) & (share * totals.get(kind, 0) < 2 * most + 100)).orderBy("dice", "id").limit(most) for kind, most in ((True, TOXIC_ROWS), (False, UNLABELLED_ROWS))]
+    sampled = F.broadcast(chosen[0].union(chosen[1]).distinct())  # at most TOXIC_ROWS + UNLABELLED_ROWS short rows
+    texts = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).join(sampled, "id")
+
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            found = counted_words(utf8(batch.column(0)))
+            cut = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in found]))), pa.int32())
+            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[k] for r in found]), pa.int64())) for k in (0, 1)]
+            return pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], names=["toxic", "dice", "print", "pairs", "times"])
+
+        return step
+
+    rows = map_batches(texts.select("text", "toxic", "dice", F.xxhash64("text").alias("print")), make, "toxic boolean, dice long, print long, pairs array<long>, times array<long>")
+    found = rows.orderBy(F.desc("toxic"), "dice", "print").limit(TOXIC_ROWS + UNLABELLED_ROWS).toArrow()  # repeated identifiers have more rows than were chosen
+    if not found.num_rows or not found["toxic"][0].as_py():
         return None
-    other = _sample(texts, ids.join(toxic_ids, "id", "left_anti"), UNLABELLED_ROWS)
-    return fit(toxic + other, np.arange(len(toxic) + len(other)) < len(toxic), min(max(prior, 0.001), 0.9))
+    counts = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(found["pairs"], found["times"], strict=True)]
+    return fit_counts(counts, found["toxic"].to_numpy(), min(max(prior, 0.001), 0.9))
 
 
 def score_texts(df: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -97,3 +97,68 @@ def test_odd_toxicity(spark):
 def test_summaries_do_not_depend_on_blocks(texts):
     model = toxicity.fit(texts * 4, np.array([False, False, True, False] * 4), 0.2)
     assert np.allclose(model.scores(texts), np.concatenate([model.scores([t]) for t in texts]))
+
+
+def test_languages_equal_a_plain_loop(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language.train(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)
+
+    def plain(text):
+        marks = [0, *(int(language._MARK[b + 32 if 0x41 <= b <= 0x5A else b]) for b in text.encode()), 0]
+        total, n = np.zeros(len(model.languages)), 0
+        for size in language.SIZES:
+            for p in range(len(marks) - size + 1):
+                h = marks[p]
+                for m in marks[p + 1 : p + size]:
+                    h = (h * 0x01000193 + m) % 2**32
+                h = ((h ^ (size * 0x9E37)) * 0x9E3779B1) % 2**32
+                h = ((h ^ (h >> 15)) * 0x85EBCA77) % 2**32
+                total += model.scores[h >> (32 - language.BUCKET_BITS)]
+                n += 1
+        e = (total / n + model.bias) / model.temperature
+        e = np.exp(e - e.max())
+        return model.languages[int(e.argmax())], e.max() / e.sum()
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = QUERIES["op6_language_id"](spark, sf_dir).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        if len(texts[r["doc_id"]] or "") > 4000:
+            continue  # the plain loop is slow
+        want = plain(texts[r["doc_id"]]) if any(c.isalpha() for c in texts[r["doc_id"]] or "") else ("und", 0)
+        assert r["lang_pred"] == want[0] and abs(r["score"] - want[1]) < 1e-4
+
+
+def test_toxicity_equals_a_plain_loop(spark):
+    import re
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.train(docs, labels, F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0)
+    known = {}
+
+    def strength(word):
+        if word not in known:
+            whole, begin = toxicity.word_buckets(toxicity.blocks([word]).__next__()[1])
+            known[word] = (model.weights[whole[0]] + model.weights[begin[0]], int(begin[0]))
+        return known[word]
+
+    def plain(text):
+        words = [w.encode() for w in re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+        high = [strength(w) for w in words if strength(w)[0] > model.level]
+        x = [np.log1p(len(high)), min(8, len({b for _, b in high})), np.log1p(sum(float(s) for s, _ in high)), np.log1p(200 * len(high) / max(1, len(words))), np.log1p(len(words)), len(high) >= 2]
+        z = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.summary_weights)) + model.bias
+        return 1 / (1 + np.exp(-z))
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in QUERIES["op7_toxicity"](spark, folder).collect():
+        assert abs(r["score"] - plain(texts[r["doc_id"]])) < 1e-4
+
+
+def test_only_long_texts_are_learned_from(spark):
+    long = {"en": "the house of this and that " * 4000, "de": "das haus und nicht der wagen " * 4000}
+    df = spark.createDataFrame([(k, f"{long[x]} {k}", x, int(x == "de")) for k, x in enumerate(["en", "de"] * 8)], "doc_id long, text string, lang string, toxic int")
+    model = language.train(df, F.lit(True))
+    assert {(r["doc_id"] % 2, r["lang_pred"]) for r in language.identify(df, model).collect()} == {(0, "en"), (1, "de")}
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_texts(df, toxicity.train(df, df, F.lit(True), prior=0.1)).collect()}
+    assert min(scores[k] for k in range(1, 16, 2)) > max(scores[k] for k in range(0, 16, 2))

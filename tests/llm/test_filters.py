@@ -86,6 +86,7 @@ def test_base_spans_equal_the_patterns():
         ("iban: DE89 3704 0044 0532 0130 00 ok", ["account:DE89 3704 0044 0532 0130 00"]),
         ("account of 12 people at https://example.com/a", []),
         ("accounts 123456", []),
+        ("account" + " " * 500 + ": 12345678", ["account:12345678"]),
     ],
 )
 def test_more_spans(text, wanted):

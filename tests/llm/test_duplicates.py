@@ -21,19 +21,18 @@ def words(t):
 
 
 @pytest.mark.parametrize("keep", ["smallest", "largest"])
-@pytest.mark.parametrize("hot", [10**9, 5])
-def test_exact_groups(spark, monkeypatch, keep, hot):
-    monkeypatch.setattr(exact, "HOT_ROWS", hot)
-    monkeypatch.setattr(exact, "HOT_SHARE", 0)
-    rows = [(k, "hot text") for k in range(60)] + [(100, None), (101, ""), (102, "a" * 50_000), (103, "a" * 50_000), (104, "a" * 49_999 + "b"), (105, "É"), (106, "é"), (7, "hot text"), (200, "once"), (None, "once")]
+@pytest.mark.parametrize("partitions, most", [(1, 10**6), (64, 10**6), (64, 0)])
+def test_exact_groups(spark, monkeypatch, keep, partitions, most):
+    monkeypatch.setattr(exact, "BROADCAST_PARTS", most)
+    rows = [(k, "hot text") for k in range(60)] + [(100, None), (101, ""), (102, "a" * 50_000), (103, "a" * 50_000), (104, "a" * 49_999 + "b"), (105, "É"), (106, "é"), (7, "hot text"), (200, "once"), (None, "once"), *[(None, "no names")] * 80]
     random.Random(1).shuffle(rows)
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"print": F.lit(1), "part": F.lit("x")})
-    got = exact.exact_groups(df, keep=keep, passing=["part"]).collect()
+    got = exact.exact_groups(df, keep=keep, partitions=partitions, passing=["part"]).collect()
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
     best = max if keep == "largest" else min
-    want = Counter((i, best(x for x in groups[t or ""] if x is not None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
+    want = Counter((i, best((x for x in groups[t or ""] if x is not None), default=None), len(groups[t or ""]), hashlib.sha256((t or "").encode()).hexdigest()) for i, t in rows)
     assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
     kept = [r for r in got if r["kept"]]
     assert len(kept) == len(groups) and all(r["doc_id"] == r["keep_id"] and r["keep_part"] == "x" for r in kept)

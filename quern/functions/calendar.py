@@ -47,19 +47,26 @@ def _number(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("int")
 
 
-def rolled_date(text: Column, add_years: Column | int = 0) -> Column:
-    """The date of a strict ``YYYY-MM-DD`` text, plus years, where days and months past the end roll over; else null. Years under 100 are of the 20th century."""
-    pattern = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
-    y, m, d = (_number(text, pattern, k) for k in (1, 2, 3))
-    y = y + (F.lit(add_years) if isinstance(add_years, int) else add_years)
+def _rolled(y: Column, m: Column, d: Column) -> Column:
+    """The date of three numbers, where days and months past the end roll over; years under 100 are of the 20th century."""
     y = F.when(y < 100, y + 1900).otherwise(y)
-    return F.when(text.rlike(pattern), F.date_add(F.add_months(F.make_date(y, F.lit(1), F.lit(1)), m - 1), d - 1))
+    return F.date_add(F.add_months(F.make_date(y, F.lit(1), F.lit(1)), m - 1), d - 1)
+
+
+def rolled_date(text: Column) -> Column:
+    """The date of a strict ``YYYY-MM-DD`` text; else null."""
+    pattern = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
+    return F.when(text.rlike(pattern), _rolled(*(_number(text, pattern, k) for k in (1, 2, 3))))
+
+
+def years_later(start: Column, years: Column) -> Column:
+    """Same month and day some years after a date; February 29 becomes March 1 of a common year."""
+    return _rolled(F.year(start) + years, F.month(start), F.dayofmonth(start))
 
 
 def prescription_deadline(date_text: Column, years: Column) -> Column:
-    """Same month and day some years on; February 29 becomes March 1 of a common year."""
-    start = rolled_date(date_text)
-    return rolled_date(F.date_format(start, "yyyy-MM-dd"), years)
+    """``years_later`` than a strict ISO text; else null."""
+    return years_later(rolled_date(date_text), years)
 
 
 def next_working_day(day: Column, holidays: Column) -> Column:
@@ -78,7 +85,7 @@ def filing_deadline(notice_text: Column, days: Column, holidays: Column) -> Colu
 
 @F.pandas_udf(T.StringType())
 def to_fixed_2(values: pd.Series) -> pd.Series:
-    """Two decimals of the exact binary value, half up: 1.005 is a little less than it looks."""
+    """Two decimals of the exact binary value, half up: 1.005 is a little less than it looks. Nothing built in rounds that value, hence Python's decimals, in Arrow batches."""
     return values.map(lambda x: None if pd.isna(x) else str(Decimal(float(x)).quantize(Decimal("0.01"), ROUND_HALF_UP)))
 
 

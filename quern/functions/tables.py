@@ -25,6 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt over all cores if it has fewer partitions than there are cores, as a small file of one row group has; else as it is, so that no large table is shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut, and safe from lost executors."""
     path = f"{shared_folder(df.sparkSession)}/quern-{uuid.uuid4().hex}"

@@ -42,7 +42,8 @@ def _accents() -> tuple[str, str]:
 
 def fold(c: Column) -> Column:
     """Lower case without diacritics, as the index stores it."""
-    return F.translate(F.lower(c), *_accents())
+    low = F.lower(c)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_accents())).otherwise(low)
 
 
 def tokens(c: Column) -> Column:
@@ -50,6 +51,20 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+#: A character of a token.
+TOKEN = r"[\p{L}\p{N}]"
+
+
+def token_count(folded: Column) -> Column:
+    """How many tokens a folded text has."""
+    return F.regexp_count(folded, F.lit(f"{TOKEN}+"))
+
+
+def term_count(folded: Column, term: str) -> Column:
+    """How many tokens of a folded text are ``term``, a folded token."""
+    return F.regexp_count(folded, F.lit(f"(?<!{TOKEN}){term}(?!{TOKEN})"))
+
+
 def query_terms(query: str) -> list[str]:
     """Words of a query: lower case, punctuation removed inside each word, repeated words kept."""
     pieces = re.split(r"\s+", query.lower())

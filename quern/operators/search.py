@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import fold_term, query_terms, tokens
+from quern.functions.text import fold, fold_term, query_terms, term_count, token_count, tokens
 
 # BM25, page sizes, confidence and snippet.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
@@ -58,20 +58,17 @@ def check_page(query: str, limit: int | None, offset: int | None) -> tuple[int,
     return min(limit or DEFAULT_LIMIT, MAX_LIMIT), max(0, offset or 0)
 
 
-def _times(words: str, term: str) -> Column:
-    return F.size(F.filter(words, lambda x: x == term))
-
-
 def scored(corpus: Corpus, query: str) -> DataFrame:
     """All passages that have every term, with ``bm25`` (higher is better). Empty if the query has no terms."""
     wanted = Counter(fold_term(t) for t in query_terms(query))
     p = corpus.passages
     if not wanted:
         return p.filter(F.lit(False)).withColumn("bm25", F.lit(0.0))
-    words = F.flatten(F.array(*(tokens(p[c]) for c in corpus.indexed))) if len(corpus.indexed) > 1 else tokens(p[corpus.indexed[0]])
-    counted = p.withColumn("_words", words)
     names = [f"_tf{i}" for i in range(len(wanted))]
-    counted = counted.withColumns({"_length": F.size("_words"), **{n: _times("_words", t) for n, t in zip(names, wanted, strict=True)}}).drop("_words")
+    folded = [f"_text{k}" for k in range(len(corpus.indexed))]
+    counted = p.withColumns({f: fold(F.coalesce(p[c], F.lit(""))) for f, c in zip(folded, corpus.indexed, strict=True)})
+    over = lambda count: sum((count(F.col(f)) for f in folded[1:]), count(F.col(folded[0])))
+    counted = counted.withColumns({"_length": over(token_count), **{n: over(lambda c, t=t: term_count(c, t)) for n, t in zip(names, wanted, strict=True)}}).drop(*folded)
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_mean"), *(F.count_if(F.col(n) > 0).alias(f"_df{n}") for n in names))
     matched = counted.filter(" AND ".join(f"{n} > 0" for n in names)).crossJoin(F.broadcast(stats))  # one row
     score = sum((k * _idf(F.col("_n"), F.col(f"_df{n}")) * _gain(F.col(n), F.col("_length"), F.col("_mean")) for n, k in zip(names, wanted.values(), strict=True)), F.lit(0.0))
@@ -88,7 +85,7 @@ def postings(corpus: Corpus) -> DataFrame:
 
 def corpus_stats(corpus: Corpus) -> DataFrame:
     """One row: n_docs and mean_length, passages without tokens included."""
-    words = sum((F.size(tokens(corpus.passages[c])) for c in corpus.indexed), F.lit(0))
+    words = sum((token_count(fold(F.coalesce(corpus.passages[c], F.lit("")))) for c in corpus.indexed), F.lit(0))
     return corpus.passages.agg(F.count("*").alias("n_docs"), F.avg(words).alias("mean_length"))
 
 

@@ -36,7 +36,7 @@ def prescription(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.element_at(F.create_map(*(F.lit(x) for k, a in enumerate(calendar.PRESCRIPTION) for x in (a[0], k))), F.col("action_type"))
     kinds = F.broadcast(calendar.prescription_table(spark).withColumn("place", place))
     rows = table(spark, sf_dir, "orders").withColumn("place", (F.col("o_orderkey") % 10).cast("int")).join(kinds, "place")
-    return rows.select("o_orderkey", "action_type", calendar.prescription_deadline(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("years")).alias("deadline"))
+    return rows.select("o_orderkey", "action_type", calendar.years_later(F.col("o_orderdate").cast("date"), F.col("years")).alias("deadline"))
 
 
 # whole cents, so that the sum is exact in any order; printf rounds the exact value, but halves that binary can hold to even

@@ -22,13 +22,16 @@ def first_of_source(rows: DataFrame, watermark: str = "7 days") -> DataFrame:
 
 
 def ingest(rows: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Append to a Parquet table, partitioned by kind, what is not yet there; a batch that is replayed adds nothing."""
+    """Append to a Parquet table, partitioned by kind, what is not yet there; a batch that is replayed adds nothing, nor do lines without a source or hash whose like is there."""
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         keys = ["kind", "source_url", "content_hash"]
+        batch = batch.dropDuplicates(keys)
         try:
-            batch = batch.join(spark.read.parquet(table).select(*keys), keys, "left_anti")
+            there = spark.read.parquet(table).select(*keys)  # three narrow columns
+            same = (batch["kind"] == there["kind"]) & batch["source_url"].eqNullSafe(there["source_url"]) & batch["content_hash"].eqNullSafe(there["content_hash"])
+            batch = batch.join(there, same, "left_anti")
         except Exception as e:  # the first batch finds no table
             if "PATH_NOT_FOUND" not in str(e):
                 raise

@@ -125,6 +125,8 @@ def test_golden(spark, tmp_path):
 
 def test_stream(spark, seed, tmp_path):
     table = str(tmp_path / "table")
-    for _ in range(2):  # the second run finds nothing new
-        streaming.ingest(streaming.first_of_source(streaming.seed_stream(spark, seed)), table, str(tmp_path / "state")).awaitTermination()
-    assert spark.read.parquet(table).count() == 3
+    with open(f"{seed}/more.jsonl", "w") as f:  # neither source nor hash
+        f.write("\n".join([json.dumps({"kind": "case", "record": {"citation": "G.R. No. 2"}})] * 2))
+    for run in range(2):  # with new state, as if replayed: finds nothing new
+        streaming.ingest(streaming.first_of_source(streaming.seed_stream(spark, seed)), table, str(tmp_path / f"state{run}")).awaitTermination()
+    assert spark.read.parquet(table).count() == 4

@@ -153,8 +153,8 @@ def labelled_sample(df: DataFrame, labelled: Column, id_col: str, text_col: str,
     counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
     most = F.least(F.lit(per_language), F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy()))))  # a row for each language
     counts = counts.withColumn("most", most)
-    # most rows go before the window, which then ranks about two times as many rows of each language as are taken
-    near = rows.join(counts, "lang").filter(share * F.col("n") < 2 * F.col("most") + 100)
+    # a row for each language goes to all tasks; most rows go before the window, which then ranks about two times as many rows of each language as are taken
+    near = rows.join(F.broadcast(counts), "lang").filter(share * F.col("n") < 2 * F.col("most") + 100)
     ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))).filter(F.col("rank") <= F.col("most"))
 
     def make():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import ascii_upper, content_hash, first_iso_date, leading_int, normalise_whitespace
@@ -131,6 +131,51 @@ def search_two_column(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.round("bm25", 6).alias("bm25"), F.round(search.confidence(F.col("bm25"), F.col("text"), F.col("heading"), ASKED), 6).alias("confidence"))
 
 
+# passages with parents: documents stand for passages, nations for their statutes, cases and issuances, regions for what these are filtered by
+_COURTS = ("sc", "ca", "sb", "cta", "other")
+_COURT_SQL = "CASE n_regionkey " + " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(_COURTS)) + " END"
+_PARENTS = "SELECT doc_id, 'Art. ' || doc_id AS no, coalesce(lang, '') AS heading, text, n_name, n_regionkey FROM documents JOIN nation ON n_nationkey = doc_id % 25"
+_PAGE = f"(SELECT *, {_CONFIDENCE} AS c FROM (SELECT * FROM matched WHERE n_regionkey = {{0}} ORDER BY bm25 DESC, doc_id LIMIT 50))"
+_LEVEL = "CASE WHEN c >= 0.7 THEN 'high' WHEN c >= 0.4 THEN 'medium' ELSE 'low' END AS \"confidenceLevel\""
+
+
+def _passages(spark: SparkSession, sf_dir: str, parent: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 25).alias(parent), F.concat(F.lit("Art. "), F.col("doc_id")).alias("provision_no"), F.coalesce("lang", F.lit("")).alias("heading"), F.col("text").alias("body"), F.lit("in_force").alias("status"))
+
+
+def _parents(spark: SparkSession, sf_dir: str, **columns: Column) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), *(c.alias(n) for n, c in columns.items()))
+
+
+def _court() -> Column:
+    return F.element_at(F.array(*(F.lit(c) for c in _COURTS)), (F.col("n_regionkey") + 1).cast("int"))
+
+
+@query(
+    _scores(("no", "heading", "text"), source=_PARENTS)
+    + f"SELECT n_name AS statute, {_COURT_SQL} AS domain, n_name || ', ' || no || ' (' || heading || ')' AS citation, no AS \"provisionNo\", round(c, 3) AS confidence, {_LEVEL} FROM {_PAGE.format(1)}"
+)
+def search_provisions_of_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.col("n_name")
+    page = search.search_statute(_passages(spark, sf_dir, "statute_id"), _parents(spark, sf_dir, short_title=name, official_title=name, kind=F.lit("code"), domain=_court()), ASKED, domain="ca", limit=50, threshold=0)
+    return page.rows.select("statute", "domain", "citation", "provisionNo", "confidence", "confidenceLevel")
+
+
+@query(_scores(("heading", "text"), source=_PARENTS) + f"SELECT n_name AS citation, {_COURT_SQL} AS court, round(c, 3) AS confidence, {_LEVEL} FROM {_PAGE.format(2)}")
+def search_cases_of_court(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, none = F.col("n_name"), F.lit(None).cast("string")
+    page = search.search_jurisprudence(_passages(spark, sf_dir, "case_id"), _parents(spark, sf_dir, citation=name, title=name, court=_court(), promulgation_date=none, ponente=none), ASKED, court="sb", limit=50, threshold=0)
+    return page.rows.select("citation", "court", "confidence", "confidenceLevel")
+
+
+@query(_scores(("heading", "text"), source=_PARENTS) + f"SELECT {_COURT_SQL} AS agency, 'RMC' AS \"issuanceType\", n_name AS \"referenceNo\", round(c, 3) AS confidence, {_LEVEL} FROM {_PAGE.format(3)}")
+def search_issuances_of_agency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, none = F.col("n_name"), F.lit(None).cast("string")
+    page = search.search_issuance(_passages(spark, sf_dir, "issuance_id"), _parents(spark, sf_dir, agency=_court(), issuance_type=F.lit("RMC"), reference_no=name, title=name, issue_date=none), ASKED, agency="cta", issuance_type="RMC", limit=50, threshold=0)
+    return page.rows.select("agency", "issuanceType", "referenceNo", "confidence", "confidenceLevel")
+
+
 @query(f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
 def term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(_documents(spark, sf_dir)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))

@@ -31,8 +31,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A name in the shared folder that no other table has."""
+    return f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, its lineage cut, and safe from lost executors."""
-    path = f"{shared_folder(df.sparkSession)}/quern-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

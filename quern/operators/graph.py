@@ -129,7 +129,7 @@ def show_cross_references(edges: DataFrame, statutes: DataFrame, registry: DataF
     entity = resolve_statute(statutes, statute, act_number)
     domain = statutes.join(F.broadcast(entity), "id", "left_semi").select(F.col("domain").alias("slug"))
     curated = registry.join(F.broadcast(domain), "slug", "left_semi").select(F.posexplode("crossRefs").alias("place", "ref")).select("place", F.col("ref.target").alias("targetSlug"), F.col("ref.reason").alias("reason"))
-    curated = curated.join(F.broadcast(registry.select(F.col("slug").alias("targetSlug"), "name")), "targetSlug", "left")
+    curated = curated.join(registry.select(F.col("slug").alias("targetSlug"), "name"), "targetSlug", "left")
     curated = curated.select(F.lit("domain").alias("kind"), "place", "targetSlug", F.coalesce("name", "targetSlug").alias("targetName"), "reason")
     laws = show_dependencies(edges, statutes, statute, act_number, _limit("show_cross_references", limit))[0]
     return ordered_union(curated, laws.select(F.lit("statute").alias("kind"), "citedReference", "shortTitle", "actNumber"), F.col("place").asc_nulls_first(), F.col("citedReference").asc_nulls_first(), "shortTitle").drop("ord", "place")

@@ -38,7 +38,7 @@ def get_provision(provisions: DataFrame, statutes: DataFrame, statute: str, prov
     """The newest version of a provision; both numbers lose their prefix first. No row if there is none."""
     titles = statutes.filter(same(F.col("short_title"), statute) | same(F.col("official_title"), statute))
     titles = titles.select(F.col("id").alias("statute_id"), "short_title", "official_title", "kind", "domain", F.col("status").alias("statute_status"))
-    rows = provisions.filter(same(strip_provision_prefix(F.col("provision_no")), strip_provision_prefix(F.lit(provision)))).join(F.broadcast(titles), "statute_id")
+    rows = provisions.filter(same(strip_provision_prefix(F.col("provision_no")), strip_provision_prefix(F.lit(provision)))).join(titles, "statute_id")
     rows = first_row(rows, F.col("valid_from").desc_nulls_last(), "id")
     return rows.select(
         citation("short_title", "provision_no", "heading").alias("citation"),
@@ -87,7 +87,7 @@ def cite_validate(provisions: DataFrame, statutes: DataFrame, cases: DataFrame,
     if case_citation:
         found = first_row(cases.filter(same(F.col("citation"), case_citation)), "id").select("citation", "title")
     elif statute:
-        titles = F.broadcast(statutes.filter(same(F.col("short_title"), statute) | same(F.col("official_title"), statute)).select(F.col("id").alias("statute_id"), "short_title"))
+        titles = statutes.filter(same(F.col("short_title"), statute) | same(F.col("official_title"), statute)).select(F.col("id").alias("statute_id"), "short_title")
         rows = provisions.join(titles, "statute_id")
         if provision:
             rows = rows.filter(ascii_lower(F.col("provision_no")) == ascii_lower(strip_provision_prefix(F.lit(provision))))
@@ -118,13 +118,16 @@ def statute_payload(statutes: DataFrame, provisions: DataFrame, statute: str) ->
 def list_domains(domains: DataFrame, registry: DataFrame, last_refresh: Column | None = None) -> DataFrame:
     """All domains with what the registry says of them; lists are empty where it says nothing."""
     more = registry.select("slug", "keyInstruments", "sources", "refreshCadence")
-    rows = domains.join(F.broadcast(more), "slug", "left")
+    rows = domains.join(more, "slug", "left")
     return rows.select("slug", "name", "description", (last_refresh if last_refresh is not None else F.lit(None)).cast("string").alias("lastRefresh"), F.coalesce("keyInstruments", F.array().cast("array<string>")).alias("keyInstruments"), F.coalesce("sources", F.array().cast(registry.schema["sources"].dataType)).alias("sources"), "refreshCadence").orderBy("slug")
 
 
-def bounded_payload(df: DataFrame, items_col: str) -> DataFrame:
-    """JSON of a list column; where it is too long, of its first items, with ``truncated`` set."""
-    whole = F.to_json(F.col(items_col), {"ignoreNullFields": "false"})
-    long = F.length(whole) > PAYLOAD_CHARS
-    short = F.to_json(F.slice(F.col(items_col), 1, PAYLOAD_ITEMS), {"ignoreNullFields": "false"})
-    return df.withColumns({"truncated": long, "payload": F.when(long, F.substring(short, 1, PAYLOAD_CHARS)).otherwise(whole)})
+def bounded(df: DataFrame, items_col: str) -> DataFrame:
+    """``df`` with only the first items of a list column where its JSON is too long, and ``truncated`` to say so."""
+    long = F.length(F.to_json(F.col(items_col), {"ignoreNullFields": "false"})) > PAYLOAD_CHARS
+    return df.withColumns({"truncated": long, items_col: F.when(long, F.slice(items_col, 1, PAYLOAD_ITEMS)).otherwise(F.col(items_col))})
+
+
+def rendered(payload: Column) -> Column:
+    """A payload's text for readers, cut where it is too long."""
+    return F.when(F.length(payload) > PAYLOAD_CHARS, F.concat(F.substring(payload, 1, PAYLOAD_CHARS), F.lit("\n… [truncated]"))).otherwise(payload)

@@ -30,6 +30,3 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; those of texts are spread over all cores."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spread(rows) if name in ("documents", "pages") else rows
-
-
-from . import calendar_queries, graph_queries, text_queries  # noqa: E402, F401  they register themselves

@@ -1,7 +1,8 @@
 """The tools by name, over built corpora, and the golden evaluation that runs them.
 
 Each tool takes the corpora and its own arguments and returns a one-row table
-with ``status`` and, where it answers, ``payload`` as JSON.
+with ``status`` and, where it answers, ``payload`` as JSON; ``call`` adds ``text``,
+the payload cut at 25,000 characters.
 """
 
 from __future__ import annotations
@@ -9,12 +10,12 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import calendar
 from quern.operators import evaluate, graph, lookup, search
-from quern.sources.ingest import Corpora
+from quern.sources.ingest import Corpora, freshness
 from quern.sources.registry import registry
 
 NOT_COVERED, CANNOT = "insufficient_corpus_coverage", "cannot_validate"
@@ -34,6 +35,11 @@ def _found(entity: DataFrame, rows: DataFrame) -> DataFrame:
     return _packed(rows, None).crossJoin(F.broadcast(known)).withColumn("status", F.when(F.col("known") == 0, NOT_COVERED).otherwise("ok")).drop("known")  # one row each
 
 
+def _refreshed(c: Corpora) -> Column:
+    """When the tables of laws were last written, if they were opened from a folder."""
+    return F.lit(freshness(c["domains"].sparkSession, f"{c.folder}/laws") if c.folder else None)
+
+
 def _page(page: search.Page) -> DataFrame:
     return page.meta.crossJoin(F.broadcast(_packed(page.rows, None).select("payload")))  # one row each
 
@@ -43,10 +49,10 @@ TOOLS: dict[str, Tool] = {
     "search_jurisprudence": lambda c, **a: _page(search.search_jurisprudence(c["case_passages"], c["cases"], **a)),
     "search_issuance": lambda c, **a: _page(search.search_issuance(c["issuance_passages"], c["issuances"], **a)),
     "get_provision": lambda c, **a: _packed(lookup.get_provision(c["provisions"], c["statutes"], **a)),
-    "get_case": lambda c, **a: _packed(lookup.get_case(c["cases"], c["case_passages"], **a)),
-    "get_issuance": lambda c, **a: _packed(lookup.get_issuance(c["issuances"], c["issuance_passages"], **a)),
+    "get_case": lambda c, **a: _packed(lookup.bounded(lookup.get_case(c["cases"], c["case_passages"], **a), "passages")),
+    "get_issuance": lambda c, **a: _packed(lookup.bounded(lookup.get_issuance(c["issuances"], c["issuance_passages"], **a), "passages")),
     "cite_validate": lambda c, **a: (lambda r: r.select("status", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("payload")))(lookup.cite_validate(c["provisions"], c["statutes"], c["cases"], **a)),
-    "list_domains": lambda c: _packed(lookup.list_domains(c["domains"], registry(c["domains"].sparkSession))),
+    "list_domains": lambda c: _packed(lookup.list_domains(c["domains"], registry(c["domains"].sparkSession), _refreshed(c))),
     "statute": lambda c, **a: _packed(lookup.statute_payload(c["statutes"], c["provisions"], **a), "not_found"),
     "related_laws": lambda c, case_citation, **a: _found(graph.resolve_case(c["cases"], case_citation), graph.related_laws(c["edges"], c["statutes"], c["cases"], case_citation, **a)),
     "related_cases": lambda c, case_citation, **a: _found(graph.resolve_case(c["cases"], case_citation), graph.related_cases(c["edges"], c["cases"], case_citation, **a)),
@@ -92,7 +98,7 @@ def call(corpora: Corpora, name: str, args: dict | None = None) -> DataFrame:
     given = {ARGUMENTS.get(k, k): v for k, v in (args or {}).items()}
     if name == "get_case" and "case_citation" not in given and "citation" in given:
         given["case_citation"] = given.pop("citation")
-    return TOOLS[name](corpora, **given)
+    return TOOLS[name](corpora, **given).withColumn("text", lookup.rendered(F.col("payload")))
 
 
 def _value(text: str | None):

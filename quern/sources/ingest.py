@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from quern.functions.tables import written
 from quern.functions.text import content_hash
 from quern.operators.citations import build_graph, passage_texts
 from quern.operators.segment import normalise_statute
@@ -18,10 +19,10 @@ from .registry import domain_names
 from .schemas import CORPORA, SEED, TABLES
 
 
-def load_seed(spark: SparkSession, folder: str) -> DataFrame:
-    """(kind, record) of every line of the folder's ``*.jsonl`` files; a line that is no JSON fails, a missing folder is empty."""
+def load_seed(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
+    """(kind, record) of every line of the folder's files of that name; a line that is no JSON fails, a missing folder is empty."""
     try:
-        rows = spark.read.schema(SEED).option("mode", "FAILFAST").option("pathGlobFilter", "*.jsonl").json(folder)
+        rows = spark.read.schema(SEED).option("mode", "FAILFAST").option("pathGlobFilter", pattern).json(folder)
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return spark.createDataFrame([], SEED)
@@ -34,16 +35,19 @@ def records(seed: DataFrame, kind: str) -> DataFrame:
 
 
 def numbered(df: DataFrame, *keys: str, to: str = "id") -> DataFrame:
-    """Identifiers 1, 2, … in order of the natural key. One task orders the keys, which are short; texts stay where they are."""
-    order = df.select(*keys).distinct().withColumn(to, F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    own = order.select(*(F.col(k).alias(f"_{k}") for k in keys), to)
+    """Identifiers 1, 2, … in order of the natural key: keys are sorted in ranges, and each range starts where those before it end. Texts stay where they are."""
+    order = df.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = written(order.select(*keys, F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_row")))  # once, as ranges come of a sample
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    starts = sizes.select("_range", "_first", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    own = placed.join(starts, "_range").select(*(F.col(k).alias(f"_{k}") for k in keys), (F.col("_before") + F.col("_row") - F.col("_first") + 1).alias(to))
     same = [df[k].eqNullSafe(own[f"_{k}"]) for k in keys]
     return df.join(own, same).drop(*(f"_{k}" for k in keys))
 
 
-def child_ids(df: DataFrame, parent: str, place: str, stride: int = 1 << 20) -> Column:
-    """Identifiers of children from their parent's and their place, without a global order."""
-    return (F.col(parent) * stride + F.col(place)).cast("long")
+def child_ids(parent: str, place: str) -> Column:
+    """Identifiers of children from their parent's and their place in an array, which is under 2^31: in order of both, and no two the same."""
+    return F.shiftleft(F.col(parent), 31) + F.col(place)
 
 
 def _fit(df: DataFrame, table: str) -> DataFrame:
@@ -56,6 +60,8 @@ class Corpora:
     """The tables of all three corpora by name."""
 
     tables: dict[str, DataFrame]
+    #: The folder from which they were opened.
+    folder: str | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -66,13 +72,13 @@ def statute_tables(rows: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
     parents = numbered(rows.dropDuplicates(["shortTitle", "sourceUrl"]), "shortTitle", "sourceUrl")
     parents = parents.withColumnsRenamed({"shortTitle": "short_title", "officialTitle": "official_title", "actNumber": "act_number", "enactedDate": "enacted_date", "sourceUrl": "source_url", "contentHash": "content_hash", "retrievedAt": "retrieved_at"})
     kids = parents.select(F.col("id").alias("statute_id"), "enacted_date", F.posexplode("provisions").alias("place", "p"))
-    kids = kids.select(child_ids(kids, "statute_id", "place").alias("id"), "statute_id", F.col("p.provisionNo").alias("provision_no"), F.col("p.heading").alias("heading"), F.col("p.body").alias("body"), F.lit("in_force").alias("status"), F.coalesce("p.validFrom", "enacted_date", F.lit(today)).alias("valid_from"))
+    kids = kids.select(child_ids("statute_id", "place").alias("id"), "statute_id", F.col("p.provisionNo").alias("provision_no"), F.col("p.heading").alias("heading"), F.col("p.body").alias("body"), F.lit("in_force").alias("status"), F.coalesce("p.validFrom", "enacted_date", F.lit(today)).alias("valid_from"))
     return _fit(parents.withColumn("status", F.lit("in_force")), "statutes"), _fit(kids, "provisions")
 
 
 def _passages(parents: DataFrame, key: str, table: str) -> DataFrame:
     kids = parents.select(F.col("id").alias(key), F.posexplode("passages").alias("place", "p"))
-    return _fit(kids.select(child_ids(kids, key, "place").alias("id"), key, F.col("p.passageNo").alias("passage_no"), F.col("p.heading").alias("heading"), F.col("p.body").alias("body")), table)
+    return _fit(kids.select(child_ids(key, "place").alias("id"), key, F.col("p.passageNo").alias("passage_no"), F.col("p.heading").alias("heading"), F.col("p.body").alias("body")), table)
 
 
 def case_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +128,7 @@ def open_corpora(spark: SparkSession, folder: str, *, views: bool = False) -> Co
                 tables[name] = spark.createDataFrame([], TABLES[name])
             if views:
                 tables[name].createOrReplaceTempView(name)
-    return Corpora(tables)
+    return Corpora(tables, folder)
 
 
 def targets(catalogue: DataFrame, pages: DataFrame, prefix: str, *, since: str | None = None, limit: int | None = None, min_chars: int = MIN_TEXT, selectors: tuple[str, ...] = SELECTORS) -> DataFrame:
@@ -184,12 +190,13 @@ def failed_checksums(found: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def freshness(spark: SparkSession, path: str) -> str | None:
-    """When the newest file of a table was written, as ISO text; null if there is none."""
+    """When the newest file under a path was written, as ISO text in UTC; null if there is none. Only the listing is read."""
     try:
-        files = spark.read.parquet(path).select(F.col("_metadata.file_modification_time").alias("t"))
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     except AnalysisException:
         return None
-    return files.agg(F.date_format(F.max("t"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).first()[0]
+    newest = F.to_utc_timestamp(F.max("modificationTime"), F.current_timezone())
+    return files.agg(F.date_format(newest, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")).first()[0]
 
 
 def record_counts(corpora: Corpora) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quern.operators import citations, graph, lookup
 from quern.sources import registry
@@ -136,7 +137,9 @@ def test_lookups(spark, corpus):
     domains = lookup.list_domains(registry.domain_names(spark), registry.registry(spark)).collect()
     assert len(domains) == 15 and domains[0]["keyInstruments"] == []
     big = spark.createDataFrame([(["x" * 1000] * 60,), (["y"],)], "items array<string>")
-    assert sorted(r["truncated"] for r in lookup.bounded_payload(big, "items").collect()) == [False, True]
+    assert sorted((r["truncated"], len(r["items"])) for r in lookup.bounded(big, "items").collect()) == [(False, 1), (True, 50)]
+    texts = spark.createDataFrame([("x" * 30_000,), ("y",)], "payload string").select(lookup.rendered(F.col("payload"))).collect()
+    assert sorted(len(r[0]) for r in texts) == [1, 25_014] and [r[0].endswith("… [truncated]") for r in texts] == [True, False]
 
 
 def test_titles_with_a_hint(spark):

@@ -130,3 +130,11 @@ def test_stream(spark, seed, tmp_path):
     for run in range(2):  # with new state, as if replayed: finds nothing new
         streaming.ingest(streaming.first_of_source(streaming.seed_stream(spark, seed)), table, str(tmp_path / f"state{run}")).awaitTermination()
     assert spark.read.parquet(table).count() == 4
+
+
+def test_identifiers_follow_keys_over_ranges(spark):
+    rows = spark.range(500).select(F.concat(F.lit("k"), F.col("id") % 100).alias("key"), F.when(F.col("id") % 7 > 0, F.col("id") % 3).alias("more")).repartition(7)
+    found = ingest.numbered(rows, "key", "more").select("key", "more", "id")
+    keys = sorted({(r["key"], r["more"]) for r in rows.collect()}, key=lambda k: (k[0], k[1] is not None, k[1]))
+    assert {(r["key"], r["more"]): r["id"] for r in found.collect()} == {k: place + 1 for place, k in enumerate(keys)}
+    assert found.count() == 500

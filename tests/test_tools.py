@@ -58,6 +58,11 @@ def test_tool(corpora, name, args, status, text):
     assert row["status"] == status and text in row["payload"]
 
 
+def test_domains_say_when_they_were_written(corpora):
+    domains = json.loads(tools.call(corpora, "list_domains").first()["text"])
+    assert {d["lastRefresh"] for d in domains} == {ingest.freshness(corpora["domains"].sparkSession, f"{corpora.folder}/laws")} != {None}
+
+
 def test_all_tools_are_called():
     assert {c[0] for c in CALLS} == set(tools.TOOLS)
 

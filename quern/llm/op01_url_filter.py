@@ -146,15 +146,18 @@ def _by_trie(rows: DataFrame, rules: list[Rule], default: str) -> DataFrame:
 
 
 def _by_join(rows: DataFrame, rules: list[Rule], default: str) -> DataFrame:
-    """The same by joins: each url offers its host suffixes with its leading path segments; each rule waits at its own."""
+    """The same by joins: each url offers its host suffixes with the leading parts of its path that are as long as some rule's.
+
+    A rule waits at its own host and path, so a url meets only rules that fit it, however many share a host or a folder.
+    """
     spark: SparkSession = rows.sparkSession
-    table = spark.createDataFrame([(r.host, r.path, r.path[: r.path.rfind("/") + 1], r.verdict) for r in rules], "rule_host string, rule_path string, folder string, verdict string")
+    table = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "rule_host string, rule_path string, verdict string")
     places = rows.select("host", "path").distinct()
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    slashes = F.filter(F.sequence(F.lit(1), F.length("path")), lambda k: F.substring(F.col("path"), k, F.lit(1)) == "/")
-    offers = places.filter("path <> ''").select("host", "path", F.explode(hosts).alias("rule_host")).select("host", "path", "rule_host", F.explode(F.transform(slashes, lambda k: F.substring(F.col("path"), F.lit(1), k))).alias("folder"))
+    lengths = F.array(*(F.lit(k) for k in sorted({len(r.path) for r in rules})))
+    heads = F.transform(F.filter(lengths, lambda k: k <= F.length("path")), lambda k: F.substring(F.col("path"), F.lit(1), k))
+    offers = places.filter("path <> ''").select("host", "path", F.explode(hosts).alias("rule_host")).select("host", "path", "rule_host", F.explode(heads).alias("rule_path"))
     size = F.length("rule_host") + F.length("rule_path")
-    best = offers.join(table, ["rule_host", "folder"]).filter(F.col("path").startswith(F.col("rule_path")))
-    best = best.groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("deep"), "verdict", F.concat("rule_host", "rule_path").alias("rule"))).alias("best"))  # "block" is after "allow"
+    best = offers.join(table, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max(F.struct(size.alias("size"), F.length("rule_host").alias("deep"), "verdict", F.concat("rule_host", "rule_path").alias("rule"))).alias("best"))  # "block" is after "allow"
     return rows.join(best, ["host", "path"], "left").select("id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))

@@ -72,7 +72,8 @@ def prescription_deadline(date_text: Column, years: Column) -> Column:
 def next_working_day(day: Column, holidays: Column) -> Column:
     """``day``, or the first later day that is no Saturday, Sunday or holiday (an array of ISO texts)."""
     horizon = F.date_add(day, 2 * F.size(holidays) + 4)
-    free = F.filter(F.sequence(day, horizon), lambda x: (F.weekday(x) < 5) & ~F.array_contains(holidays, F.date_format(x, "yyyy-MM-dd")))
+    open_days = F.filter(F.sequence(day, horizon), lambda x: F.weekday(x) < 5)
+    free = F.array_except(open_days, F.transform(holidays, lambda h: h.try_cast("date")))  # keeps the order of days
     return F.try_element_at(free, F.lit(1))
 
 

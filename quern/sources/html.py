@@ -16,7 +16,6 @@ MIN_TEXT = 120
 # Where articles are looked for, best first, on two kinds of sites.
 SELECTORS = ("article.entry-content", ".entry-content", ".post-content", "article", "#content", ".content")
 TABLE_SELECTORS = (".post_content", ".node-body", "td[valign='top']", "td", "body")
-TITLE_CLASSES = ("entry-title", "title", "post-title")
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIPPED = frozenset(("script", "style"))

@@ -40,12 +40,23 @@ def url_path(url: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1), F.lit("")), F.lit("/"))
 
 
-def allowed_pages(pages: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
-    """Pages whose path starts with no disallowed prefix. One site's rules are a short list, which a size check keeps so."""
-    prefixes = [r["prefix"] for r in rules.select("prefix").filter("prefix IS NOT NULL").distinct().limit(10_001).collect()]
-    if len(prefixes) > 10_000:
-        return pages.join(rules, F.startswith(url_path(F.col(url_col)), F.col("prefix")), "left_anti")
+def allowed_pages(pages: DataFrame, rules: DataFrame, url_col: str = "url", *, most_prefixes: int = 10_000) -> DataFrame:
+    """Pages whose path starts with no disallowed prefix. Up to ``most_prefixes`` are tested in the plan, more are joined."""
+    rules = rules.select("prefix").filter("prefix <> ''").distinct()
+    prefixes = [r["prefix"] for r in rules.limit(most_prefixes + 1).collect()]
+    if len(prefixes) > most_prefixes:
+        return _allowed_by_join(pages, rules, url_col)
     bad = F.lit(False)
     for p in sorted(prefixes):
         bad = bad | url_path(F.col(url_col)).startswith(p)
     return pages.filter(~bad)
+
+
+def _allowed_by_join(pages: DataFrame, rules: DataFrame, url_col: str) -> DataFrame:
+    """The same by equality: each distinct path offers its leading parts, no longer than the longest prefix."""
+    longest = rules.agg(F.max(F.length("prefix"))).first()[0]
+    ends = F.sequence(F.lit(1), F.least(F.length("_path"), F.lit(longest)))
+    parts = F.transform(ends, lambda k: F.substring(F.col("_path"), F.lit(1), k))
+    offers = pages.select(url_path(F.col(url_col)).alias("_path")).distinct().select("_path", F.explode(parts).alias("prefix"))
+    bad = offers.join(rules, "prefix", "left_semi").select("_path").distinct()
+    return pages.join(bad, url_path(F.col(url_col)) == F.col("_path"), "left_anti")

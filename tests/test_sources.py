@@ -98,6 +98,18 @@ def test_robots(spark):
     assert robots.allowed_pages(pages, robots.rules_for_agent(rules, "bot")).count() == 3
 
 
+def test_robots_by_join(spark):
+    """Many prefixes are joined, with the same pages left, and no nested loop."""
+    urls = [None, "", "http://h", "http://h/", "http://h/a", "http://h/ab/c?q=/z", "http://h/z/ab", "http://h/ß/x", "http://h/ß/x", "no url"]
+    pages = spark.createDataFrame([(u, "clash") for u in urls], "url string, prefix string")
+    for prefixes in (["/ab", "/z/"], ["/"], ["/ß/", "ab", "", None, "/ab", "/ab"], ["/longer/than/any/path/here"]):
+        rules = spark.createDataFrame([(p,) for p in prefixes], "prefix string")
+        wanted = sorted(map(str, robots.allowed_pages(pages, rules).collect()))
+        joined = robots.allowed_pages(pages, rules, most_prefixes=0)
+        assert sorted(map(str, joined.collect())) == wanted
+        assert "NestedLoop" not in joined._jdf.queryExecution().toString()
+
+
 def test_registry(spark):
     assert registry.registry_problems(registry.registry(spark)).isEmpty()
     broken = spark.createDataFrame([("a", [("zz", None)]), ("a", [])], "slug string, crossRefs array<struct<target: string, reason: string>>")

@@ -33,6 +33,7 @@ FILINGS = [
     ("certiorari_prohibition_mandamus", 60, "Rule 65, Sec. 4"),
 ]
 EXTENDABLE, MOST_EXTENSION = "appeal_certiorari_sc", 30
+ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 
 
 def prescription_table(spark: SparkSession) -> DataFrame:
@@ -43,8 +44,9 @@ def filing_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FILINGS, "filing_type string, base_days int, rule string")
 
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("int")
+def _once(value: Column, use) -> Column:
+    """``use(value)``, where ``value`` is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _rolled(y: Column, m: Column, d: Column) -> Column:
@@ -55,8 +57,8 @@ def _rolled(y: Column, m: Column, d: Column) -> Column:
 
 def rolled_date(text: Column) -> Column:
     """The date of a strict ``YYYY-MM-DD`` text; else null."""
-    pattern = r"^([0-9]{4})-([0-9]{2})-([0-9]{2})\z"
-    return F.when(text.rlike(pattern), _rolled(*(_number(text, pattern, k) for k in (1, 2, 3))))
+    numbers = F.split(text, "-").cast("array<int>")
+    return F.when(text.rlike(ISO_DATE), _once(numbers, lambda n: _rolled(n[0], n[1], n[2])))
 
 
 def years_later(start: Column, years: Column) -> Column:
@@ -79,9 +81,8 @@ def next_working_day(day: Column, holidays: Column) -> Column:
 
 def filing_deadline(notice_text: Column, days: Column, holidays: Column) -> Column:
     """The last day to file: the notice day is not counted, and a last day off rolls forward. Null if the notice or a holiday is no ISO date."""
-    pattern = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
-    good = F.forall(holidays, lambda h: h.rlike(pattern))
-    return F.when(good, next_working_day(F.date_add(rolled_date(notice_text), days), holidays))
+    good = F.forall(holidays, lambda h: h.rlike(ISO_DATE))
+    return F.when(good, _once(F.date_add(rolled_date(notice_text), days), lambda day: next_working_day(day, holidays)))
 
 
 @F.pandas_udf(T.StringType())

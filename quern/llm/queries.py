@@ -157,3 +157,12 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(_bucket("conv_id", 5) == 0, F.lit(True))
     model = learn(conversations, ~held_out)
     return format_chats(conversations.drop("role"), model=model).withColumn("held_out", held_out)
+
+
+@_query
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .op12_sentencepiece import round_trip_digests
+
+    return round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(PIECES))

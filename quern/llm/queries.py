@@ -166,3 +166,55 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op12_sentencepiece import round_trip_digests
 
     return round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(PIECES))
+
+
+#: The checksum of a string's bytes in SQL, by its table of 256 values.
+_CRC = """
+  crc_table AS MATERIALIZED (
+    SELECT list(list_reduce(list_concat([i], range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)
+  )"""
+
+
+def _crc(text: str, table: str = "t") -> str:
+    """SQL for the unsigned checksum of ``text`` (given twice, so a column), with ``table`` in reach."""
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda k: ('0x' || substr(hex(encode({text})), 2 * k + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {octets}), lambda c, b: xor(c >> 8, {table}[xor(c % 256, b) + 1])), 4294967295)"
+
+
+@_query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op13_spelling import drop_letter, spelling_variants
+
+    return spelling_variants(documents(spark, sf_dir), drop_letter(97))
+
+
+ORACLES["op13_spelling"] = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run
+  FROM documents
+), spelt AS (
+  SELECT run, n, {_crc("said")} AS h FROM (SELECT doc || ':' || run AS said, run, count(*) AS n FROM runs GROUP BY ALL), crc_table
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n
+  FROM (SELECT CASE WHEN h % 97 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM spelt)
+  WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS MATERIALIZED (
+  SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cut c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cut c JOIN words w ON c.rest = w.word
+), near AS (
+  SELECT a AS word, count(*) AS n_near, max(n) AS best_n, min(b) FILTER (n = most) AS best
+  FROM (SELECT *, max(n) OVER (PARTITION BY a) AS most FROM pairs) GROUP BY a
+), formed AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 2 * w.n THEN best END AS form, CASE WHEN best_n >= 2 * w.n THEN best_n END AS form_n
+  FROM words w LEFT JOIN near USING (word)
+), chains AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT c.word, f.form FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NOT NULL
+), roots AS (
+  SELECT c.word, c.at AS root FROM chains c JOIN formed f ON f.word = c.at WHERE f.form IS NULL
+)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM formed f JOIN roots r USING (word)
+"""

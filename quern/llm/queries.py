@@ -218,3 +218,42 @@ runs AS (
 )
 SELECT f.word, f.n, f.n_near, f.form, f.form_n, r.root FROM formed f JOIN roots r USING (word)
 """
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation c begins with the first crc32(c) mod 6 turns of the conversation c - c % 100."""
+    from .op11_prefix_trie import prefix_trie, with_heads
+
+    conv = F.col("conv")
+    rows = with_heads(spark.read.parquet(f"{sf_dir}/conversations.parquet"), conv - conv % 100, _bucket("conv", 6), 5)
+    return prefix_trie(rows).drop("digest")
+
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH {_CRC},
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS n, struct_pack(role := coalesce(role, ''), text := coalesce(text, '')) AS said
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS source, {_crc("name")} % 6 AS h FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS name FROM turns), crc_table
+), rebuilt AS (
+  SELECT c.conv_id, n, said FROM convs c JOIN turns t ON t.conv_id = c.source AND n <= h
+  UNION ALL SELECT c.conv_id, n, said FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND n > h
+), paths AS (
+  SELECT c.conv_id, coalesce(list(said ORDER BY n) FILTER (n IS NOT NULL), []) AS path FROM convs c LEFT JOIN rebuilt r ON r.conv_id = c.conv_id GROUP BY ALL
+), prefixes AS (
+  SELECT conv_id, d, path[1:d] AS prefix, d = len(path) AS ended FROM (SELECT *, unnest(range(len(path) + 1)) AS d FROM paths)
+), nodes AS MATERIALIZED (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ended), '') AS ends FROM prefixes GROUP BY d, prefix
+), linked AS MATERIALIZED (
+  SELECT n.*, p.conv_id AS parent_conv_id, (SELECT count(*) FROM nodes c WHERE c.d = n.d + 1 AND c.prefix[1:n.d] = n.prefix) AS n_children
+  FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+), under AS (
+  SELECT above, prefix[1:above] AS top, n_children, (n_convs - 1) * CASE WHEN d > 0 THEN length(prefix[d].text) ELSE 0 END AS saved FROM (SELECT *, unnest(range(d + 1)) AS above FROM linked)
+), sums AS (
+  SELECT above AS d, top AS prefix, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM under GROUP BY ALL
+)
+SELECT l.conv_id, l.d AS depth, l.parent_conv_id, l.n_convs, l.n_children, s.n_leaves, s.saved_tokens, sha256(l.ends) AS ends_sha256
+FROM linked l JOIN sums s ON s.d = l.d AND s.prefix = l.prefix
+"""

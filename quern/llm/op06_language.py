@@ -9,15 +9,18 @@ see, so that a score is the probability of being right; a text is rejected if
 its score is under ``min_score``, or if it has no letter.
 
 The fit reads a bounded sample: at most PER_LANGUAGE labelled rows of each
-language, and about SAMPLE_ROWS of all, whatever their length. Tasks turn the
-sampled texts, whole, into shares of buckets; only these reach the driver. Rows
+language, SAMPLE_ROWS of all, whatever their length, of the LANGUAGES most frequent
+languages at most. Rows are chosen by a hash of identifier, text and language, and copies count
+once, so repeated or missing identifiers and any number of copies leave the choice as it is. Tasks turn the
+sampled texts, whole, into shares of buckets; only these reach the driver, SAMPLE_BYTES of them at most. Rows
 of equal texts lie on one side of the split between training and calibration.
 Predictions read every whole text; mean and softmax are exact at any length,
 block by block.
 
 Null texts and texts without a letter get ``und`` with score 0 and are rejected.
 Without any labelled row all texts do. Ties between languages go to the first in
-order. Repeated rows are judged one by one; other columns are not read.
+order. Repeated rows are judged one by one; other columns are not read. A table
+without rows gives one without rows.
 """
 
 from __future__ import annotations
@@ -30,10 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import map_batches
+from .sample import choose, gather, row_hash
+from .shared import map_batches, written
 from .words import blocks, utf8
 
-PER_LANGUAGE, SAMPLE_ROWS, LEAST_ROWS = 400, 8000, 10
+PER_LANGUAGE, SAMPLE_ROWS, LANGUAGES, SAMPLE_BYTES = 400, 8000, 256, 256 << 20
 BUCKET_BITS, DIMENSIONS, SIZES, EPOCHS, BATCH, RATE = 17, 8, (2, 3, 4), 5, 16, 0.2
 MIN_SCORE = 0.5
 
@@ -144,41 +148,22 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[str], print
     return model
 
 
-def labelled_sample(df: DataFrame, labelled: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> DataFrame:
-    """(lang, print, buckets, shares) of a bounded number of rows of each language for which ``labelled`` holds, chosen by a hash of the identifier."""
-    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].alias("lang"), labelled.alias("labelled"))
-    rows = rows.filter(F.col("labelled") & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    rows = rows.withColumn("dice", F.xxhash64(F.col("id").cast("string"), F.lit(6)))
-    share = (F.pmod("dice", F.lit(1 << 30)) / float(1 << 30)).alias("share")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    most = F.least(F.lit(per_language), F.greatest(F.lit(LEAST_ROWS), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy()))))  # a row for each language
-    counts = counts.withColumn("most", most)
-    # a row for each language goes to all tasks; most rows go before the window, which then ranks about two times as many rows of each language as are taken
-    near = rows.join(F.broadcast(counts), "lang").filter(share * F.col("n") < 2 * F.col("most") + 100)
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("dice", "id", "text"))).filter(F.col("rank") <= F.col("most"))
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = utf8(batch.column(1))
-            found = _rows(texts)
-            cut = pa.array(np.concatenate(([0], np.cumsum([len(b) for b, _ in found]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[k] for r in found]), kind)) for k, kind in ((0, pa.int32()), (1, pa.float32()))]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array([zlib.crc32(t) for t in texts], pa.int64()), *lists], names=["lang", "print", "buckets", "shares"])
-
-        return step
-
-    return map_batches(ranked.select(F.col("lang").cast("string").alias("lang"), "text"), make, "lang string, print long, buckets array<int>, shares array<float>")
-
-
-def train(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """A model from a bounded sample of the labelled rows, or None if there are none."""
-    found = labelled_sample(df, labelled, id_col, text_col, lang_col, per_language).toArrow()
+def train(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, per_language: int = PER_LANGUAGE, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel | None:
+    """A model from a bounded sample of the rows for which ``labelled`` holds, or None if there are none."""
+    rows = df.select(df[id_col].alias("id"), df[text_col].alias("text"), df[lang_col].cast("string").alias("kind"), labelled.alias("labelled"))
+    rows = rows.filter(F.col("labelled") & F.col("kind").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    rows = rows.select("kind", row_hash(F.col("kind"), F.col("id"), F.col("text"), seed=6).alias("dice"), "text")
+    counts = rows.groupBy("kind").agg(F.approx_count_distinct("dice").alias("n"), F.count("*").alias("all")).orderBy(F.desc("all"), "kind").limit(LANGUAGES)
+    most = F.least(F.lit(per_language), F.floor(F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy())))  # a row for each language
+    counts = written(counts.select("kind", "n", most.cast("int").alias("most")))
+    shares = lambda texts: [(*row, [zlib.crc32(t)]) for t, row in zip(texts, _rows(texts), strict=True)]
+    found = gather(rows.select("dice", "text"), written(choose(rows, counts)), shares, ("int", "float", "long"), sample_bytes)
     if not found.num_rows:
         return None
-    langs, prints = found["lang"].to_pylist(), found["print"].to_pylist()
-    rows = [(b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for b, w in zip(found["buckets"], found["shares"], strict=True)]
-    order = sorted(range(len(rows)), key=lambda i: (prints[i], langs[i]))
-    return fit_rows([rows[i] for i in order], [langs[i] for i in order], [prints[i] for i in order])
+    langs, prints = found["kind"].to_pylist(), [x.values[0].as_py() for x in found["x2"]]
+    bags = [(b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for b, w in zip(found["x0"], found["x1"], strict=True)]
+    order = sorted(range(len(bags)), key=lambda i: (prints[i], langs[i]))
+    return fit_rows([bags[i] for i in order], [langs[i] for i in order], [prints[i] for i in order])
 
 
 def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", *, min_score: float = MIN_SCORE, passing: list[str] | None = None) -> DataFrame:

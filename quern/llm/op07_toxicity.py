@@ -13,15 +13,16 @@ probability is the score. Where a batch's corrected risk for unlabelled texts
 falls under zero, the step goes back on it, as non-negative estimation asks.
 
 The fit reads bounded samples: at most ``TOXIC_ROWS`` confirmed and
-``UNLABELLED_ROWS`` other rows, whatever their length. Tasks turn the sampled
-texts, whole, into counts of hashed words; only these reach the driver. Scores
-read every whole text. The prior is the share of confirmed toxic rows among reviewed ones
+``UNLABELLED_ROWS`` other rows, whatever their length, chosen by a hash of identifier and
+text; copies count once, so neither they nor repeated identifiers weigh on the choice. Tasks turn the sampled
+texts, whole, into counts of hashed words; only these reach the driver, ``SAMPLE_BYTES`` of
+them at most. Scores read every whole text. The prior is the share of confirmed toxic rows among reviewed ones
 unless it is given.
 
 Null and empty texts have no words and get the score that the classifier gives
 to an empty summary. Without any confirmed toxic row every score is 0. Labels
 repeated for one identifier count as toxic if any is. Repeated rows are scored one
-by one; other columns are not read.
+by one; other columns are not read. A table without rows gives one without rows.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, text_or_empty
+from .sample import choose, gather, row_hash
+from .shared import map_batches, text_or_empty, written
 from .words import blocks, mix, utf8
 
-TOXIC_ROWS, UNLABELLED_ROWS = 2000, 6000
+TOXIC_ROWS, UNLABELLED_ROWS, SAMPLE_BYTES = 2000, 6000, 256 << 20
 BUCKET_BITS, BEGINNING, EPOCHS, BATCH, RATE, SEEN, STEPS = 18, 5, 8, 128, 0.3, 1e-5, 400
 
 
@@ -184,39 +186,26 @@ def fit_counts(counts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, p
     return model
 
 
-def train(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, prior: float | None = None) -> ToxicityModel | None:
+def train(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", label_col: str = "toxic", *, prior: float | None = None, sample_bytes: int = SAMPLE_BYTES) -> ToxicityModel | None:
     """A model from rows for which ``learnable`` (of the column ``id``) holds, or None without any confirmed toxic row.
 
-    Identifiers are chosen first, by a hash; texts are read once, and only the chosen ones go on.
+    Rows are chosen first, by a hash of identifier and text; then only the chosen texts are read, and copies count once.
     """
     confirmed = labels.select(labels[label_id_col].alias("id"), labels[label_col].cast("int").alias("toxic")).filter(learnable & F.col("toxic").isNotNull()).groupBy("id").agg(F.max("toxic").alias("toxic"))
     if prior is None:
         prior = confirmed.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    ids = df.select(df[id_col].alias("id")).filter(learnable).join(confirmed.filter("toxic = 1"), "id", "left").select("id", (F.col("toxic") == 1).alias("toxic"), F.xxhash64(F.col("id").cast("string"), F.lit(7)).alias("dice"))
-    ids = ids.withColumn("toxic", F.coalesce("toxic", F.lit(False)))
-    totals = {r["toxic"]: r["n"] for r in ids.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    if not totals.get(True):
+    texts = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).filter(learnable).withColumn("dice", row_hash(F.col("id"), F.col("text"), seed=7))
+    rows = texts.select("id", "dice").join(confirmed.filter("toxic = 1"), "id", "left").select(F.coalesce(F.col("toxic") == 1, F.lit(False)).alias("kind"), "dice")
+    counts = rows.groupBy("kind").agg(F.approx_count_distinct("dice").alias("n")).withColumn("most", F.when(F.col("kind"), TOXIC_ROWS).otherwise(UNLABELLED_ROWS))
+    chosen = written(choose(rows, written(counts)))
+    if chosen.filter("kind").isEmpty():
         return None
-    share = F.pmod("dice", F.lit(1 << 30)) / float(1 << 30)
-    chosen = [ids.filter((F.col("toxic") == kind) & (share * totals.get(kind, 0) < 2 * most + 100)).orderBy("dice", "id").limit(most) for kind, most in ((True, TOXIC_ROWS), (False, UNLABELLED_ROWS))]
-    sampled = F.broadcast(chosen[0].union(chosen[1]).distinct())  # at most TOXIC_ROWS + UNLABELLED_ROWS short rows
-    texts = df.select(df[id_col].alias("id"), text_or_empty(text_col).alias("text")).join(sampled, "id")
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = counted_words(utf8(batch.column(0)))
-            cut = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in found]))), pa.int32())
-            lists = [pa.ListArray.from_arrays(cut, pa.array(np.concatenate([r[k] for r in found]), pa.int64())) for k in (0, 1)]
-            return pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], names=["toxic", "dice", "print", "pairs", "times"])
-
-        return step
-
-    rows = map_batches(texts.select("text", "toxic", "dice", F.xxhash64("text").alias("print")), make, "toxic boolean, dice long, print long, pairs array<long>, times array<long>")
-    found = rows.orderBy(F.desc("toxic"), "dice", "print").limit(TOXIC_ROWS + UNLABELLED_ROWS).toArrow()  # repeated identifiers have more rows than were chosen
-    if not found.num_rows or not found["toxic"][0].as_py():
+    found = gather(texts.select("dice", "text"), chosen, counted_words, ("long", "long"), sample_bytes)
+    toxic = found["kind"].to_numpy()
+    if not toxic.any():
         return None
-    counts = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(found["pairs"], found["times"], strict=True)]
-    return fit_counts(counts, found["toxic"].to_numpy(), min(max(prior, 0.001), 0.9))
+    counts = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(found["x0"], found["x1"], strict=True)]
+    return fit_counts(counts, toxic, min(max(prior, 0.001), 0.9))
 
 
 def score_texts(df: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -162,3 +162,38 @@ def test_only_long_texts_are_learned_from(spark):
     assert {(r["doc_id"] % 2, r["lang_pred"]) for r in language.identify(df, model).collect()} == {(0, "en"), (1, "de")}
     scores = {r["doc_id"]: r["score"] for r in toxicity.score_texts(df, toxicity.train(df, df, F.lit(True), prior=0.1)).collect()}
     assert min(scores[k] for k in range(1, 16, 2)) > max(scores[k] for k in range(0, 16, 2))
+
+
+def _repeated(spark, sf_dir, times, doc_id):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("doc_id", F.lit(doc_id).cast("long"))
+    return docs.crossJoin(spark.range(times).select(F.col("id").alias("copy"))).drop("copy")
+
+
+@pytest.mark.parametrize("doc_id", [3, None])
+def test_one_identifier_and_copies_leave_the_sample_of_languages_as_it_is(spark, sf_dir, doc_id):
+    from quern.llm import op06_language
+
+    once, often = (op06_language.train(_repeated(spark, sf_dir, n, doc_id), F.lit(True)) for n in (1, 12))
+    assert once.languages == often.languages and (once.scores == often.scores).all() and once.temperature == often.temperature
+    same = spark.createDataFrame([(1, "one text in a language", "en")] * 3000 + [(2, "noch ein Text", "de")], "doc_id long, text string, lang string")
+    assert op06_language.train(same, F.lit(True)).languages == ["de", "en"]
+
+
+def test_one_identifier_and_copies_leave_the_sample_of_toxic_texts_as_it_is(spark):
+    from quern.llm import op07_toxicity
+
+    rows = [(3, f"bad words {k} vile awful") for k in range(40)] + [(100 + k, f"good words {k} kind nice") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(3, 1), (100, 0), (101, 0)], "doc_id long, toxic int")
+    often = df.crossJoin(spark.range(100).select(F.col("id").alias("copy"))).drop("copy")
+    once, many = (op07_toxicity.train(x, labels, F.lit(True)) for x in (df, often))
+    assert (once.weights == many.weights).all() and once.bias == many.bias
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    from quern.llm import sample
+
+    rows = spark.range(300).select((F.col("id") % 3).cast("string").alias("kind"), F.xxhash64("id").alias("dice"), F.repeat(F.lit("x"), 100).alias("text")).persist()
+    found = sample.gather(rows.select("dice", "text"), rows.select("kind", "dice"), lambda texts: [(list(t),) for t in texts], ("int",), 30_000)
+    assert 45 < found.num_rows <= 30_000 // 464 and set(found["kind"].to_pylist()) == {"0", "1", "2"}
+    rows.unpersist()

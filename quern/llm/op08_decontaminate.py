@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
 The index is a stored table. Each training word has a place in the whole corpus,
-a number of which the upper bits name a block of about 1 MiB of text and the
-lower ones count its words; between texts lies a gap wider than any search, so
+a number of which the upper bits name the task that read it and the lower ones
+count on through all its texts; between texts lies a gap wider than any search, so
 nothing that is looked for can reach over a text's end. A posting list holds a
 term's places within one cell of 32,768: (term, cell, places), dealt by (term, a
 run of cells) and sorted, so a frequent term's lists lie in many partitions, and
@@ -25,8 +25,9 @@ Null and empty texts have no words and match nothing; an empty benchmark leaves
 all documents clean; repeated item texts count as items of their own. Items with
 a null identifier are searched like all others, but have no place in the lists of
 identifiers. Rows with equal identifiers and equal texts have equal results;
-otherwise repeated identifiers do no harm, and other columns are not read. Texts
-may be of any length: a long one is indexed in slices.
+otherwise repeated identifiers do no harm, and other columns are not read. A table without
+rows gives one without rows. Texts may be of any length: a long one is indexed in slices;
+a task may read any number of texts (2**40 words) and there may be 2**23 tasks.
 """
 
 from __future__ import annotations
@@ -46,8 +47,8 @@ from .shared import map_batches, text_or_empty, written
 from .words import BLOCK_BYTES, Block, utf8
 
 WINDOW, SLOP, VOCABULARY_BYTES = 10, 4, 4 << 20
-#: A place is (task, block of the task, word of the block) in 20, COUNT_BITS and BLOCK_BITS bits; a cell has 2**CELL_BITS places; so many places lie between texts.
-COUNT_BITS, BLOCK_BITS, CELL_BITS, GAP = 13, 30, 15, 32
+#: A place is (task, word of the task) in 23 and PLACE_BITS bits; a run has 2**RUN_BITS places, a cell 2**CELL_BITS; so many places lie between texts.
+PLACE_BITS, RUN_BITS, CELL_BITS, GAP = 40, 20, 15, 32
 _BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -151,21 +152,20 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The index, written: (term, cell, n, places within the cell), and for each text a row without a term: (base, doc_id, print, n_words)."""
 
     def make():
-        task, count = TaskContext.get().partitionId(), [0]
+        task, free = TaskContext.get().partitionId(), [0]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            terms, cells, sizes, places, texts = [], [], [], [], []
+            terms, cells, sizes, places, texts, begin = [], [], [], [], [], 0
             for fresh, block, local, ended in _blocks(utf8(batch.column(1)), block_bytes):
-                count[0] += fresh
-                if count[0] > 1 << COUNT_BITS:
-                    raise ValueError(f"a partition has more than {1 << COUNT_BITS} blocks of text: repartition the documents")
-                base = (task << COUNT_BITS | count[0] - 1) << BLOCK_BITS
-                own, cell, begin, at = _lists(block, local + base, vocabulary, cell_bits)
+                begin = -(-free[0] >> cell_bits) << cell_bits if fresh else begin  # at a cell's border
+                base = task << PLACE_BITS | begin
+                own, cell, cut, at = _lists(block, local + base, vocabulary, cell_bits)
                 terms += own
                 cells.append(cell)
-                sizes.append(np.diff(begin))
+                sizes.append(np.diff(cut))
                 places.append((at & ((1 << cell_bits) - 1)).astype(np.int32))
                 texts += [(i, start + base, n) for i, start, n in ended]
+                free[0] = max(free[0], begin + max([*(local[-1:] + 1).tolist(), *(start + n for _, start, n in ended[-1:])], default=0) + GAP)
             size, rows = np.concatenate(sizes), pa.array([i for i, _, _ in texts], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(size))), pa.int32()), pa.array(np.concatenate(places)))
             postings = pa.record_batch([pa.array(terms, pa.binary()).cast(pa.string()), pa.array(np.concatenate(cells), pa.int64()), pa.array(size, pa.int32()), lists], names=["term", "cell", "n", "places"])
@@ -179,21 +179,29 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_or_empty(text_col)
     rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("print"))
     index = map_batches(rows, make, f"term string, cell long, n int, places array<int>, base long, doc_id {kind}, print long, n_words long")
-    dealt = index.repartition("term", F.shiftright(F.coalesce("cell", F.shiftright("base", cell_bits)), 24 - min(cell_bits, 24)))
+    dealt = index.repartition("term", _run(F.coalesce("cell", F.shiftright("base", cell_bits)), cell_bits))
     return written(dealt.sortWithinPartitions("term", "cell"))
 
 
+def _run(cell: Column, cell_bits: int) -> Column:
+    """The run of cells that are dealt together."""
+    return F.shiftright(cell, RUN_BITS - min(cell_bits, RUN_BITS))
+
+
 def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell_bits: int = CELL_BITS, few_terms: bool = False) -> DataFrame:
     """Matches of windows: (window, place of the rarest term, start, length, exact, near); ``near`` is false if ``slop`` is None. ``few_terms``: the windows' terms are known to fit into every task."""
     lists = index.filter("term IS NOT NULL").select("term", "cell", "n", "places")
-    frequency = lists.groupBy("term").agg(F.sum("n").alias("frequency"))
+    runs = written(lists.groupBy("term", _run(F.col("cell"), cell_bits).alias("run")).agg(F.sum("n").alias("n")))
+    frequency = runs.groupBy("term").agg(F.sum("n").alias("frequency"))
     spread = windows.select("window", F.size("terms").alias("length"), F.size(F.array_distinct("terms")).alias("distinct"), F.posexplode("terms").alias("offset", "term"))
     parts = spread.groupBy("window", "length", "distinct", "term").agg(F.array_sort(F.collect_list("offset")).alias("offsets"))  # at most ``width``
     asked = parts.join(frequency, "term").groupBy("window", "length", "distinct").agg(F.array_sort(F.collect_list(F.struct("frequency", "term", "offsets"))).alias("parts"))
     asked = written(asked.filter(F.size("parts") == F.col("distinct")).select("window", "length", "parts"))
     part = lambda k: F.try_element_at("parts", F.lit(k))
     first = asked.select("window", "length", part(1)["term"].alias("term"), part(1)["offsets"][0].alias("first"), part(2)["term"].alias("second"), part(2)["offsets"][0].alias("next"))
-    found = first.join(lists, "term").withColumn("low", F.explode("places")).withColumn("place", F.shiftleft("cell", cell_bits) + F.col("low")).drop("term", "cell", "low", "n", "places")
+    # a window asks for its rarest term run by run, so that the lists of a frequent term meet it in many tasks
+    by_run = first.join(runs.select("term", "run"), "term").join(lists.withColumn("run", _run(F.col("cell"), cell_bits)), ["term", "run"])
+    found = by_run.withColumn("low", F.explode("places")).withColumn("place", F.shiftleft("cell", cell_bits) + F.col("low")).drop("term", "run", "cell", "low", "n", "places")
 
     def close(rows: DataFrame, offset: Column, lists: DataFrame) -> DataFrame:
         """Rows with the places of their term that are close enough: where the term at ``offset`` must be if there is no slop, else within reach of the place found."""
@@ -224,20 +232,20 @@ def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell
     near = F.lit(False)
     if slop is not None:
         reach = F.col("length") + slop
-        near = F.exists(
-            F.sequence(F.col("place") - reach + 1, F.col("place")),
-            lambda s: F.forall(F.sequence(F.lit(0), F.col("length") - 1), lambda o: F.exists("all", lambda x: (x["offset"] == o) & F.exists(x["around"], lambda p: (p >= s) & (p < s + reach)))),
-        )
+        # a run that has all words can begin at a place of one of them, at the place found or up to a reach before it
+        starts = F.array_distinct(F.flatten(F.transform("all", lambda x: F.filter(x["around"], lambda p: (p > F.col("place") - reach) & (p <= F.col("place"))))))
+        near = (F.size(F.array_distinct(F.transform("all", lambda x: x["offset"]))) == F.col("length")) & F.exists(starts, lambda s: F.size(F.array_distinct(F.transform(F.filter("all", lambda x: F.exists(x["around"], lambda p: (p >= s) & (p < s + reach))), lambda x: x["offset"]))) == F.col("length"))
     matches = seen.select("window", "place", (F.col("place") - F.col("first")).alias("start"), "length", (F.col("right") == F.col("length")).alias("exact"), near.alias("near"))
     return matches.filter("exact OR near")
 
 
 def _with_texts(index: DataFrame, matches: DataFrame) -> DataFrame:
-    """Matches with the base of the text that each lies in. Texts of a block and its matches are read in order of place."""
-    block = F.shiftright("at", BLOCK_BITS)
-    texts = index.filter("term IS NULL").select(F.col("base").alias("at"), "base")
-    places = matches.withColumnRenamed("place", "at").withColumn("block", block)
-    both = texts.withColumn("block", block).join(places.select("block").distinct(), "block", "left_semi").unionByName(places, allowMissingColumns=True)
+    """Matches with the base of the text that each lies in. The texts and matches of a run of places are read in order."""
+    run = lambda c: F.shiftright(c, RUN_BITS)
+    texts = index.filter("term IS NULL").select("base", F.explode(F.sequence(run(F.col("base")), run(F.col("base") + F.greatest(F.col("n_words"), F.lit(1)) - 1))).alias("block"))
+    texts = texts.select("base", "block", F.greatest("base", F.shiftleft("block", RUN_BITS)).alias("at"))  # a long text is in several
+    places = matches.withColumnRenamed("place", "at").withColumn("block", run(F.col("at")))
+    both = texts.join(places.select("block").distinct(), "block", "left_semi").unionByName(places, allowMissingColumns=True)
     before = Window.partitionBy("block").orderBy("at", F.col("window").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("base", F.last("base", ignorenulls=True).over(before)).filter("window IS NOT NULL").drop("block", "at")
 
@@ -248,7 +256,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     With ``passing``, each column c of it is returned as keep_c, and ``n_words`` is not: texts
     without a match are then neither moved nor joined with the index, if Spark can broadcast the others.
     """
-    if 2 * (width + (slop or 0)) > min(GAP, 1 << cell_bits):
+    if 2 * (width + (slop or 0)) > min(GAP, 1 << cell_bits) or cell_bits > RUN_BITS:
         raise ValueError("width and slop reach too far for the gap between texts, or for cells")
     windows, owners = benchmark_windows(benchmark, item_col, item_text_col, width)
     vocabulary = vocabulary_hashes(windows, vocabulary_bytes)

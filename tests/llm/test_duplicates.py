@@ -264,3 +264,12 @@ def test_items_without_identifier_count(spark, limit):
     bench = spark.createDataFrame([(None, "a b c d"), ("7", "p q r s"), (None, "p q r s"), (None, None)], "item_id string, text string")
     found = {r["doc_id"]: ([tuple(x) for x in r["spans"]], r["items"], r["near_items"]) for r in leaks.find_contamination(df, bench, width=4, slop=2, vocabulary_bytes=limit).collect()}
     assert found == {1: ([(1, 5)], [], []), 2: ([(0, 4)], ["7"], ["7"]), 3: ([], [], []), 4: ([], [], [])}
+
+
+def test_a_task_may_read_any_number_of_blocks(spark):
+    """More blocks than a fixed share of a place's bits could number, all in one task."""
+    n = 9000
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 1000 == 999, F.concat(F.lit("w x y z "), F.col("id"))).otherwise("two words").alias("text")).coalesce(1)
+    bench = spark.createDataFrame([("a", "w x y z"), ("b", "nowhere at all")], "item_id string, text string")
+    found = {r["doc_id"]: (r["n_words"], r["items"]) for r in leaks.find_contamination(df, bench, width=4, slop=2, block_bytes=4, cell_bits=5).collect()}
+    assert found == {k: (5, ["a"]) if k % 1000 == 999 else (2, []) for k in range(n)}

@@ -234,7 +234,9 @@ def search_index(index: DataFrame, windows: DataFrame, slop: int | None, *, cell
         reach = F.col("length") + slop
         # a run that has all words can begin at a place of one of them, at the place found or up to a reach before it
         starts = F.array_distinct(F.flatten(F.transform("all", lambda x: F.filter(x["around"], lambda p: (p > F.col("place") - reach) & (p <= F.col("place"))))))
-        near = (F.size(F.array_distinct(F.transform("all", lambda x: x["offset"]))) == F.col("length")) & F.exists(starts, lambda s: F.size(F.array_distinct(F.transform(F.filter("all", lambda x: F.exists(x["around"], lambda p: (p >= s) & (p < s + reach))), lambda x: x["offset"]))) == F.col("length"))
+        complete = F.size(F.array_distinct(F.transform("all", lambda x: x["offset"]))) == F.col("length")
+        has = lambda o, s: F.exists("all", lambda x: (x["offset"] == o) & F.exists(x["around"], lambda p: (p >= s) & (p < s + reach)))
+        near = F.when(complete, F.exists(starts, lambda s: F.forall(F.sequence(F.lit(0), F.col("length") - 1), lambda o: has(o, s)))).otherwise(False)
     matches = seen.select("window", "place", (F.col("place") - F.col("first")).alias("start"), "length", (F.col("right") == F.col("length")).alias("exact"), near.alias("near"))
     return matches.filter("exact OR near")
 

@@ -25,10 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_own_folder}"
 
 
+#: Tables of at most so many bytes are spread.
+SPREAD_BYTES = 1 << 30
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df``, dealt over all cores if it has fewer partitions than there are cores, as a small file of one row group has; else as it is, so that no large table is shuffled."""
+    """A small table dealt over all cores, as a small file of one row group lies in one partition. Beyond SPREAD_BYTES, by Spark's own estimate, nothing is shuffled."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= SPREAD_BYTES and df.rdd.getNumPartitions() < cores else df
 
 
 def new_folder(spark: SparkSession) -> str:

@@ -29,30 +29,38 @@ def ascii_upper(c: Column) -> Column:
     return F.translate(c, LOWER, UPPER)
 
 
+#: Combining marks that the index drops inside words; a letter of a-z with one of them is that letter. Fixed values.
+MARKS = "".join(map(chr, (*range(0x300, 0x305), *range(0x306, 0x30D), 0x30F, 0x311, 0x31B, *range(0x323, 0x329), 0x32D, 0x32E, 0x330, 0x331)))
+
+
+def _fold_letter(letter: str) -> str:
+    """A lower-case letter as the index stores it: simple case folding, then a-z without a single mark. Other alphabets keep their marks, and so do letters with two."""
+    folded = letter.casefold()
+    folded = folded if len(folded) == 1 else letter
+    base, *marks = unicodedata.normalize("NFD", folded)
+    return base if len(marks) == 1 and marks[0] in MARKS and base.isascii() else folded
+
+
 @lru_cache(1)
-def _accents() -> tuple[str, str]:
-    """Lower-case Latin, Greek and Cyrillic letters that decompose into one base letter and marks, with the base letters."""
-    pairs = []
-    for code in (*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)):
-        base, *marks = unicodedata.normalize("NFD", chr(code))
-        if marks and all(unicodedata.combining(m) for m in marks):
-            pairs.append((chr(code), base))
-    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+def _folds() -> tuple[str, str]:
+    """Letters that folding changes, and what they become; the marks that go are at the end of the first."""
+    letters = [c for c in map(chr, range(0x80, 0x2200)) if len(c.lower()) == 1 and c.lower() == c and _fold_letter(c) != c]
+    return "".join(letters) + MARKS, "".join(map(_fold_letter, letters))
 
 
 def fold(c: Column) -> Column:
-    """Lower case without diacritics, as the index stores it."""
+    """Lower case without diacritics on Latin letters, as the index stores it."""
     low = F.lower(c)
-    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_accents())).otherwise(low)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.translate(low, *_folds())).otherwise(low)
 
 
-def tokens(c: Column) -> Column:
-    """Folded runs of letters and digits, in order."""
-    return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+#: A character of a token: letters, numbers, private use, and code points without a character.
+TOKEN = r"[\p{L}\p{N}\p{Co}\p{Cn}]"
 
 
-#: A character of a token.
-TOKEN = r"[\p{L}\p{N}]"
+def tokens(c: Column) -> Column:
+    """Folded runs of token characters, in order."""
+    return F.filter(F.split(fold(F.coalesce(c, F.lit(""))), rf"{TOKEN[0]}^{TOKEN[1:]}+"), lambda x: x != "")
 
 
 def token_count(folded: Column) -> Column:
@@ -71,9 +79,16 @@ def query_terms(query: str) -> list[str]:
     return [t for t in ("".join(ch for ch in p if unicodedata.category(ch)[0] in "LN") for p in pieces) if t]
 
 
+def terms_of(query: Column) -> Column:
+    """The same for a column of queries, folded."""
+    words = F.transform(F.split(F.lower(F.coalesce(query, F.lit(""))), r"(?U)\s+"), lambda w: fold(F.regexp_replace(w, r"[^\p{L}\p{N}]+", "")))
+    return F.filter(words, lambda w: w != "")
+
+
 def fold_term(term: str) -> str:
     """A query term as the index stores it."""
-    return term.lower().translate(str.maketrans(*_accents()))
+    letters, to = _folds()
+    return term.lower().translate(str.maketrans(letters[: len(to)], to, MARKS))
 
 
 def norm_key(c: Column) -> Column:

@@ -2,25 +2,41 @@
 
 Statistics are always of the whole corpus: filters come after them. A query is
 answered either from texts, in two narrow passes (one row of statistics goes
-back to all tasks), or from stored postings sorted by term, of which only the
+back to all tasks), or from a stored index, of which only the
 query's terms are read.
+
+In the index each posting has its gain, the part of its score that doesn't depend on
+how rare its term is, and a tier by which the gains of a term are ranked in TIERS steps.
+Postings are sorted by term and tier, and a small table has each (term, tier)'s number and largest gain.
+``top_by_index`` reads the highest tiers first, learns from them a score that k passages reach,
+and then only the tiers from which a passage could still reach it. ``answer_requests`` answers a table
+of requests in one pass: each request starts from its rarest term's postings, so its frequent terms
+are looked up by passage and never multiplied by requests.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import reduce
+from math import log
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quern.functions.text import fold, fold_term, query_terms, term_count, token_count, tokens
+from quern.functions.tables import written
+from quern.functions.text import fold, fold_term, query_terms, term_count, terms_of, token_count, tokens
 
 # BM25, page sizes, confidence and snippet.
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 DEFAULT_LIMIT, MAX_LIMIT, QUERY_CHARS = 10, 50, 300
 THRESHOLD, HIGH, MEDIUM = 0.4, 0.7, 0.4
 SNIPPET_BEFORE, SNIPPET_AFTER, ELLIPSIS = 80, 160, "…"
+#: Steps of a term's gains in the index, and postings of each term that the first look reads about.
+TIERS, PROBE_ROWS = 64, 4096
+#: Sums of gains are rounded to so many digits, as Spark adds them in any order and equal passages must tie.
+DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -89,12 +105,138 @@ def corpus_stats(corpus: Corpus) -> DataFrame:
     return corpus.passages.agg(F.count("*").alias("n_docs"), F.avg(words).alias("mean_length"))
 
 
-def write_index(corpus: Corpus, path: str, partitions: int | None = None) -> None:
-    """Postings sorted by term, so that a query reads only the row groups of its terms, and the statistics beside them."""
-    rows = postings(corpus)
-    by = ["term", "id"]
-    (rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)).sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/postings")
+@dataclass(frozen=True)
+class Index:
+    """A stored index: postings (term, tier, id, tf, length, gain), tiers (term, tier, n, gain), stats (n_docs, mean_length)."""
+
+    postings: DataFrame
+    tiers: DataFrame
+    stats: DataFrame
+
+
+def write_index(corpus: Corpus, path: str, partitions: int | None = None) -> Index:
+    """Postings sorted by term and tier, so that a query reads only the row groups that it needs, with the tiers and the statistics beside them."""
     corpus_stats(corpus).write.mode("overwrite").parquet(f"{path}/stats")
+    spark = corpus.passages.sparkSession
+    mean = spark.read.parquet(f"{path}/stats").select("mean_length")
+    rows = postings(corpus).crossJoin(F.broadcast(mean))  # one row
+    rows = rows.select("term", "id", "tf", "length", _gain(F.col("tf"), F.col("length"), F.col("mean_length")).alias("gain"))
+    rows = rows.withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("gain") * TIERS / (K1 + 1))).cast("int"))
+    by = ["term", "tier", "id"]
+    dealt = rows.repartitionByRange(partitions, *by) if partitions else rows.repartitionByRange(*by)
+    dealt.sortWithinPartitions(*by).write.mode("overwrite").parquet(f"{path}/postings")
+    tiers = spark.read.parquet(f"{path}/postings").groupBy("term", "tier").agg(F.count("*").alias("n"), F.max("gain").alias("gain"))
+    tiers.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/tiers")
+    return open_index(spark, path)
+
+
+def open_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "tiers", "stats")))
+
+
+def _tiers_from(cuts: dict[str, int]) -> Column:
+    """Postings of each term from a tier on, in a form that Parquet row groups can be pruned by."""
+    return reduce(or_, ((F.col("term") == t) & (F.col("tier") >= cut) for t, cut in cuts.items()))
+
+
+def _scores_from(index: Index, weights: dict[str, float], cuts: dict[str, int], allowed: DataFrame | None) -> DataFrame:
+    """(id, bm25) of the passages that have every term in a tier from its cut on."""
+    weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))[F.col("term")]
+    rows = index.postings.filter(_tiers_from(cuts)).groupBy("id").agg(F.round(F.sum(weight * F.col("gain")), DIGITS).alias("bm25"), F.count("*").alias("_found"))
+    rows = rows.filter(F.col("_found") == len(cuts)).drop("_found")
+    return rows if allowed is None else rows.join(allowed, "id", "left_semi")
+
+
+def needed_tiers(index: Index, query: str, k: int, allowed: DataFrame | None = None) -> tuple[dict[str, float], dict[str, int]] | None:
+    """Each term's weight, and the tier from which on its postings decide the best ``k`` passages; None if no passage can have all terms.
+
+    The driver sees at most TIERS rows for each query term, and one score each time.
+    """
+    wanted = Counter(fold_term(t) for t in query_terms(query))
+    tiers: dict[str, dict[int, tuple[int, float]]] = {t: {} for t in wanted}
+    for r in index.tiers.filter(F.col("term").isin(*wanted)).collect() if wanted else []:
+        tiers[r["term"]][r["tier"]] = (r["n"], r["gain"])
+    if not wanted or not all(tiers.values()):
+        return None
+    n_docs = index.stats.first()["n_docs"]
+    weights = {}
+    for t, times in wanted.items():
+        having = sum(n for n, _ in tiers[t].values())
+        idf = log((n_docs - having + 0.5) / (having + 0.5))
+        weights[t] = times * (idf if idf > 0 else IDF_FLOOR)
+    lowest, size = {t: min(tiers[t]) for t in wanted}, PROBE_ROWS
+    while True:
+        cuts = {}
+        for t in wanted:  # the highest tiers of about ``size`` postings
+            seen = 0
+            for tier in sorted(tiers[t], reverse=True):
+                if seen and seen + tiers[t][tier][0] > size:
+                    break
+                seen, cuts[t] = seen + tiers[t][tier][0], tier
+        if cuts == lowest:
+            return weights, lowest
+        floor = _scores_from(index, weights, cuts, allowed).orderBy(F.desc("bm25")).offset(k - 1).limit(1).agg(F.max("bm25")).first()[0]
+        if floor is not None:
+            break
+        size *= 8
+    # with any term in a lower tier, a passage scores less than k passages do, even if its other terms gain the most
+    best = {t: weights[t] * max(g for _, g in tiers[t].values()) for t in wanted}
+    most, floor = sum(best.values()), floor * (1 - 1e-9)
+    return weights, {t: min(tier for tier, (_, g) in tiers[t].items() if weights[t] * g + most - best[t] >= floor) for t in wanted}
+
+
+def top_by_index(index: Index, query: str, limit: int | None = None, offset: int | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """(id, bm25) of one page, best first: the same as scoring all passages. ``allowed`` (id) are the passages that a filter leaves."""
+    limit, offset = check_page(query, limit, offset)
+    needed = needed_tiers(index, query, limit + offset, allowed)
+    if needed is None:
+        return index.postings.select("id", F.lit(0.0).alias("bm25")).filter(F.lit(False))
+    return _scores_from(index, *needed, allowed).orderBy(F.desc("bm25"), "id").offset(offset).limit(limit)
+
+
+def search_stored(corpus: Corpus, index: Index, query: str, *, filters: dict[str, str] | None = None, limit: int | None = None, offset: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``search`` from a stored index: texts are read only for the hits of the page."""
+    held = {c: v for c, v in (filters or {}).items() if v is not None}
+    p = corpus.passages
+    allowed = p.filter(reduce(and_, (F.col(c) == v for c, v in held.items()))).select(F.col(corpus.id_col).alias("id")) if held else None
+    hits = top_by_index(index, query, limit, offset, allowed)
+    page = p.join(F.broadcast(hits.withColumnRenamed("id", corpus.id_col)), corpus.id_col)  # one page
+    body, heading = F.col(corpus.body), F.col(corpus.heading) if corpus.heading else None
+    page = page.withColumn("confidence", confidence(F.col("bm25"), body, heading, query)).filter(F.col("confidence") >= threshold)
+    return page.withColumns({"confidence_level": level(F.col("confidence")), "snippet": snippet(body, query)}).orderBy(F.desc("bm25"), corpus.id_col)
+
+
+def answer_requests(index: Index, requests: DataFrame, passages: DataFrame | None = None, filters: dict[str, str] | None = None, id_col: str = "id") -> DataFrame:
+    """(request_id, id, bm25, rank): the best passages of each of ``requests`` (request_id, query, limit), best first.
+
+    ``filters`` maps columns of ``requests`` to columns of ``passages``; where a request's value is null it doesn't filter. Requests
+    without an identifier or without terms, or with a term that no passage has, have no rows. Requests of equal identifiers are answered as one of the longest query.
+    """
+    filters = filters or {}
+    asked = requests.select("request_id", F.col("query"), F.coalesce("limit", F.lit(DEFAULT_LIMIT)).alias("limit"), *filters).groupBy("request_id").agg(F.max_by(F.struct("query", "limit", *filters), F.struct(F.length("query"), "query", "limit")).alias("r")).select("request_id", "r.*")
+    asked = written(asked)
+    terms = asked.select("request_id", F.explode(terms_of(F.col("query"))).alias("term")).groupBy("request_id", "term").agg(F.count("*").alias("times"))
+    having = index.tiers.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = _idf(F.col("n_docs"), F.col("df"))
+    rated = terms.join(having, "term", "left").crossJoin(F.broadcast(index.stats.select("n_docs")))  # one row
+    rated = rated.withColumn("weight", F.col("times") * idf)
+    plans = rated.groupBy("request_id").agg(F.array_sort(F.collect_list(F.struct("df", "term", "weight"))).alias("terms"), F.count_if(F.col("df").isNull()).alias("unknown"))  # a query is short
+    plans = written(plans.filter("unknown = 0").drop("unknown"))
+    lists = index.postings.select("term", "id", "gain")
+    rarest = F.col("terms")[0]
+    found = plans.select("request_id", rarest["term"].alias("term"), rarest["weight"].alias("weight"), F.slice("terms", 2, QUERY_CHARS).alias("others")).join(lists, "term").withColumn("bm25", F.col("weight") * F.col("gain")).drop("term", "weight", "gain")
+    alone = found.filter(F.size("others") == 0).select("request_id", "id", "bm25")
+    further = found.filter(F.size("others") > 0).withColumn("other", F.explode("others"))
+    further = further.select("request_id", "id", "bm25", F.size("others").alias("need"), F.col("other.term").alias("term"), F.col("other.weight").alias("weight")).join(lists, ["term", "id"])
+    met = further.groupBy("request_id", "id").agg(F.first("bm25").alias("first"), F.sum(F.col("weight") * F.col("gain")).alias("rest"), F.count("*").alias("met"), F.first("need").alias("need"))
+    scores = alone.union(met.filter("met = need").select("request_id", "id", F.col("first") + F.col("rest")))
+    scores = scores.join(asked.drop("query"), "request_id").withColumn("bm25", F.round("bm25", DIGITS))
+    if filters:
+        own = passages.select(passages[id_col].alias("id"), *(F.col(c).alias(f"_own_{c}") for c in filters.values()))
+        fits = reduce(and_, (F.col(r).isNull() | (F.col(r) == F.col(f"_own_{c}")) for r, c in filters.items()))
+        scores = scores.join(own, "id").filter(fits)
+    best = Window.partitionBy("request_id").orderBy(F.desc("bm25"), "id")
+    return scores.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= MAX_LIMIT) & (F.col("rank") <= F.col("limit"))).select("request_id", "id", "bm25", "rank")
 
 
 def scored_by_postings(rows: DataFrame, stats: DataFrame, query: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions.tables import new_folder
 from quern.functions.text import ascii_upper, content_hash, first_iso_date, leading_int, normalise_whitespace
 from quern.operators import evaluate, search, segment
 from quern.sources import html, ingest, robots
@@ -75,6 +76,53 @@ def search_by_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"))
 
 
+def _stored(corpus: search.Corpus) -> search.Index:
+    return search.write_index(corpus, new_folder(corpus.passages.sparkSession))
+
+
+@query(_scores() + "SELECT doc_id, round(bm25, 6) AS bm25 FROM matched ORDER BY matched.bm25 DESC, doc_id LIMIT 50")
+def search_stored_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _documents(spark, sf_dir)
+    return _result(search.search_stored(corpus, _stored(corpus), ASKED, limit=50, threshold=0))
+
+
+@query(_scores() + "SELECT doc_id, round(bm25, 6) AS bm25 FROM matched WHERE lang = 'en' AND source = 'src3' ORDER BY matched.bm25 DESC, doc_id LIMIT 10 OFFSET 1")
+def search_stored_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    corpus = _documents(spark, sf_dir)
+    return _result(search.search_stored(corpus, _stored(corpus), ASKED, filters={"lang": "en", "source": "src3"}, limit=10, offset=1, threshold=0))
+
+
+# requests: two words of each benchmark item, every third in one source alone
+_REQUESTS = "SELECT item_id AS request_id, array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 2, 3), ' ') AS query, CASE WHEN row_number() OVER (ORDER BY item_id) % 3 = 0 THEN 'src1' END AS its_source FROM benchmark"
+
+
+@query(
+    f"""
+WITH words AS (SELECT doc_id, source, {_TOKENS.format("coalesce(text, '')")} AS words FROM documents),
+stats AS (SELECT count(*)::DOUBLE AS n, avg(len(words)) AS mean FROM words),
+postings AS (SELECT doc_id, source, dl, term, count(*) AS tf FROM (SELECT doc_id, source, len(words) AS dl, unnest(words) AS term FROM words) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
+requests AS ({_REQUESTS}),
+terms AS (SELECT request_id, its_source, term, count(*) AS times FROM (SELECT request_id, its_source, unnest({_TOKENS.format("query")}) AS term FROM requests) GROUP BY ALL),
+needed AS (SELECT request_id, count(*) AS need FROM terms GROUP BY request_id),
+scores AS (
+  SELECT request_id, doc_id, count(*) AS met, sum(times * CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)))) AS bm25
+  FROM terms JOIN postings USING (term) JOIN df USING (term) CROSS JOIN stats WHERE its_source IS NULL OR its_source = source GROUP BY ALL
+)
+SELECT request_id, doc_id, round(s.bm25, 6) AS bm25, row_number() OVER (PARTITION BY request_id ORDER BY round(s.bm25, 9) DESC, doc_id)::INT AS "rank"
+FROM scores s JOIN needed USING (request_id) WHERE met = need
+QUALIFY "rank" <= 10
+"""
+)
+def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table of requests answered in one pass over the stored index."""
+    corpus = _documents(spark, sf_dir)
+    items = ingest.numbered(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
+    asked = items.select(F.col("item_id").alias("request_id"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " ").alias("query"), F.lit(10).alias("limit"), F.when(F.col("id") % 3 == 0, "src1").alias("its_source"))
+    found = search.answer_requests(_stored(corpus), asked, corpus.passages, {"its_source": "source"}, "doc_id")
+    return found.select("request_id", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
+
+
 @query(
     _scores()
     + f"""SELECT doc_id, round(confidence, 6) AS confidence FROM (

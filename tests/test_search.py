@@ -1,8 +1,12 @@
 import math
+import random
+import sqlite3
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
 
+from quern.functions import text as texts
 from quern.operators import search
 
 
@@ -74,3 +78,82 @@ def test_cases_and_issuances(spark):
     parts = spark.createDataFrame([(1, 1, None, "withholding of tax")], "id long, issuance_id long, heading string, body string")
     assert search.search_issuance(parts, issuances, "tax", threshold=0).rows.count() == 1
     assert search.search_issuance(parts, issuances, "tax", agency="SSS", threshold=0).rows.isEmpty()
+
+
+def _fts5_tokens(rows):
+    """Tokens of each text as the standard library's SQLite splits them."""
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE t USING fts5(x, tokenize='unicode61')")
+    con.execute("CREATE VIRTUAL TABLE v USING fts5vocab(t, 'instance')")
+    con.executemany("INSERT INTO t(rowid, x) VALUES (?, ?)", enumerate(rows))
+    out = [[] for _ in rows]
+    for doc, term in con.execute("SELECT doc, term FROM v ORDER BY doc, offset"):
+        out[doc].append(term)
+    return out
+
+
+def test_tokens_equal_unicode61(spark):
+    """On letters, marks, digits, symbols and private-use characters that Unicode 6.1 knew."""
+    rng = random.Random(61)
+    old = [c for c in map(chr, [*range(1, 0x250), *range(0x370, 0x500), *range(0x5D0, 0x5EB), *range(0x904, 0x93A), *range(0x1E00, 0x1FFF), *range(0x2010, 0x2060), *range(0x2100, 0x2180), *range(0x4E00, 0x4E40), *range(0xE000, 0xE010)]) if unicodedata.category(c) not in ("Cn", "Cs") and c not in "\u037f\u061c"]
+    marks = list(map(chr, range(0x300, 0x340)))
+    rows = ["re\u0301sume\u0301", "tiếng Việt", "a\ue000b", "Ǣ Ά ЙЁ İstanbul ſ ς µ ß ẞ", "\u0301x \u0301 y\u0301", "", "A-B_c.d", "e\u0301\u0323x", "o\u0305p o\u0338p"]
+    rows += ["".join(rng.choice([*old, *marks, *"abcé ", " "]) for _ in range(rng.randint(1, 25))) for _ in range(3000)] + ["x" + c + "Y" for c in old + marks]
+    got = spark.createDataFrame(list(enumerate(rows)), "id long, t string").select("id", texts.tokens(F.col("t")).alias("w")).collect()
+    got = [r["w"] for r in sorted(got, key=lambda r: r["id"])]
+    assert [(t, g, w) for t, g, w in zip(rows, got, _fts5_tokens(rows), strict=True) if g != w][:10] == []
+
+
+def test_query_terms_fold_as_texts_do(spark):
+    for q in ["Résumé re\u0301sume\u0301", "tiếng ỹ", "ΆΣ ς", "a-b c.d", "İx ſ"]:
+        row = spark.createDataFrame([(q,)], "q string").select(texts.terms_of(F.col("q")).alias("t")).first()
+        assert row["t"] == [texts.fold_term(t) for t in texts.query_terms(q)]
+
+
+@pytest.fixture(scope="module")
+def varied(spark):
+    """Documents of many lengths in which two words are frequent to different degrees."""
+    rng = random.Random(9)
+    rows = [(k, " ".join(rng.choices(["alpha", "beta", "gamma", *(f"w{i}" for i in range(20))], weights=[rng.random() * 6, rng.random() * 3, 1, *[1] * 20], k=rng.randint(3, 60))), f"s{k % 4}") for k in range(3000)]
+    return search.Corpus(spark.createDataFrame(rows, "id long, body string, source string").persist(), "id", ("body",), "body")
+
+
+@pytest.mark.parametrize("asked", ["alpha beta", "alpha", "gamma w3 alpha", "beta beta w1"])
+def test_top_from_the_index_equals_scoring_all(varied, tmp_path, monkeypatch, asked):
+    monkeypatch.setattr(search, "PROBE_ROWS", 60)
+    index = search.write_index(varied, str(tmp_path), 6)
+    for limit, offset, filters in ((10, 0, None), (50, 30, None), (5, 0, {"source": "s2"})):
+        want = [(r["id"], round(r["bm25"], 9)) for r in search.search(varied, asked, filters=filters, limit=limit, offset=offset, threshold=0).rows.select("id", "bm25").collect()]
+        got = [(r["id"], round(r["bm25"], 9)) for r in search.search_stored(varied, index, asked, filters=filters, limit=limit, offset=offset, threshold=0).select("id", "bm25").collect()]
+        assert got == want and want
+
+
+def test_tiers_that_cannot_reach_the_page_are_not_read(varied, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "PROBE_ROWS", 200)
+    index = search.write_index(varied, str(tmp_path))
+    weights, cuts = search.needed_tiers(index, "alpha beta", 10)
+    every = index.postings.filter(F.col("term").isin("alpha", "beta")).count()
+    assert index.postings.filter(search._tiers_from(cuts)).count() < 0.6 * every
+    plan = index.postings.filter(search._tiers_from(cuts))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [Or(" in plan or "GreaterThanOrEqual(tier" in plan
+
+
+def test_words_that_no_passage_has(varied, tmp_path):
+    index = search.write_index(varied, str(tmp_path))
+    for asked in ("nowhere", "alpha nowhere", "..."):
+        assert search.top_by_index(index, asked).isEmpty()
+
+
+def test_a_table_of_requests(spark, varied, tmp_path):
+    index = search.write_index(varied, str(tmp_path))
+    asked = [("a", "alpha beta", 5, None), ("b", "Alpha", None, "s1"), ("c", "w1 gamma beta", 50, "s3"), ("d", "nowhere alpha", 5, None), ("e", "...", 5, None), ("f", None, 5, None), ("g", "w2 w2 w3", 0, None), (None, "beta", 2, None)]
+    requests = spark.createDataFrame(asked + asked[:2], "request_id string, query string, limit int, only string")
+    got = {}
+    for r in search.answer_requests(index, requests, varied.passages, {"only": "source"}).orderBy("request_id", "rank").collect():
+        got.setdefault(r["request_id"], []).append((r["id"], round(r["bm25"], 9)))
+    want = {}
+    for name, q, limit, only in asked:
+        if name and q and limit != 0:
+            rows = search.search(varied, q, filters={"source": only}, limit=limit, threshold=0).rows.select("id", "bm25").collect()
+            want |= {name: [(r["id"], round(r["bm25"], 9)) for r in rows]} if rows else {}
+    assert got == want

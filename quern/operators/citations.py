@@ -82,17 +82,51 @@ def _found(kind: str, text: Column) -> Column:
     return F.transform(zipped, span)
 
 
-def _spans(df: DataFrame, text_col: str, max_spans: int | None) -> DataFrame:
-    """As ``extract_citations``, with the priority of each span's kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    spans = F.concat(*(_found(k, text) for k in ORDER))
+#: Marks the starts of matches, and stands for what was matched already; neither is in a pattern.
+_MARK, _DONE = "\u0001", "\u0002"
+
+
+def _behind(skip: Column) -> Column:
+    """A row's ``text`` with its ``tail``, the first ``skip`` characters replaced by ones that no pattern has, the last so that the word edge after it stays."""
+    whole = F.translate(F.concat("text", "tail"), _MARK, _DONE)
+    last = F.when(F.substring(whole, skip, F.lit(1)).rlike("[A-Za-z0-9_]"), "_").otherwise(_DONE)
+    return F.when(skip > 0, F.concat(F.repeat(F.lit(_DONE), skip - 1), last, F.substring(whole, skip + 1, F.char_length(whole)))).otherwise(whole)
+
+
+def owned_spans(rows: DataFrame) -> DataFrame:
+    """Rows with ``text``, ``tail`` and ``skips`` (a number for each kind) with ``spans``, the distinct citations that start in the text, and
+    ``ends``: how far the last of each kind, or what was skipped, reaches over the line end behind the text."""
+    kinds = range(len(ORDER))  # in steps, so that no search is repeated
+    found = rows.withColumns({f"_text{k}": _behind(F.get("skips", F.lit(k))) for k in kinds}).withColumn("_size", F.char_length("text"))
+    found = found.withColumns({f"_found{k}": _found(kind, F.col(f"_text{k}")) for k, kind in enumerate(ORDER)})
+    pieces = {f"_at{k}": F.when(F.size(f"_found{k}") > 0, F.transform(F.split(F.regexp_replace(f"_text{k}", F.lit("(?i)" + PATTERNS[kind]), F.lit(f"{_MARK}$0")), _MARK), F.char_length)) for k, kind in enumerate(ORDER)}
+    found = found.withColumns(pieces)
+    # where matches start: sums of the lengths before them
+    begin = lambda at: F.aggregate(F.slice(at, 1, F.size(at) - 1), F.array().cast("array<int>"), lambda sums, n: F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + n)))
+    found = found.withColumns({f"_at{k}": F.filter(begin(F.col(f"_at{k}")), lambda at: at < F.col("_size")) for k in kinds})
+    held = {f"_own{k}": F.when(F.size(f"_at{k}") > 0, F.slice(f"_found{k}", F.lit(1), F.size(f"_at{k}"))).otherwise(F.slice(f"_found{k}", 1, 0)) for k in kinds}
+    found = found.withColumns(held)
+    last = lambda k: F.coalesce(F.get(f"_at{k}", F.size(f"_at{k}") - 1) + F.char_length(F.get(f"_own{k}", F.size(f"_own{k}") - 1)["raw"]), F.lit(0))
+    ends = F.array(*(F.greatest(F.lit(0), F.greatest(last(k), F.get("skips", F.lit(k))) - F.col("_size") - 1) for k in kinds))
+    found = found.withColumns({"ends": ends, "_all": F.concat(*(F.col(f"_own{k}") for k in kinds))})
+    return _first_of_raw(found.select(*(c for c in rows.columns if c != "skips"), "ends", "_all"), F.col("_all")).drop("_spans", "_all")
+
+
+def _first_of_raw(df: DataFrame, spans: Column) -> DataFrame:
+    """``df`` with ``spans`` in order of priority and position, of equal raw texts the first."""
     spans = F.filter(spans, lambda s: (s["priority"] != ORDER.index("provision")) | s["statute_title"].isNotNull())
     # equal raw texts side by side, the first of each kept: n log n however often a text cites
     by_raw = F.array_sort(F.transform(spans, lambda s: F.struct(s["raw"].alias("raw"), s["priority"].alias("priority"), s["position"].alias("position"), s.alias("span"))))
     rows = df.withColumn("_spans", by_raw)
     first = F.filter("_spans", lambda s, i: (i == 0) | (F.get(F.col("_spans"), i - 1)["raw"] != s["raw"]))
-    found = F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["priority"].alias("priority"), s["position"].alias("position"), s["span"].alias("span")))), lambda s: s["span"])
-    out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(found if max_spans is None else F.slice(found, 1, max_spans)).alias("place", "span"))
+    return rows.withColumn("spans", F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["priority"].alias("priority"), s["position"].alias("position"), s["span"].alias("span")))), lambda s: s["span"]))
+
+
+def _spans(df: DataFrame, text_col: str, max_spans: int | None) -> DataFrame:
+    """As ``extract_citations``, with the priority of each span's kind."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = F.col("spans") if max_spans is None else F.slice("spans", 1, max_spans)
+    out = _first_of_raw(df, F.concat(*(_found(k, text) for k in ORDER))).select(*(c for c in df.columns if c != text_col), F.posexplode(found).alias("place", "span"))
     return out.select(*(c for c in df.columns if c != text_col), "place", *(f"span.{c}" for c in _SPAN), "span.priority")
 
 
@@ -195,14 +229,17 @@ def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, ma
     """Edges from texts ``sources`` (citing_kind, citing_id, text): entities that cite themselves give none, and only the first reference to an entity is kept.
 
     With a column ``passage`` an entity's text comes in several rows, in order of
-    it: spans are those of the whole text if no citation runs over a row's end,
-    but ``max_spans`` (None: no bound) holds for each row.
+    it: spans are those of the rows' text joined by line ends (see ``borders``).
     """
     if "passage" in sources.columns:
+        from .borders import border_spans
+
         entity, order = ("citing_kind", "citing_id"), ("priority", "passage", "place")
-        spans = _spans(sources, "text", max_spans)
+        spans = border_spans(sources)
         least = F.min(F.struct(*order, *(c for c in _SPAN if c != "raw"))).alias("span")  # aggregated in tasks first: a raw text may be in every passage
         spans = spans.groupBy(*entity, "raw").agg(least).select(*entity, "raw", "span.*")
+        if max_spans is not None:  # ranks up to a bound are cut in tasks before anything is shuffled
+            spans = spans.withColumn("_rank", F.row_number().over(Window.partitionBy(*entity).orderBy(*order))).filter(F.col("_rank") <= max_spans).drop("_rank")
         spans = spans.withColumn("span_id", F.concat_ws("|", *entity, "passage", "place"))
     else:
         order = ("place",)
@@ -216,12 +253,6 @@ def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, ma
     return Graph(edges, counters.crossJoin(F.broadcast(edges.agg(F.count("*").alias("edges_inserted")))))  # one row each
 
 
-def passage_texts(passages: DataFrame, parent_col: str, kind: str, order: str = "id") -> DataFrame:
-    """(citing_kind, citing_id, text): the passages of each parent in order, a line end between."""
-    lines = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("body")))), lambda x: x["body"])
-    return passages.groupBy(F.col(parent_col).alias("citing_id")).agg(F.array_join(lines, "\n").alias("text")).select(F.lit(kind).alias("citing_kind"), "citing_id", "text")
-
-
 def missing_edges(fresh: DataFrame, existing: DataFrame) -> DataFrame:
     """Edges that a second run would add: none, if nothing changed."""
     return fresh.join(existing, ["citing_kind", "citing_id", "cited_kind", "cited_id"], "left_anti")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quern.functions.tables import new_folder
-from quern.operators import citations, lookup, segment
+from quern.operators import borders, citations, lookup, segment
 from quern.sources import ingest, schemas
 from quern.sources.registry import domain_names
 
@@ -50,6 +50,19 @@ def citations_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.groupBy("c_custkey").agg(F.count("*").alias("n"), F.max(F.col("act_number").cast("long")).alias("last_number"))
 
 
+@query(
+    """WITH w AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem)
+SELECT l_orderkey, 'Republic Act No.' || chr(10) || least(number, 99) AS raw, CAST(least(number, 99) AS VARCHAR) AS act_number, min(place) AS passage
+FROM (SELECT l_orderkey, place, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY place) AS number FROM w) WHERE number IS NOT NULL GROUP BY ALL"""
+)
+def citations_over_borders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of an order as passages of one text: each ends in the middle of a citation whose number the next one begins with."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
+    rows = table(spark, sf_dir, "lineitem").select(F.lit("case").alias("citing_kind"), F.col("l_orderkey").alias("citing_id"), place.cast("long").alias("passage"), F.concat(F.least("l_partkey", F.lit(99)), F.lit(" applies. See Republic Act No.")).alias("text"))
+    found = borders.border_spans(rows)
+    return found.groupBy(F.col("citing_id").alias("l_orderkey"), "raw", "act_number").agg(F.min("passage").alias("passage"))
+
+
 _KEY = "regexp_replace(lower({0}), '[^a-z0-9]+', '', 'g')"
 
 
@@ -157,8 +170,6 @@ def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""SELECT c_mktsegment AS agency, c_name AS "referenceNo", place AS passage_no, o_orderpriority AS body FROM customer JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders WHERE o_custkey = {PROBE}) ON c_custkey = o_custkey WHERE place <= 20""")
 def lookup_issuance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first customer with orders as an issuance, whose passages are the orders."""
-    from pyspark.sql import Window
-
     none, asked = F.lit(None).cast("string"), _probe(spark, sf_dir)
     customers = table(spark, sf_dir, "customer")
     agency = customers.filter(F.col("c_name") == asked).first()["c_mktsegment"]

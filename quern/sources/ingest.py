@@ -11,7 +11,8 @@ from pyspark.sql.utils import AnalysisException
 
 from quern.functions.tables import written
 from quern.functions.text import content_hash
-from quern.operators.citations import build_graph, passage_texts
+from quern.operators.borders import passages_of
+from quern.operators.citations import build_graph
 from quern.operators.segment import normalise_statute
 
 from .html import MIN_TEXT, SELECTORS, extract_article
@@ -93,8 +94,8 @@ def issuance_tables(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def citation_sources(corpora: Corpora) -> DataFrame:
-    """Texts to look for citations in: cases, then statutes."""
-    return passage_texts(corpora["case_passages"], "case_id", "case").unionByName(passage_texts(corpora["provisions"], "statute_id", "statute"))
+    """Passages to look for citations in: of cases and of statutes."""
+    return passages_of(corpora["case_passages"], "case_id", "case").unionByName(passages_of(corpora["provisions"], "statute_id", "statute"))
 
 
 def build_corpora(spark: SparkSession, seed: DataFrame, today: str, *, citations: bool = True) -> Corpora:

@@ -158,12 +158,10 @@ def train(df: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str
     counts = written(counts.select("kind", "n", most.cast("int").alias("most")))
     shares = lambda texts: [(*row, [zlib.crc32(t)]) for t, row in zip(texts, _rows(texts), strict=True)]
     found = gather(rows.select("dice", "text"), written(choose(rows, counts)), shares, ("int", "float", "long"), sample_bytes)
-    if not found.num_rows:
+    if not found:
         return None
-    langs, prints = found["kind"].to_pylist(), [x.values[0].as_py() for x in found["x2"]]
-    bags = [(b.values.to_numpy().astype(np.int64), w.values.to_numpy()) for b, w in zip(found["x0"], found["x1"], strict=True)]
-    order = sorted(range(len(bags)), key=lambda i: (prints[i], langs[i]))
-    return fit_rows([bags[i] for i in order], [langs[i] for i in order], [prints[i] for i in order])
+    found.sort(key=lambda r: (int(r[3][0]), r[0]))
+    return fit_rows([(buckets, shares) for _, buckets, shares, _ in found], [r[0] for r in found], [int(r[3][0]) for r in found])
 
 
 def identify(df: DataFrame, model: LanguageModel | None, id_col: str = "doc_id", text_col: str = "text", *, min_score: float = MIN_SCORE, passing: list[str] | None = None) -> DataFrame:

@@ -201,11 +201,10 @@ def train(df: DataFrame, labels: DataFrame, learnable: Column, id_col: str = "do
     if chosen.filter("kind").isEmpty():
         return None
     found = gather(texts.select("dice", "text"), chosen, counted_words, ("long", "long"), sample_bytes)
-    toxic = found["kind"].to_numpy()
+    toxic = np.array([kind for kind, *_ in found], dtype=bool)
     if not toxic.any():
         return None
-    counts = [(a.values.to_numpy(), b.values.to_numpy()) for a, b in zip(found["x0"], found["x1"], strict=True)]
-    return fit_counts(counts, toxic, min(max(prior, 0.001), 0.9))
+    return fit_counts([(pairs, times) for _, pairs, times in found], toxic, min(max(prior, 0.001), 0.9))
 
 
 def score_texts(df: DataFrame, model: ToxicityModel | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

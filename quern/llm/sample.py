@@ -30,8 +30,8 @@ def choose(rows: DataFrame, counts: DataFrame) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("most")).select("kind", "dice")
 
 
-def gather(texts: DataFrame, chosen: DataFrame, features: Callable[[list[bytes]], list[tuple[np.ndarray, ...]]], kinds: tuple[str, ...], limit: int) -> pa.Table:
-    """(kind, dice, x0, x1, ...) of the rows of ``texts`` (dice, text) that ``chosen`` (kind, dice) names, each once, in order of dice.
+def gather(texts: DataFrame, chosen: DataFrame, features: Callable[[list[bytes]], list[tuple[np.ndarray, ...]]], kinds: tuple[str, ...], limit: int) -> list[tuple]:
+    """(kind, x0, x1, ...) of the rows of ``texts`` (dice, text) that ``chosen`` (kind, dice) names, each once, in order of dice.
     ``features`` gives arrays of the element types ``kinds`` for each text. Each kind gets an equal share of ``limit`` bytes; rows are left out from where its share ends."""
     names = [f"x{k}" for k in range(len(kinds))]
     kind_type = chosen.schema["kind"].dataType.simpleString()
@@ -57,4 +57,9 @@ def gather(texts: DataFrame, chosen: DataFrame, features: Callable[[list[bytes]]
     share = limit // max(1, chosen.select("kind").distinct().count())
     sofar = F.sum("size").over(Window.partitionBy("kind").orderBy("dice").rowsBetween(Window.unboundedPreceding, 0))
     fitting = sizes.withColumn("sofar", sofar).filter(F.col("sofar") <= share).select("kind", "dice")
-    return made.join(F.broadcast(fitting), ["kind", "dice"], "left_semi").dropDuplicates(["kind", "dice"]).select("kind", "dice", *names).toArrow().sort_by("dice")
+    found = made.join(F.broadcast(fitting), ["kind", "dice"], "left_semi").dropDuplicates(["kind", "dice"]).select("kind", "dice", *names).toArrow()
+    order = np.argsort(found["dice"].to_numpy()).tolist()
+    kind, columns = found["kind"].to_pylist(), [[x.values.to_numpy().copy() for x in found[n]] for n in names]
+    del found
+    pa.default_memory_pool().release_unused()  # the driver has little memory to spare
+    return [(kind[i], *(c[i] for c in columns)) for i in order]

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.tables import new_folder
 from quern.operators import borders, citations, lookup, segment
-from quern.sources import ingest, schemas
+from quern.sources import ingest, robots, schemas, snapshots
 from quern.sources.registry import domain_names
 
 from .graph_queries import PROBE, _customer_statutes, _probe
@@ -196,3 +196,49 @@ def integrity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("passage_no"))
     found = schemas.integrity({"cases": cases, "case_passages": passages})
     return found.filter("table = 'cases' OR rule = 'reference'").select("rule", "n")
+
+
+@query(
+    r"""WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents),
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(strip_accents(lower(line)), '[^\pL\pN]+'), lambda x: x <> '') AS w FROM lines),
+sums AS (SELECT doc_id, count(*) AS n_passages, sum(len(w))::BIGINT AS n_tokens, sum(len(list_distinct(w)))::BIGINT AS n_postings FROM words GROUP BY 1)
+SELECT 'd' || doc_id AS key, CASE WHEN source = 'src3' THEN 'new' WHEN lang = 'fr' THEN 'changed' ELSE 'same' END AS status, n_passages, n_tokens, n_postings FROM documents JOIN sums USING (doc_id)
+UNION ALL SELECT DISTINCT 'b' || item_id, 'gone', 0, 0, 0 FROM benchmark"""
+)
+def snapshot_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl with older French texts, benchmark items and no src3, brought to the state of all documents: what changed, and what the snapshot then holds of each."""
+    docs = table(spark, sf_dir, "documents").withColumn("key", F.concat(F.lit("d"), "doc_id"))
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("key"), "text")
+    older = docs.filter(~F.col("source").eqNullSafe("src3")).select("key", F.when(F.col("lang") == "fr", F.concat(F.lit("older "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"))
+    store = snapshots.Snapshots(spark, new_folder(spark), 16)
+    snapshots.ingest_crawl(store, older.union(items))
+    moved = snapshots.ingest_crawl(store, docs.select("key", "text"))
+    read = lambda name: store.read(name, snapshots.SCHEMAS[name])
+    held = read("passages").groupBy("key").agg(F.count("*").alias("n_passages"))
+    words = read("postings").groupBy("key").agg(F.sum("tf").alias("n_tokens"), F.count("*").alias("n_postings"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return moved.join(held, "key", "left").join(words, "key", "left").select("key", "status", none("n_passages"), none("n_tokens"), none("n_postings"))
+
+
+_ROBOTS_SQL = """
+WITH hosts AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages),
+rules AS (
+  SELECT host, '*' AS agent, '/' || left(host, 1) AS prefix FROM hosts UNION ALL SELECT host, 'quern', '/en' FROM hosts WHERE length(host) % 2 = 0
+  UNION ALL SELECT host, 'quern', '/de/1' FROM hosts WHERE length(host) % 2 = 0 UNION ALL SELECT host, 'other', '/' FROM hosts
+), best AS (
+  SELECT host, max(agent) FILTER (agent = 'quern') AS own FROM rules GROUP BY host
+), asked AS (
+  SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1), ''), '/') AS path FROM pages
+)
+SELECT page_id FROM asked a WHERE NOT EXISTS (SELECT 1 FROM rules r JOIN best b ON b.host = r.host AND r.agent = coalesce(b.own, '*') WHERE r.host = a.host AND starts_with(a.path, r.prefix))
+"""
+
+
+@query(_ROBOTS_SQL)
+def robots_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that the rules of their own hosts allow; each host's file has lines in groups of several agents."""
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(robots.url_host(F.col("url")).alias("host")).distinct()
+    own = F.when(F.length("host") % 2 == 0, F.lit("# ours\nUser-agent: Quern\nDisallow: /en\nDisallow:\nDISALLOW : /de/1\n")).otherwise("")
+    files = hosts.select("host", F.concat(F.lit("Disallow: /ignored\nUser-Agent: *\nDisallow: /"), F.substring("host", 1, 1), F.lit("\n\n"), own, F.lit("user-agent: other\nDisallow: /\n")).alias("content"))
+    return robots.allowed_by_host(pages, robots.rules_of_hosts(files, "Quern/1.0")).select("page_id")

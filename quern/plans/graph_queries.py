@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.functions.text import leading_int
+from quern.functions.tables import new_folder
 from quern.operators import citations, graph, lookup
 from quern.sources import registry, schemas
+from quern.streaming import edges
 
 from .registry import query, table
 
@@ -22,7 +24,14 @@ names AS (SELECT p_name FROM part GROUP BY p_name)"""
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    refs = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return citations.first_edges(_references(orders, lines), [F.col(c) for c in _ORDER])
+
+
+_ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
+
+
+def _references(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.lit("case").alias("citing_kind"),
         F.col("o_custkey").alias("citing_id"),
         F.lit("statute").alias("cited_kind"),
@@ -33,7 +42,6 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey",
         "l_extendedprice",
     )
-    return citations.first_edges(refs, [F.col(c) for c in ("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")])
 
 
 def _cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +67,17 @@ def edges_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _edges(spark, sf_dir)
 
 
+@query(_EDGES + " SELECT 'case' AS citing_kind, citing_id, 'statute' AS cited_kind, cited_id, cited_reference FROM edges")
+def edges_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from a stream in three batches, the latest references first."""
+    folder = new_folder(spark)
+    refs = _references(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
+    refs.repartition(3, "l_linenumber").write.parquet(f"{folder}/references")
+    stream = spark.readStream.schema(refs.schema).option("maxFilesPerTrigger", 1).option("latestFirst", True).parquet(f"{folder}/references")
+    edges.keep_first_edges(stream, _ORDER, f"{folder}/edges", f"{folder}/state").awaitTermination()
+    return edges.first_edges(spark, f"{folder}/edges")
+
+
 @query(
     _EDGES
     + f""" SELECT e.cited_reference AS "citedReference", e.cited_id AS "statuteId", p_name || ' ' || p_partkey AS "shortTitle", p_type AS "officialTitle", 'civil' AS domain, CAST(p_partkey AS VARCHAR) AS "actNumber"

@@ -17,13 +17,16 @@ The public vocabulary files hold ranks, not probabilities, so ``zipf_scores``
 gives each piece the logarithm of its Zipf share.
 
 Nulls count as empty, and an empty text has no tokens. Rows are counted one by
-one, whole, at any length; ties, repeated rows and other columns do no harm.
+one, whole, at any length: of a long word without spaces only as many places are kept as the longest
+piece has characters. Ties, repeated rows and other columns do no harm, and a table without rows gives one without rows.
 """
 
 from __future__ import annotations
 
 import math
 from functools import lru_cache
+from itertools import groupby
+from operator import itemgetter
 
 import ahocorasick
 import pyarrow as pa
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from .shared import map_batches, text_or_empty
 
 SPACE = "▁"
-UNKNOWN_PENALTY, CACHE_WORDS, CACHE_CHARS, WINDOW_CHARS = 10.0, 200_000, 64, 1 << 20
+UNKNOWN_PENALTY, CACHE_WORDS, CACHE_CHARS, WINDOW_CHARS, LONG_WORD = 10.0, 200_000, 64, 1 << 20, 1 << 12
 
 
 def zipf_scores(pieces: list[str]) -> list[tuple[str, float]]:
@@ -55,6 +58,7 @@ class TokenCounter:
         for piece, score in scored:
             self.machine.add_word(piece, (len(piece), score))
         self.machine.make_automaton()
+        self.longest = max(len(p) for p, _ in scored)
         self.unknown = min(s for _, s in scored) - UNKNOWN_PENALTY
         self.covered = frozenset(p for p, _ in scored if len(p) == 1)
         self.byte_fallback = byte_fallback
@@ -64,6 +68,8 @@ class TokenCounter:
     def count_word(self, word: str) -> int:
         """Tokens of one pre-token."""
         n = len(word)
+        if n > LONG_WORD:
+            return self._count_long(word)
         if self.covered.issuperset(word):  # no character can be unknown
             best, count = [0.0] + [-math.inf] * n, [0] * (n + 1)
             for last, (length, gain) in self.machine.iter(word):  # ends in order, at each the longest first
@@ -87,6 +93,28 @@ class TokenCounter:
             best[end], count[end], open_unknown[end] = score, tokens, unknown
         return count[n]
 
+    def _count_long(self, word: str) -> int:
+        """The same with only as many places as the longest piece has characters."""
+        size = self.longest + 1
+        best, count, open_unknown = [0.0] * size, [0] * size, [False] * size
+        matches = groupby(self.machine.iter(word), key=itemgetter(0))
+        last, found = next(matches, (-1, ()))
+        for end in range(1, len(word) + 1):
+            score, tokens, unknown, single = -math.inf, 0, False, False
+            if last + 1 == end:
+                for _, (length, gain) in found:  # longest first: the earliest start wins ties
+                    before = (end - length) % size
+                    if best[before] + gain > score:
+                        score, tokens = best[before] + gain, count[before] + 1
+                    single = single or length == 1
+                last, found = next(matches, (-1, ()))
+            before = (end - 1) % size
+            if not single and best[before] + self.unknown > score:
+                score, unknown = best[before] + self.unknown, True
+                tokens = count[before] + (len(word[end - 1].encode("utf-8", "replace")) if self.byte_fallback else not open_unknown[before])
+            best[end % size], count[end % size], open_unknown[end % size] = score, tokens, unknown
+        return count[len(word) % size]
+
     def count(self, text: str) -> int:
         """Tokens of a text, word by word in windows."""
         if not text:

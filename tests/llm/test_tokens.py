@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
@@ -107,3 +108,19 @@ def test_bpe_tables(spark, exact):
     decoded = {r["doc_id"]: bytes(r["bytes"]).decode() for r in bpe.decode_documents(encoded, path, P.PATTERN).collect()}
     assert decoded == {k: t or "" for k, t in enumerate(texts)}
     assert bpe.round_trip_digests(df.filter("false"), path, P.PATTERN).isEmpty()
+
+
+def test_long_words_are_counted_in_a_window(monkeypatch):
+    rng = random.Random(3)
+    for fallback in (True, False):
+        short = count.TokenCounter([("a", -1.0), ("ab", -1.5), ("abc", -2.5), ("b", -1.2), ("▁", -0.5), ("▁a", -1.1), ("cab", -3.0)], byte_fallback=fallback)
+        words = ["▁" + "".join(rng.choice("abcé漢") for _ in range(rng.randint(1, 60))) for _ in range(400)]
+        want = [short.count_word(w) for w in words]
+        monkeypatch.setattr(count, "LONG_WORD", 0)
+        assert [short.count_word(w) for w in words] == want
+        monkeypatch.undo()
+    word = "▁" + "abcé" * 250_000
+    tracemalloc.start()
+    short.count_word(word)
+    assert tracemalloc.get_traced_memory()[1] < 6 << 20  # the automaton reads a copy of four bytes a character
+    tracemalloc.stop()

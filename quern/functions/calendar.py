@@ -5,10 +5,12 @@ from __future__ import annotations
 from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quern.functions.tables import written
+
 # Years by kind of action, with the article they come from.
 PRESCRIPTION = [
     ("written_contract", 10, "Art. 1144(1)"),
@@ -85,6 +87,36 @@ def filing_deadline(notice_text: Column, days: Column, holidays: Column) -> Colu
     return F.when(good, _once(F.date_add(rolled_date(notice_text), days), lambda day: next_working_day(day, holidays)))
 
 
+def court_calendar(courts: DataFrame, holidays: DataFrame, first: Column, last: Column) -> DataFrame:
+    """(court, day, open, number): each day from ``first`` to ``last``, whether its court works, and how many days it has worked by then.
+
+    ``courts`` (court) and ``holidays`` (court, day) may repeat rows; a court without holidays is closed at weekends only. A court has a row a day,
+    so the running count is over a few ten thousand rows.
+    """
+    days = courts.select("court").distinct().select("court", F.explode(F.sequence(first, last)).alias("day"))
+    off = holidays.select("court", F.col("day").cast("date").alias("day")).filter("day IS NOT NULL").distinct().withColumn("off", F.lit(True))
+    same = days["court"].eqNullSafe(off["court"]) & (days["day"] == off["day"])
+    known = days.join(off, same, "left").select(days["court"], days["day"], ((F.weekday(days["day"]) < 5) & F.col("off").isNull()).alias("open"))
+    return known.withColumn("number", F.sum(F.col("open").cast("int")).over(Window.partitionBy("court").orderBy("day")))
+
+
+def court_deadlines(rows: DataFrame, holidays: DataFrame) -> DataFrame:
+    """``rows`` (with ``court`` and ``due``, a date) with ``last_day``: the day itself if its court works then, else the first later day on which it does.
+
+    Two equi-joins with the courts' calendar, by day and by number of the working day; no days are listed for each row. A null due date has no last day.
+    """
+    reach = rows.agg(F.min("due").alias("low"), F.max("due").alias("high")).first()
+    if reach["low"] is None:
+        return rows.withColumn("last_day", F.lit(None).cast("date"))
+    most = holidays.groupBy("court").agg(F.countDistinct("day").alias("n")).agg(F.max("n")).first()[0] or 0
+    last = F.date_add(F.lit(reach["high"]), 7 * (most + 2))  # in so many days each court works at least once
+    known = written(court_calendar(rows.select("court"), holidays.select("court", "day"), F.lit(reach["low"]), last))
+    key = lambda c: F.struct(c.isNull().alias("none"), F.coalesce(c.cast("string"), F.lit("")).alias("court"))  # noqa: E731  null is a court too
+    by_day = known.select(key(F.col("court")).alias("_court"), F.col("day").alias("due"), (F.col("number") + F.when(F.col("open"), 0).otherwise(1)).alias("_number"))
+    by_number = known.filter("open").select(key(F.col("court")).alias("_court"), F.col("number").alias("_number"), F.col("day").alias("last_day"))
+    return rows.withColumn("_court", key(F.col("court"))).join(by_day, ["_court", "due"], "left").join(by_number, ["_court", "_number"], "left").drop("_court", "_number").select(*rows.columns, "last_day")
+
+
 @F.pandas_udf(T.StringType())
 def to_fixed_2(values: pd.Series) -> pd.Series:
     """Two decimals of the exact binary value, half up: 1.005 is a little less than it looks. Nothing built in rounds that value, hence Python's decimals, in Arrow batches."""

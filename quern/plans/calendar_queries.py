@@ -28,6 +28,22 @@ def deadline_rule22(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", "filing_type", calendar.filing_deadline(F.date_format("o_orderdate", "yyyy-MM-dd"), F.col("base_days"), holidays).alias("last_day"))
 
 
+@query(
+    f"""WITH due AS (SELECT o_orderkey, o_orderpriority, k.name AS filing_type, CAST(o_orderdate AS DATE) + k.days AS d FROM orders JOIN (VALUES {_KINDS}) k(place, name, days) ON o_orderkey % 6 = k.place),
+off AS (SELECT DISTINCT o_orderpriority, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderstatus = 'P'),
+days AS (SELECT o_orderkey, filing_type, o_orderpriority, d + CAST(unnest(range(0, 200)) AS INTEGER) AS x FROM due)
+SELECT o_orderkey, filing_type, CAST(min(x) AS DATE) AS last_day FROM days WHERE isodow(x) < 6 AND NOT EXISTS (SELECT 1 FROM off WHERE off.o_orderpriority = days.o_orderpriority AND off.d = x) GROUP BY 1, 2"""
+)
+def deadline_by_court(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deadlines of courts (priorities of orders) that each have their own holidays: the days of their orders in part delivered."""
+    kinds = F.broadcast(calendar.filing_table(spark).withColumn("place", F.element_at(F.create_map(*(F.lit(x) for k, f in enumerate(calendar.FILINGS) for x in (f[0], k))), F.col("filing_type"))))
+    orders = table(spark, sf_dir, "orders").withColumn("court", F.col("o_orderpriority"))
+    holidays = orders.filter("o_orderstatus = 'P'").select("court", F.col("o_orderdate").cast("date").alias("day"))
+    rows = orders.withColumn("place", (F.col("o_orderkey") % 6).cast("int")).join(kinds, "place")
+    rows = rows.select("o_orderkey", "filing_type", "court", F.date_add(F.col("o_orderdate").cast("date"), F.col("base_days")).alias("due"))
+    return calendar.court_deadlines(rows, holidays).select("o_orderkey", "filing_type", "last_day")
+
+
 @query(
     f"""SELECT o_orderkey, name AS action_type, CAST(make_date(year(o_orderdate) + years, 1, 1) + to_months(CAST(month(o_orderdate) - 1 AS INTEGER)) AS DATE) + CAST(day(o_orderdate) - 1 AS INTEGER) AS deadline
  FROM orders JOIN (VALUES {_ACTIONS}) k(place, name, years) ON o_orderkey % 10 = k.place"""

@@ -37,3 +37,24 @@ def test_deadline(spark):
 def test_thirteenth_month(spark, total, wanted):
     # 60.06 / 12 is a little under 5.005; 1.5 / 12 is exactly 0.125
     assert calendar.compute_13th_month(spark, total).first()["amount"] == wanted
+
+
+def test_deadlines_of_courts_equal_a_walk_over_days(spark):
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(22), dt.date(2024, 2, 20)
+    holidays = [(c, start + dt.timedelta(rng.randrange(90))) for c in ["a", "b", None] for _ in range(40)] + [("b", start + dt.timedelta(k)) for k in range(30)] + [("a", None)]
+    rows = [(k, rng.choice(["a", "b", "c", None]), None if k % 17 == 0 else start + dt.timedelta(rng.randrange(90))) for k in range(200)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "id int, court string, due date, day string")
+    off = set(holidays)
+
+    def walk(court, day):
+        while day and (day.weekday() > 4 or (court, day) in off):
+            day += dt.timedelta(1)
+        return day
+
+    got = {r["id"]: r["last_day"] for r in calendar.court_deadlines(df, spark.createDataFrame(holidays + holidays, "court string, day date")).collect()}
+    assert got == {k: walk(c, d) for k, c, d in rows}
+    none = spark.createDataFrame([], "court string, day date")
+    assert calendar.court_deadlines(df.filter("id % 17 = 0"), none).filter("last_day IS NOT NULL").isEmpty()

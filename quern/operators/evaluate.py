@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.functions.text import SPACE, trim_space
+from quern.functions.text import EDGE, SPACE, trim_space
 
 LONG_ANSWER = 8
 
@@ -21,9 +21,8 @@ def answer_matches(text: Column, answer: Column) -> Column:
     """Whether a text has an answer: long ones anywhere, short ones with a digit not inside a number, other short ones as whole words; never an empty one."""
     hay, needle = normalise_answer(text), normalise_answer(answer)
     quoted = F.regexp_replace(needle, r"([.*+?^${}()|\[\]\\])", r"\\$1")
-    edge = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
     number = F.regexp_like(hay, F.concat(F.lit("(?<![0-9])"), quoted, F.lit("(?![0-9])")))
-    word = F.regexp_like(hay, F.concat(F.lit(edge), quoted, F.lit(edge)))
+    word = F.regexp_like(hay, F.concat(F.lit(EDGE), quoted, F.lit(EDGE)))
     return F.when(needle == "", F.lit(False)).when(F.length(needle) >= LONG_ANSWER, F.contains(hay, needle)).when(needle.rlike("[0-9]"), number).otherwise(word)
 
 

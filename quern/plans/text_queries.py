@@ -348,6 +348,20 @@ def catalogue_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("place").alias("page_id"), F.col("source_url").alias("url"))
 
 
+@query(
+    """SELECT doc_id AS place, 'https://x.org/' || doc_id AS url, doc_id % 300 AS n FROM documents
+ WHERE doc_id % 300 >= 120 AND doc_id % 2 = 0 AND (doc_id % 7 = 0 OR 1990 + doc_id % 30 >= 2005) ORDER BY doc_id LIMIT 150"""
+)
+def catalogue_targets_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue entries made of documents: half under the prefix, some undated or too old, and with pages that are too thin."""
+    key = F.col("doc_id")
+    url = F.concat(F.when(key % 2 == 0, "https://x.org/").otherwise("https://y.org/"), key)
+    docs = table(spark, sf_dir, "documents").select(key.alias("place"), url.alias("source_url"), F.when(key % 7 > 0, F.concat((1990 + key % 30).cast("string"), F.lit("-06-01"))).alias("enacted_date"))
+    body = F.concat(F.lit("<html><body><nav>menu</nav><article><p>"), F.expr("repeat('x', CAST(place % 300 AS INT))"), F.lit("</p></article></body></html>"))
+    found = ingest.targets(docs, docs.select(F.col("source_url").alias("url"), body.alias("html")), "https://x.org/", since="2005-01-01", limit=150)
+    return found.select("place", F.col("source_url").alias("url"), F.length("text").cast("long").alias("n"))
+
+
 _ANSWER = "CASE WHEN doc_id % 3 = 0 THEN split_part(text, ' ', 2) WHEN doc_id % 3 = 1 THEN '  ' || translate(split_part(text, ' ', 3), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') || ' ' || split_part(text, ' ', 4) ELSE CAST(n_chars AS VARCHAR) END"
 _NORMAL = "trim(regexp_replace(lower({0}), '\\s+', ' ', 'g'))"
 

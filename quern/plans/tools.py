@@ -23,7 +23,7 @@ Tool = Callable[..., DataFrame]
 
 
 def _packed(rows: DataFrame, empty: str | None = NOT_COVERED) -> DataFrame:
-    """One row: the rows as a JSON list, at most a page of them; ``empty`` is the status without any (None: that is no failure)."""
+    """One row: the rows as a JSON list, which are a page or all versions of one provision; ``empty`` is the status without any (None: that is no failure)."""
     listed = rows.agg(F.count("*").alias("count"), F.to_json(F.collect_list(F.struct("*")), {"ignoreNullFields": "false"}).alias("payload"))
     status = F.lit("ok") if empty is None else F.when(F.col("count") == 0, empty).otherwise("ok")
     return listed.select(status.alias("status"), "count", "payload")

@@ -2,6 +2,11 @@
 
 language ID -> exact de-duplication -> n-gram Jaccard join -> benchmark decontamination -> byte-level BPE.
 All but the last stage return the columns of documents; the last returns token counts and ids' digests.
+
+Null and empty texts, and those without a letter, have no language and go in the first stage, as do all documents where
+none has a label; in later stages they would count as equal, be near to nothing, contain no benchmark words and have no tokens. Rows with a
+null or repeated doc_id are documents like others; of equal texts the one with the largest doc_id stays. Texts may be of any length. Other columns
+go through as they are, whatever their names. A table without rows gives one without rows.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ gives the same verdicts without a broadcast.
 
 A null url, or one without ``://``, has an empty host and path and fits no rule;
 empty hosts and hosts with empty labels are plain strings. Urls may be of any
-length; repeated rows are judged one by one; other columns are not read.
+length; repeated rows are judged one by one; other columns are not read. A table
+without rows gives one without rows, and without rules every url has the default verdict.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ more kinds come from schemes and cues and never change the base ones:
 
 Nulls count as empty; spans are in code points, end exclusive. Every row is
 searched alone and whole, at any length; ties, repeated rows and other columns
-do no harm.
+do no harm. A table without rows gives one without rows.
 """
 
 from __future__ import annotations

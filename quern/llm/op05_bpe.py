@@ -13,7 +13,8 @@ split window by window, and an edit re-splits only from the first piece it could
 affect until the borders fall into step again.
 
 Nulls count as empty; an empty text has no tokens. Every row is encoded alone, so
-ties, repeated rows and clashing columns do no harm. Texts may be of any length.
+ties, repeated rows and clashing columns do no harm. Texts may be of any length. A table
+without rows gives one without rows.
 """
 
 from __future__ import annotations

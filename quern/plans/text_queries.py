@@ -357,7 +357,7 @@ def catalogue_targets_dated(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("doc_id")
     url = F.concat(F.when(key % 2 == 0, "https://x.org/").otherwise("https://y.org/"), key)
     docs = table(spark, sf_dir, "documents").select(key.alias("place"), url.alias("source_url"), F.when(key % 7 > 0, F.concat((1990 + key % 30).cast("string"), F.lit("-06-01"))).alias("enacted_date"))
-    body = F.concat(F.lit("<html><body><nav>menu</nav><article><p>"), F.expr("repeat('x', CAST(place % 300 AS INT))"), F.lit("</p></article></body></html>"))
+    body = F.concat(F.lit("<html><body><article><p>"), F.expr("repeat('x', CAST(place % 300 AS INT))"), F.lit("</p></article></body></html>"))
     found = ingest.targets(docs, docs.select(F.col("source_url").alias("url"), body.alias("html")), "https://x.org/", since="2005-01-01", limit=150)
     return found.select("place", F.col("source_url").alias("url"), F.length("text").cast("long").alias("n"))
 

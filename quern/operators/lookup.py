@@ -39,21 +39,21 @@ def get_provision(provisions: DataFrame, statutes: DataFrame, statute: str, prov
     titles = statutes.filter(same(F.col("short_title"), statute) | same(F.col("official_title"), statute))
     titles = titles.select(F.col("id").alias("statute_id"), "short_title", "official_title", "kind", "domain", F.col("status").alias("statute_status"))
     rows = provisions.filter(same(strip_provision_prefix(F.col("provision_no")), strip_provision_prefix(F.lit(provision)))).join(titles, "statute_id")
-    rows = first_row(rows, F.col("valid_from").desc_nulls_last(), "id")
-    return rows.select(
-        citation("short_title", "provision_no", "heading").alias("citation"),
-        F.col("short_title").alias("statute"),
-        F.col("official_title").alias("officialTitle"),
-        "kind",
-        "domain",
-        F.col("provision_no").alias("provisionNo"),
-        "heading",
-        "body",
-        F.col("status").alias("provisionStatus"),
-        F.col("statute_status").alias("statuteStatus"),
-        F.col("valid_from").alias("validFrom"),
-        F.col("valid_until").alias("validUntil"),
-    )
+    return first_row(rows, F.col("valid_from").desc_nulls_last(), "id").select(*_provision())
+
+
+def _provision() -> list[Column]:
+    names = {"short_title": "statute", "official_title": "officialTitle", "kind": "kind", "domain": "domain", "provision_no": "provisionNo", "heading": "heading", "body": "body", "status": "provisionStatus", "statute_status": "statuteStatus", "valid_from": "validFrom", "valid_until": "validUntil"}
+    return [citation("short_title", "provision_no", "heading").alias("citation"), *(F.col(c).alias(n) for c, n in names.items())]
+
+
+def get_provisions(requests: DataFrame, provisions: DataFrame, statutes: DataFrame) -> DataFrame:
+    """``get_provision`` for a table of requests (request, statute, provision): a row for each that is found, with the request."""
+    titles = statutes.select(F.explode(F.array_distinct(F.array(ascii_lower(F.col("short_title")), ascii_lower(F.col("official_title"))))).alias("_title"), F.col("id").alias("statute_id"), "short_title", "official_title", "kind", "domain", F.col("status").alias("statute_status"))
+    asked = requests.select("request", ascii_lower(F.col("statute")).alias("_title"), ascii_lower(strip_provision_prefix(F.col("provision"))).alias("_number"))
+    rows = asked.join(titles, "_title").join(provisions.withColumn("_number", ascii_lower(strip_provision_prefix(F.col("provision_no")))), ["statute_id", "_number"])
+    newest = Window.partitionBy("request").orderBy(F.col("valid_from").desc_nulls_last(), "id")
+    return rows.withColumn("_place", F.row_number().over(newest)).filter("_place = 1").select("request", *_provision())
 
 
 def citation(title: str, number: str, heading: str) -> Column:
@@ -71,7 +71,24 @@ def _with_passages(parent: DataFrame, passages: DataFrame, key: str, limit: int)
 def get_case(cases: DataFrame, passages: DataFrame, case_citation: str, limit: int = PASSAGES) -> DataFrame:
     """A case with its first passages; ``passageCount`` counts those returned."""
     found = _with_passages(first_row(cases.filter(same(F.col("citation"), case_citation)), "id"), passages, "case_id", limit)
-    return found.select("citation", "title", "court", F.col("promulgation_date").alias("promulgationDate"), "ponente", "division", F.col("status").alias("caseStatus"), F.col("source_url").alias("sourceUrl"), "passageCount", "passages")
+    return found.select(*_case())
+
+
+def _case() -> list[Column]:
+    return ["citation", "title", "court", F.col("promulgation_date").alias("promulgationDate"), "ponente", "division", F.col("status").alias("caseStatus"), F.col("source_url").alias("sourceUrl"), "passageCount", "passages"]
+
+
+def get_cases(requests: DataFrame, cases: DataFrame, passages: DataFrame, limit: int = PASSAGES) -> DataFrame:
+    """``get_case`` for a table of requests (request, citation): a row for each that is found, with the request."""
+    known = cases.withColumn("_key", ascii_lower(F.col("citation")))
+    first = Window.partitionBy("_key").orderBy("id")
+    known = known.withColumn("_place", F.row_number().over(first)).filter("_place = 1")
+    rows = requests.select("request", ascii_lower(F.col("citation")).alias("_key")).join(known, "_key")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("passage_no", "id"))
+    wanted = passages.join(rows.select(F.col("id").alias("case_id")).distinct(), "case_id", "left_semi")
+    own = wanted.withColumn("_place", place).filter(F.col("_place") <= limit).groupBy(F.col("case_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("passage_no", "heading", "body"))).alias("passages"))  # at most ``limit``
+    none = F.array().cast("array<struct<passage_no:int,heading:string,body:string>>")
+    return rows.join(own, "id", "left").withColumn("passages", F.coalesce("passages", none)).withColumn("passageCount", F.size("passages")).select("request", *_case())
 
 
 def get_issuance(issuances: DataFrame, passages: DataFrame, agency: str, reference_no: str, limit: int = PASSAGES) -> DataFrame:

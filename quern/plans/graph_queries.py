@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quern.functions.text import leading_int
 from quern.functions.tables import new_folder
 from quern.operators import citations, graph, lookup
-from quern.sources import registry, schemas
+from quern.sources import ingest, registry, schemas
 from quern.streaming import edges
 
 from .registry import query, table
@@ -280,3 +280,22 @@ def domain_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     slugs = sorted(d[0] for d in registry.DOMAINS)
     dealt = table(spark, sf_dir, "nation").select(F.element_at(F.array(*(F.lit(s) for s in slugs)), (F.col("n_nationkey") % 15 + 1).cast("int")).alias("slug"))
     return domains.join(dealt.groupBy("slug").agg(F.count("*").alias("n")), "slug", "left").select("slug", "name", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(
+    """SELECT 'q' || o_orderkey AS question, CASE WHEN o_orderkey % 4 = 0 THEN 'none of these' ELSE o_orderpriority END AS answer,
+ CASE WHEN o_orderkey % 4 = 0 THEN 'fail' WHEN o_orderkey % 4 = 1 THEN 'cover' ELSE 'pass' END AS outcome FROM orders JOIN customer ON c_custkey = o_custkey"""
+)
+def golden_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question for each order, all answered at once: customers as statutes, whose provisions are their orders; a quarter asks for what isn't there, a quarter for another answer."""
+    from . import tools
+
+    orders, customers, none = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer"), F.lit(None).cast("string")
+    key = F.col("o_orderkey")
+    provisions = orders.select(key.alias("id"), F.col("o_custkey").alias("statute_id"), key.cast("string").alias("provision_no"), none.alias("heading"), F.col("o_orderpriority").alias("body"), F.lit("in_force").alias("status"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("valid_from"), none.alias("valid_until"))
+    cases = spark.createDataFrame([], schemas.TABLES["cases"])
+    corpora = ingest.Corpora({"statutes": _customer_statutes(spark, sf_dir), "provisions": provisions, "cases": cases, "case_passages": spark.createDataFrame([], schemas.TABLES["case_passages"])})
+    asked = F.when(key % 4 == 1, F.concat(F.lit("no "), key)).otherwise(F.concat(F.lit("Sec. "), key))
+    step = F.struct(F.lit("get_provision").alias("tool"), F.create_map(F.lit("statute"), F.upper("c_name"), F.lit("provision"), asked).alias("args"))
+    golden = orders.join(customers, F.col("c_custkey") == F.col("o_custkey")).select(F.concat(F.lit("q"), key).alias("question"), F.when(key % 4 == 0, "none of these").otherwise(F.col("o_orderpriority")).alias("answer"), F.array(step).alias("plan"))
+    return tools.run_golden_set(corpora, golden)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions import calendar
+from quern.functions.tables import written
 from quern.operators import evaluate, graph, lookup, search
 from quern.sources.ingest import Corpora, freshness
 from quern.sources.registry import registry
@@ -113,6 +114,32 @@ def _value(text: str | None):
 NUMBERS = frozenset(("limit", "offset", "extensionDays", "totalBasicSalary", "holidays"))
 
 
+#: Tools whose calls are answered all at once, from a table of them: (request, args) to (request, columns of the payload).
+BATCHED: dict[str, Callable[[Corpora, DataFrame], DataFrame]] = {
+    "get_provision": lambda c, steps: lookup.get_provisions(steps.select("request", F.col("args")["statute"].alias("statute"), F.col("args")["provision"].alias("provision")), c["provisions"], c["statutes"]),
+    "get_case": lambda c, steps: lookup.bounded(lookup.get_cases(steps.select("request", F.coalesce(F.col("args")["caseCitation"], F.col("args")["citation"]).alias("citation")), c["cases"], c["case_passages"]), "passages"),
+}
+
+
+def run_golden_set(corpora: Corpora, golden: DataFrame) -> DataFrame:
+    """(question, answer, outcome) of any number of golden pairs whose plans call only tools that are BATCHED, without optional arguments: a join for each tool, not a query for each pair. Other tools are an error."""
+    pairs = written(golden.select("question", "answer", "plan", F.monotonically_increasing_id().alias("pair")))
+    steps = pairs.select("pair", F.posexplode("plan").alias("place", "step")).select(F.struct("pair", "place").alias("request"), "step.tool", "step.args")
+    if unknown := steps.filter(~F.col("tool").isin(*BATCHED)).select("tool").first():
+        raise ValueError(f"{unknown['tool']!r} is called one by one: use run_golden")
+    said = None
+    for tool, answered in BATCHED.items():
+        asked = steps.filter(F.col("tool") == tool)
+        found = answered(corpora, asked)
+        payload = F.to_json(F.array(F.struct(*(c for c in found.columns if c != "request"))), {"ignoreNullFields": "false"})
+        rows = asked.select("request").join(found.select("request", payload.alias("payload")), "request", "left")
+        rows = rows.select("request.pair", "request.place", F.when(F.col("payload").isNull(), NOT_COVERED).otherwise("ok").alias("status"), F.coalesce("payload", F.lit("[]")).alias("payload"))
+        said = rows if said is None else said.union(rows)
+    texts = said.groupBy("pair").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "payload"))), lambda x: x["payload"]), "\n").alias("text"), F.bool_or(F.col("status") == NOT_COVERED).alias("uncovered"))  # the steps of a plan
+    whole = pairs.join(texts, "pair", "left").withColumns({"text": F.coalesce("text", F.lit("")), "uncovered": F.coalesce("uncovered", F.lit(True))})
+    return whole.select("question", "answer", evaluate.outcome(evaluate.answer_matches(F.col("text"), F.col("answer")), ~F.col("uncovered") & (F.trim("text") != "")).alias("outcome"))
+
+
 def run_golden(corpora: Corpora, golden: DataFrame) -> DataFrame:
     """(question, answer, outcome) of golden pairs. A set has a few dozen pairs; each plan's steps become one query."""
     spark, parts = golden.sparkSession, []

@@ -74,3 +74,15 @@ def test_golden(spark, corpora, tmp_path):
     out = tools.run_golden(corpora, evaluate.read_golden(spark, str(tmp_path / "g.xml")))
     assert sorted((r["answer"], r["outcome"]) for r in out.collect()) == [("blue", "fail"), ("ten years", "pass"), ("x", "cover")]
     assert evaluate.summarise(out).first()["exit_code"] == 1
+
+
+def test_a_golden_set_at_once_equals_one_by_one(spark, corpora):
+    ask = lambda tool, **a: (tool, a)
+    plans = [[ask("get_provision", statute="civil code", provision="Art. 1144")], [ask("get_provision", statute="None", provision="1")], [ask("get_case", citation="g.r. no. 1"), ask("get_provision", statute="The Civil Code", provision="1156")], [ask("get_case", caseCitation="G.R. No. 9"), ask("get_provision", statute="Privacy Act", provision="1")], []]
+    rows = [(f"q{k}", a, p) for k, p in enumerate(plans) for a in ("ten years", "juridical", "1156", "amends", "")]
+    golden = spark.createDataFrame(rows, "question string, answer string, plan array<struct<tool: string, args: map<string,string>>>")
+    got = sorted(map(tuple, tools.run_golden_set(corpora, golden).collect()))
+    assert got == sorted(map(tuple, tools.run_golden(corpora, golden).collect()))
+    assert {g[2] for g in got} == {"pass", "fail", "cover"}
+    with pytest.raises(ValueError):
+        tools.run_golden_set(corpora, spark.createDataFrame([("q", "a", [("list_domains", {})])], golden.schema))

@@ -98,7 +98,7 @@ def with_tails(rows: DataFrame, chars: int = TAIL) -> DataFrame:
 
 def _searched(rows: DataFrame) -> DataFrame:
     """``rows`` with ``spans`` that each passage owns, and ``ends``: for each kind, how far into the next passage its last citation, or one from before it, reaches."""
-    return owned_spans(rows).drop("text", "tail")
+    return owned_spans(rows)
 
 
 def border_spans(rows: DataFrame, chars: int = TAIL) -> DataFrame:

@@ -100,16 +100,21 @@ def owned_spans(rows: DataFrame) -> DataFrame:
     found = rows.withColumns({f"_text{k}": _behind(F.get("skips", F.lit(k))) for k in kinds}).withColumn("_size", F.char_length("text"))
     found = found.withColumns({f"_found{k}": _found(kind, F.col(f"_text{k}")) for k, kind in enumerate(ORDER)})
     pieces = {f"_at{k}": F.when(F.size(f"_found{k}") > 0, F.transform(F.split(F.regexp_replace(f"_text{k}", F.lit("(?i)" + PATTERNS[kind]), F.lit(f"{_MARK}$0")), _MARK), F.char_length)) for k, kind in enumerate(ORDER)}
-    found = found.withColumns(pieces)
-    # where matches start: sums of the lengths before them
-    begin = lambda at: F.aggregate(F.slice(at, 1, F.size(at) - 1), F.array().cast("array<int>"), lambda sums, n: F.concat(sums, F.array(F.coalesce(F.get(sums, F.size(sums) - 1), F.lit(0)) + n)))
-    found = found.withColumns({f"_at{k}": F.filter(begin(F.col(f"_at{k}")), lambda at: at < F.col("_size")) for k in kinds})
-    held = {f"_own{k}": F.when(F.size(f"_at{k}") > 0, F.slice(f"_found{k}", F.lit(1), F.size(f"_at{k}"))).otherwise(F.slice(f"_found{k}", 1, 0)) for k in kinds}
-    found = found.withColumns(held)
-    last = lambda k: F.coalesce(F.get(f"_at{k}", F.size(f"_at{k}") - 1) + F.char_length(F.get(f"_own{k}", F.size(f"_own{k}") - 1)["raw"]), F.lit(0))
+    found = written(found.withColumns(pieces).drop(*(f"_text{k}" for k in kinds)))  # else what follows would search again
+    # where matches start: sums of the lengths before them; of those inside the text, how many and the last
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("last"))
+
+    def add(a: Column, n: Column) -> Column:
+        inside = a["at"] + n < F.col("_size")
+        return F.struct((a["at"] + n).alias("at"), (a["n"] + inside.cast("int")).alias("n"), F.when(inside, a["at"] + n).otherwise(a["last"]).alias("last"))
+
+    found = found.withColumns({f"_at{k}": F.aggregate(F.slice(f"_at{k}", F.lit(1), F.size(f"_at{k}") - 1), start, add) for k in kinds})
+    found = found.withColumns({f"_own{k}": F.slice(f"_found{k}", F.lit(1), F.coalesce(F.col(f"_at{k}.n"), F.lit(0))) for k in kinds})
+    last = lambda k: F.coalesce(F.col(f"_at{k}.last") + F.char_length(F.get(f"_own{k}", F.size(f"_own{k}") - 1)["raw"]), F.lit(0))
     ends = F.array(*(F.greatest(F.lit(0), F.greatest(last(k), F.get("skips", F.lit(k))) - F.col("_size") - 1) for k in kinds))
     found = found.withColumns({"ends": ends, "_all": F.concat(*(F.col(f"_own{k}") for k in kinds))})
-    return _first_of_raw(found.select(*(c for c in rows.columns if c != "skips"), "ends", "_all"), F.col("_all")).drop("_spans", "_all")
+    own = written(found.select(*(c for c in rows.columns if c not in ("skips", "text", "tail")), "ends", "_all"))
+    return _first_of_raw(own, F.col("_all")).drop("_spans", "_all")
 
 
 def _first_of_raw(df: DataFrame, spans: Column) -> DataFrame:

@@ -230,17 +230,18 @@ def first_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
     return edges.withColumn("_place", F.row_number().over(pair)).filter("_place = 1").select(*EDGE_COLUMNS)
 
 
-def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, max_spans: int | None = MAX_SPANS) -> Graph:
+def build_graph(sources: DataFrame, statutes: DataFrame, cases: DataFrame, *, max_spans: int | None = MAX_SPANS, over_borders: bool = True) -> Graph:
     """Edges from texts ``sources`` (citing_kind, citing_id, text): entities that cite themselves give none, and only the first reference to an entity is kept.
 
     With a column ``passage`` an entity's text comes in several rows, in order of
     it: spans are those of the rows' text joined by line ends (see ``borders``).
+    Where no citation runs over a row's end, ``over_borders`` may be false: rows are then searched alone.
     """
     if "passage" in sources.columns:
         from .borders import border_spans
 
         entity, order = ("citing_kind", "citing_id"), ("priority", "passage", "place")
-        spans = border_spans(sources)
+        spans = border_spans(sources) if over_borders else _spans(sources, "text", None)
         least = F.min(F.struct(*order, *(c for c in _SPAN if c != "raw"))).alias("span")  # aggregated in tasks first: a raw text may be in every passage
         spans = spans.groupBy(*entity, "raw").agg(least).select(*entity, "raw", "span.*")
         if max_spans is not None:  # ranks up to a bound are cut in tasks before anything is shuffled

@@ -265,12 +265,12 @@ def citation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'case' AS citing_kind, o_custkey AS citing_id, 'statute' AS cited_kind, l_partkey AS cited_id, 'Republic Act No. ' || l_partkey AS cited_reference FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def resolve_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=None).edges
+    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=None, over_borders=False).edges
 
 
 @query("SELECT n + c AS spans, n AS resolved, c AS unresolved, n AS edges_inserted FROM (SELECT count(*) AS n, count(DISTINCT o_custkey) AS c FROM (SELECT DISTINCT o_custkey, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey))")
 def resolve_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=None).counters
+    return citations.build_graph(_citing_texts(spark, sf_dir), _statutes(spark, sf_dir), _numbered_cases(spark, sf_dir), max_spans=None, over_borders=False).counters
 
 
 @query(f"SELECT s.slug, s.name, count(n_nationkey) AS n FROM (VALUES {_NAMES}) s(slug, name) LEFT JOIN nation ON n_nationkey % 15 = (SELECT count(*) FROM (VALUES {_NAMES}) t(slug, name) WHERE t.slug < s.slug) GROUP BY 1, 2".replace("Human Resources & Workplace", "HR & Workplace"))

@@ -113,25 +113,29 @@ def owned_spans(rows: DataFrame) -> DataFrame:
     last = lambda k: F.coalesce(F.col(f"_at{k}.last") + F.char_length(F.get(f"_own{k}", F.size(f"_own{k}") - 1)["raw"]), F.lit(0))
     ends = F.array(*(F.greatest(F.lit(0), F.greatest(last(k), F.get("skips", F.lit(k))) - F.col("_size") - 1) for k in kinds))
     found = found.withColumns({"ends": ends, "_all": F.concat(*(F.col(f"_own{k}") for k in kinds))})
-    own = written(found.select(*(c for c in rows.columns if c not in ("skips", "text", "tail")), "ends", "_all"))
-    return _first_of_raw(own, F.col("_all")).drop("_spans", "_all")
+    own = written(found.select(*(c for c in rows.columns if c not in ("skips", "text", "tail")), "ends", _by_raw(F.col("_all")).alias("_all")))
+    return own.withColumn("spans", _first_of_raw("_all")).drop("_all")
 
 
-def _first_of_raw(df: DataFrame, spans: Column) -> DataFrame:
-    """``df`` with ``spans`` in order of priority and position, of equal raw texts the first."""
+def _by_raw(spans: Column) -> Column:
+    """Spans with a title or no need of one, equal raw texts side by side: n log n however often a text cites."""
     spans = F.filter(spans, lambda s: (s["priority"] != ORDER.index("provision")) | s["statute_title"].isNotNull())
-    # equal raw texts side by side, the first of each kept: n log n however often a text cites
-    by_raw = F.array_sort(F.transform(spans, lambda s: F.struct(s["raw"].alias("raw"), s["priority"].alias("priority"), s["position"].alias("position"), s.alias("span"))))
-    rows = df.withColumn("_spans", by_raw)
-    first = F.filter("_spans", lambda s, i: (i == 0) | (F.get(F.col("_spans"), i - 1)["raw"] != s["raw"]))
-    return rows.withColumn("spans", F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["priority"].alias("priority"), s["position"].alias("position"), s["span"].alias("span")))), lambda s: s["span"]))
+    return F.array_sort(F.transform(spans, lambda s: F.struct(s["raw"].alias("raw"), s["priority"].alias("priority"), s["position"].alias("position"), s.alias("span"))))
+
+
+def _first_of_raw(by_raw: str) -> Column:
+    """Of a column made by ``_by_raw``, the first span of each raw text, in order of priority and position."""
+    first = F.filter(by_raw, lambda s, i: (i == 0) | (F.get(F.col(by_raw), i - 1)["raw"] != s["raw"]))
+    return F.transform(F.array_sort(F.transform(first, lambda s: F.struct(s["priority"].alias("priority"), s["position"].alias("position"), s["span"].alias("span")))), lambda s: s["span"])
 
 
 def _spans(df: DataFrame, text_col: str, max_spans: int | None) -> DataFrame:
     """As ``extract_citations``, with the priority of each span's kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = F.col("spans") if max_spans is None else F.slice("spans", 1, max_spans)
-    out = _first_of_raw(df, F.concat(*(_found(k, text) for k in ORDER))).select(*(c for c in df.columns if c != text_col), F.posexplode(found).alias("place", "span"))
+    rows = df.withColumn("_spans", _by_raw(F.concat(*(_found(k, text) for k in ORDER))))
+    # exploded as an expression: of a plain column Spark would infer a filter, push it below, and search again for each span
+    found = _first_of_raw("_spans") if max_spans is None else F.slice(_first_of_raw("_spans"), 1, max_spans)
+    out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(found).alias("place", "span"))
     return out.select(*(c for c in df.columns if c != text_col), "place", *(f"span.{c}" for c in _SPAN), "span.priority")
 
 

@@ -7,6 +7,8 @@ for ECMAScript's white space and ASCII word edge, and the end of text is ``\z``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +44,9 @@ CODE_TITLES = (
 #: Kinds in the order in which they are looked for; it breaks ties between references to one entity.
 ORDER = ("case", "constitution", "provision", "irr", "act")
 
+#: What a text has, in capitals, if it has a citation of a kind.
+NEEDED = {"case": ("G.R.",), "constitution": ("1987",), "provision": ("ART", "SEC"), "irr": ("IRR", "IMPLEMENTING")}
+
 
 def normalise_title(hint: Column) -> Column:
     """A title hint without ``the`` and closing punctuation; a known code's long name where the hint is its short one; null if nothing is left."""
@@ -51,6 +56,12 @@ def normalise_title(hint: Column) -> Column:
     return F.when(t.isin(*CODE_TITLES), t).when(long.isin(*CODE_TITLES), long).otherwise(t)
 
 
+def _worth(kind: str, text: Column) -> Column:
+    """``text``, or an empty one if it can't have a citation of a kind, so that patterns run over few texts."""
+    has = reduce(or_, (F.contains(F.upper(text), F.lit(w)) for w in NEEDED[kind])) if kind in NEEDED else text.rlike("(?i)" + PATTERNS[kind])
+    return F.when(has, text).otherwise("")
+
+
 def _found(kind: str, text: Column) -> Column:
     """Matches of a kind as an array of structs, in order of position."""
     pattern = F.lit("(?i)" + PATTERNS[kind])
@@ -97,7 +108,8 @@ def owned_spans(rows: DataFrame) -> DataFrame:
     """Rows with ``text``, ``tail`` and ``skips`` (a number for each kind) with ``spans``, the distinct citations that start in the text, and
     ``ends``: how far the last of each kind, or what was skipped, reaches over the line end behind the text."""
     kinds = range(len(ORDER))  # in steps, so that no search is repeated
-    found = rows.withColumns({f"_text{k}": _behind(F.get("skips", F.lit(k))) for k in kinds}).withColumn("_size", F.char_length("text"))
+    found = rows.withColumns({f"_whole{k}": _behind(F.get("skips", F.lit(k))) for k in kinds}).withColumn("_size", F.char_length("text"))
+    found = found.withColumns({f"_text{k}": _worth(kind, F.col(f"_whole{k}")) for k, kind in enumerate(ORDER)}).drop(*(f"_whole{k}" for k in kinds))
     found = found.withColumns({f"_found{k}": _found(kind, F.col(f"_text{k}")) for k, kind in enumerate(ORDER)})
     pieces = {f"_at{k}": F.when(F.size(f"_found{k}") > 0, F.transform(F.split(F.regexp_replace(f"_text{k}", F.lit("(?i)" + PATTERNS[kind]), F.lit(f"{_MARK}$0")), _MARK), F.char_length)) for k, kind in enumerate(ORDER)}
     found = written(found.withColumns(pieces).drop(*(f"_text{k}" for k in kinds)))  # else what follows would search again
@@ -131,8 +143,8 @@ def _first_of_raw(by_raw: str) -> Column:
 
 def _spans(df: DataFrame, text_col: str, max_spans: int | None) -> DataFrame:
     """As ``extract_citations``, with the priority of each span's kind."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.withColumn("_spans", _by_raw(F.concat(*(_found(k, text) for k in ORDER))))
+    texts = df.withColumns({f"_text{k}": _worth(kind, F.col(text_col)) for k, kind in enumerate(ORDER)})
+    rows = texts.withColumn("_spans", _by_raw(F.concat(*(_found(kind, F.col(f"_text{k}")) for k, kind in enumerate(ORDER)))))
     # exploded as an expression: of a plain column Spark would infer a filter, push it below, and search again for each span
     found = _first_of_raw("_spans") if max_spans is None else F.slice(_first_of_raw("_spans"), 1, max_spans)
     out = rows.select(*(c for c in df.columns if c != text_col), F.posexplode(found).alias("place", "span"))

@@ -75,6 +75,42 @@ def test_chunks(spark):
     assert [r["passage_no"] for r in rows.orderBy("passage_no").collect()] == list(range(1, len(parts) + 1))
 
 
+def plain_passages(body, most):
+    """Passages of a text by a loop over positions, without patterns."""
+    least, done, now, size = int(0.6 * most) + 1, [], [], 0
+    for p in body.split("\n\n"):
+        if not p.strip():
+            continue
+        if len(p) <= most:
+            if now and size + len(p) + 2 > most:
+                done.append(now)
+                now, size = [], 0
+            now.append(p)
+            size += len(p) + 2
+            continue
+        if now:
+            done.append(now)
+        while len(p) > most:
+            ends = [k + 1 for k in range(least, most + 1) if p[k : k + 2] == ". "]
+            blanks = [k for k in range(least, most + 1) if p[k : k + 1] == " "]
+            at = max(ends or blanks or [most])
+            done.append([p[:at].strip()])
+            p = p[at:].strip()
+        now, size = ([p], len(p)) if p else ([], 0)
+    return ["\n\n".join(x) for x in done + ([now] if now else [])]
+
+
+@pytest.mark.parametrize("name, broken, most", [("chunk_passages", True, segment.PASSAGE_CHARS), ("chunk_long_paragraphs", False, segment.ISSUANCE_CHARS)])
+def test_chunk_queries_equal_a_plain_loop(spark, sf_dir, name, broken, most):
+    from quern.plans.registry import QUERIES
+
+    body = F.replace("text", F.lit("\n"), F.lit("\n\n")) if broken else F.col("text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", text.normalise_whitespace(F.coalesce(body, F.lit(""))).alias("body")).collect()
+    wanted = sorted((r["doc_id"], k + 1, b) for r in docs for k, b in enumerate(plain_passages(r["body"], most)))
+    got = sorted((r["doc_id"], r["passage_no"], r["body"]) for r in QUERIES[name](spark, sf_dir).collect())
+    assert got == wanted and max(r[1] for r in got) > 1
+
+
 def test_tax_issuance(spark):
     body = "Republic\nBureau of Internal Revenue\n\nREVENUE MEMORANDUM CIRCULAR NO. 85-2023\n\nSUBJECT: On filing of returns\n\nDated 2023-08-01"
     row = segment.normalise_issuance(spark.createDataFrame([(body,), ("just words\nmore",)], "text string")).orderBy("agency", "reference_no").collect()

@@ -290,4 +290,6 @@ def prefix_trie(rows: DataFrame, *, sketch_cells: int = SKETCH_CELLS) -> DataFra
     asked = whole.filter("parent IS NOT NULL").unionByName(single.filter("parent IS NOT NULL")).drop("parent_conv_id")
     known = groups.select(F.col("digest").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     rest = whole.filter("parent IS NULL").unionByName(single.filter("parent IS NULL"))
-    return asked.join(known, "parent").unionByName(rest).drop("parent")
+    # a parent outside the groups was proved to be of one conversation, so its child, in doubt or not, is of the same one
+    asked = asked.join(known, "parent", "left").withColumn("parent_conv_id", F.coalesce("parent_conv_id", "conv_id"))
+    return asked.unionByName(rest).drop("parent")

@@ -68,6 +68,14 @@ def test_equals_a_plain_trie(spark, cells):
     assert found(trie.prefix_trie(trie.rooted_turns(df), sketch_cells=cells)) == plain(ordered(rows))
 
 
+def test_prefixes_in_doubt_below_proved_ones(spark):
+    """A sketch of middling size proves most prefixes and leaves children of proved ones in doubt: none is lost."""
+    rows = [(c, t, "u", f"t{t % 2}" if c % 3 == 0 else f"{c}-{t}") for c in range(150) for t in range(1 + c % 4)]
+    rows += [(c, 5 + t, "a", f"{c}:{t}") for c in range(0, 150, 3) for t in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert found(trie.prefix_trie(trie.rooted_turns(df), sketch_cells=1024)) == plain(ordered(rows))
+
+
 def test_rebuilt_conversations(spark, tmp_path):
     rng = random.Random(3)
     rows = [(c, t, rng.choice("ua"), rng.choice(["x", "yy"])) for c in [0, 1, 5, 99, 100, 103, 107, 250, 251, -5, -150] for t in range(rng.randint(1, 7))]

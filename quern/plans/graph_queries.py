@@ -31,7 +31,7 @@ _ORDER = ["l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"]
 
 
 def _references(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    return orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return orders.hint("merge").join(lines, F.col("l_orderkey") == F.col("o_orderkey")).select(  # neither side is small
         F.lit("case").alias("citing_kind"),
         F.col("o_custkey").alias("citing_id"),
         F.lit("statute").alias("cited_kind"),

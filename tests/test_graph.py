@@ -180,3 +180,15 @@ def test_texts_are_searched_in_one_pass(spark):
     assert got <= want and len(got) > 300 and {raw for _, raw in want - got} <= {raw for _, raw in want if raw.rstrip(" .,;").lower().endswith(("of", "of the"))}
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "regexp_extract_all" not in plan
+
+
+def test_look_ups_of_spans_are_not_broadcast(spark):
+    """Small files may hold many keys, so neither statutes nor cases nor titles go whole to the driver."""
+    from quern.operators import citations
+
+    spans = spark.createDataFrame([("1", "statute", "5", None, None), ("2", "case", None, None, "G.R. No. 1"), ("3", "statute", None, "Long title of", None)], "span_id string, kind string, act_number string, statute_title string, case_citation string")
+    statutes = spark.createDataFrame([(1, "Long title of things", "x", "5")], "id long, short_title string, official_title string, act_number string")
+    cases = spark.createDataFrame([(9, "G.R. No. 1")], "id long, citation string")
+    found = citations.resolve_spans(spans, statutes, cases)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["span_id"], r["statute_id"], r["case_id"]) for r in found.collect()) == [("1", 1, None), ("2", None, 9), ("3", 1, None)]

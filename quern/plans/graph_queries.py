@@ -69,11 +69,12 @@ def edges_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EDGES + " SELECT 'case' AS citing_kind, citing_id, 'statute' AS cited_kind, cited_id, cited_reference FROM edges")
 def edges_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same from a stream in three batches, the latest references first."""
+    """The same from a stream in three batches of many files, the latest files first."""
     folder = new_folder(spark)
     refs = _references(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
-    refs.repartition(3, "l_linenumber").write.parquet(f"{folder}/references")
-    stream = spark.readStream.schema(refs.schema).option("maxFilesPerTrigger", 1).option("latestFirst", True).parquet(f"{folder}/references")
+    files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 3)  # of a batch, so that no task gets a whole one
+    refs.repartition(3 * files, "l_orderkey", "l_linenumber").write.parquet(f"{folder}/references")
+    stream = spark.readStream.schema(refs.schema).option("maxFilesPerTrigger", files).option("latestFirst", True).parquet(f"{folder}/references")
     edges.keep_first_edges(stream, _ORDER, f"{folder}/edges", f"{folder}/state").awaitTermination()
     return edges.first_edges(spark, f"{folder}/edges")
 

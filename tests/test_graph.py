@@ -192,3 +192,19 @@ def test_look_ups_of_spans_are_not_broadcast(spark):
     found = citations.resolve_spans(spans, statutes, cases)
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["span_id"], r["statute_id"], r["case_id"]) for r in found.collect()) == [("1", 1, None), ("2", None, 9), ("3", 1, None)]
+
+
+def test_stream_batches_have_many_files(spark, sf_dir, tmp_path, monkeypatch):
+    """No task writes or reads a whole batch of references."""
+    from quern.plans import graph_queries
+
+    monkeypatch.setattr(graph_queries, "new_folder", lambda spark: str(tmp_path))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        streamed = graph_queries.edges_streamed(spark, sf_dir)
+        assert sorted(map(str, streamed.collect())) == sorted(map(str, graph_queries.edges_dedup(spark, sf_dir).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert len(list((tmp_path / "references").glob("*.parquet"))) == 12
+    assert len(list((tmp_path / "edges").glob("batch=*"))) == 3

@@ -150,3 +150,15 @@ def test_identifiers_follow_keys_over_ranges(spark):
     keys = sorted({(r["key"], r["more"]) for r in rows.collect()}, key=lambda k: (k[0], k[1] is not None, k[1]))
     assert {(r["key"], r["more"]): r["id"] for r in found.collect()} == {k: place + 1 for place, k in enumerate(keys)}
     assert found.count() == 500
+
+
+def test_pages_are_parsed_in_bounded_batches(spark):
+    """Pages stream through a task, whatever the rows of an Arrow batch hold; texts are as of single pages."""
+    from quern.sources import html
+
+    pages = [(k, f"<html><body><h1>T{k}</h1><article><p>{'word ' * (30 + k)}</p></article></body></html>") for k in range(50)] + [(50, None)]
+    found = html.extract_article(spark.createDataFrame(pages, "page_id int, html string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+    got = {r["page_id"]: (r["title"], r["text"]) for r in found.collect()}
+    assert got == {k: (t, x.strip()) for k, p in pages for t, x in [html.article(p)]}

@@ -206,8 +206,8 @@ def search_stored(corpus: Corpus, index: Index, query: str, *, filters: dict[str
     return page.withColumns({"confidence_level": level(F.col("confidence")), "snippet": snippet(body, query)}).orderBy(F.desc("bm25"), corpus.id_col)
 
 
-def answer_requests(index: Index, requests: DataFrame, passages: DataFrame | None = None, filters: dict[str, str] | None = None, id_col: str = "id") -> DataFrame:
-    """(request_id, id, bm25, rank): the best passages of each of ``requests`` (request_id, query, limit), best first.
+def answer_requests(index: Index, requests: DataFrame, passages: DataFrame | None = None, filters: dict[str, str] | None = None, id_col: str = "id", *, digits: int = DIGITS) -> DataFrame:
+    """(request_id, id, bm25, rank): the best passages of each of ``requests`` (request_id, query, limit), best first; scores equal in so many ``digits`` tie, and go by identifier.
 
     ``filters`` maps columns of ``requests`` to columns of ``passages``; where a request's value is null it doesn't filter. Requests
     without an identifier or without terms, or with a term that no passage has, have no rows. Requests of equal identifiers are answered as one of the longest query.
@@ -235,7 +235,7 @@ def answer_requests(index: Index, requests: DataFrame, passages: DataFrame | Non
         own = passages.select(passages[id_col].alias("id"), *(F.col(c).alias(f"_own_{c}") for c in filters.values()))
         fits = reduce(and_, (F.col(r).isNull() | (F.col(r) == F.col(f"_own_{c}")) for r, c in filters.items()))
         scores = scores.join(own, "id").filter(fits)
-    best = Window.partitionBy("request_id").orderBy(F.desc("bm25"), "id")
+    best = Window.partitionBy("request_id").orderBy(F.desc(F.round("bm25", digits)), "id")
     return scores.withColumn("rank", F.row_number().over(best)).filter((F.col("rank") <= MAX_LIMIT) & (F.col("rank") <= F.col("limit"))).select("request_id", "id", "bm25", "rank")
 
 

@@ -119,7 +119,7 @@ def search_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _documents(spark, sf_dir)
     items = ingest.numbered(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id")
     asked = items.select(F.col("item_id").alias("request_id"), F.array_join(F.slice(F.split("text", r"\s+"), 2, 2), " ").alias("query"), F.lit(10).alias("limit"), F.when(F.col("id") % 3 == 0, "src1").alias("its_source"))
-    found = search.answer_requests(_stored(corpus), asked, corpus.passages, {"its_source": "source"}, "doc_id")
+    found = search.answer_requests(_stored(corpus), asked, corpus.passages, {"its_source": "source"}, "doc_id", digits=9)
     return found.select("request_id", F.col("id").alias("doc_id"), F.round("bm25", 6).alias("bm25"), "rank")
 
 

@@ -157,3 +157,13 @@ def test_a_table_of_requests(spark, varied, tmp_path):
             rows = search.search(varied, q, filters={"source": only}, limit=limit, threshold=0).rows.select("id", "bm25").collect()
             want |= {name: [(r["id"], round(r["bm25"], 9)) for r in rows]} if rows else {}
     assert got == want
+
+
+def test_requests_rank_by_nine_digits(spark):
+    """Passages whose scores differ by less than the ranks' digits go by identifier."""
+    from quern.operators import search
+
+    postings = spark.createDataFrame([("x", 1, 7, 1, 5, 1.0), ("x", 1, 8, 1, 5, 1.0 + 2e-11), ("x", 1, 9, 1, 5, 1.1)], "term string, tier int, id long, tf long, length int, gain double")
+    index = search.Index(postings, spark.createDataFrame([("x", 1, 3, 1.1)], "term string, tier int, n long, gain double"), spark.createDataFrame([(100, 5.0)], "n_docs long, mean_length double"))
+    found = search.answer_requests(index, spark.createDataFrame([("r", "x", 10)], "request_id string, query string, limit int"), digits=9)
+    assert [r["id"] for r in found.orderBy("rank").collect()] == [9, 7, 8]

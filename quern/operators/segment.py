@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions.text import BLANK, EDGE, REST_OF_LINE, SPACE, ascii_upper, content_hash, first_iso_date, normalise_whitespace, trim_space
+from quern.functions.text import SPACES as _WHITE
 
 PASSAGE_CHARS, ISSUANCE_CHARS, TITLE_CHARS = 2000, 2500, 200
 
@@ -50,7 +51,6 @@ AGENCIES = (
     ("DOJ", rf"(?i)DEPARTMENT{SPACE}+OF{SPACE}+JUSTICE|{EDGE}DOJ{EDGE}"),
     ("DICT", rf"(?i)DEPARTMENT{SPACE}+OF{SPACE}+INFORMATION|{EDGE}DICT{EDGE}"),
 )
-_WHITE = "\t\n\x0b\x0c\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"  # as SPACE
 TAX_AGENCY, OTHER_AGENCY, OTHER_FORM, UNKNOWN = "BIR", "National Government Agency", "Other Issuance", "UNKNOWN"
 
 
@@ -65,9 +65,10 @@ def segment_provisions(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.concat(F.lit("\n"), F.coalesce(F.col(text_col), F.lit("")))
     text = F.regexp_replace(F.regexp_replace(text, rf"(?<!{BLANK}){BLANK}++(?=\n|\z)", ""), rf"(?<=\n){BLANK}+", "")
-    sections = F.split(text, rf"(?i)(?<=\n)(?={_NUMBERED}{REST_OF_LINE}(?:\n|\z))")
-    sections = F.slice(sections, 2, F.size(sections))  # the first holds what comes before any heading
-    sections = F.filter(sections, lambda s: ~s.rlike(rf"(?i)^{_NUMBERED}{SPACE}*\z"))
+    # no line starts with a tab now, so one marks headings; split() compiles its pattern anew for each row, so it gets a plain one
+    marked = F.regexp_replace(text, rf"(?i)\n(?={_NUMBERED}{REST_OF_LINE}(?:\n|\z))", "\n\t")
+    # the first holds what comes before any heading
+    sections = F.filter(F.split(marked, "\n\t"), lambda s, k: (k > 0) & ~s.rlike(rf"(?i)^{_NUMBERED}{SPACE}*\z"))
     others = [c for c in df.columns if c != text_col]
     number = ascii_upper(F.concat(*(F.regexp_extract("_section", rf"(?i)^{_NUMBERED}", k) for k in (1, 2))))
     heading = F.regexp_extract("_section", rf"(?i)^{_NUMBERED}({REST_OF_LINE})", 3)

@@ -171,3 +171,19 @@ def test_a_long_text_is_segmented(spark):
     text = "\n".join(f"Section {k}. Heading {k}\n  body of {k}" for k in range(20_000))
     rows = segment.segment_provisions(spark.createDataFrame([(1, text)], "id int, text string"))
     assert rows.filter("body = concat('Heading ', number, '\nbody of ', number)").count() == 20_000
+
+
+def test_texts_are_split_once_and_by_a_plain_pattern(spark):
+    """Spark compiles the pattern of a split anew for each row."""
+    body = "Section 1. a\n\tSection 2. b\tc\n \t \nSection 3. d\n\t\tArt. X\te\nx\tSection 4"
+    rows = segment.segment_provisions(spark.createDataFrame([(1, body)], "id int, text string"))
+    assert [(r["number"], r["body"]) for r in rows.orderBy("place").collect()] == [("1", "a"), ("2", "b\tc"), ("3", "d"), ("X", "e\nx\tSection 4")]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+
+
+def test_blanks_are_the_same_set_in_every_form(spark):
+    letters = spark.createDataFrame([(chr(k),) for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000], "c string")
+    of = lambda pattern: {r["c"] for r in letters.filter(F.col("c").rlike(pattern)).collect()}
+    assert of(text.SPACE) == set(text.SPACES) == {r["c"] for r in letters.filter(text.trim_space(F.col("c")) == "").collect()}
+    assert of(text.BLANK) == of(f"(?i){text.BLANK}") == set(text.SPACES) - {"\n"}

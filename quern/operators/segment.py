@@ -78,9 +78,9 @@ def segment_provisions(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def normalise_statute(df: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(texts with normalised text and content_hash, their sections)."""
+    """(texts with normalised text and content_hash, their sections, each with its text's content_hash)."""
     clean = df.withColumn(text_col, normalise_whitespace(F.col(text_col))).withColumn("content_hash", content_hash(F.col(text_col)))
-    return clean, segment_provisions(clean.drop("content_hash"), text_col)
+    return clean, segment_provisions(clean, text_col)
 
 
 def repeated_numbers(sections: DataFrame, *keys: str) -> DataFrame:

@@ -187,3 +187,16 @@ def test_blanks_are_the_same_set_in_every_form(spark):
     of = lambda pattern: {r["c"] for r in letters.filter(F.col("c").rlike(pattern)).collect()}
     assert of(text.SPACE) == set(text.SPACES) == {r["c"] for r in letters.filter(text.trim_space(F.col("c")) == "").collect()}
     assert of(text.BLANK) == of(f"(?i){text.BLANK}") == set(text.SPACES) - {"\n"}
+
+
+def test_sections_carry_their_texts_hash(spark):
+    texts = spark.createDataFrame([(1, "Section 1.  a\r\nSection 2. b"), (2, "no heading"), (3, None)], "id int, text string")
+    clean, sections = segment.normalise_statute(texts)
+    hashes = {r["id"]: r["content_hash"] for r in clean.collect()}
+    assert [(r["id"], r["number"], r["content_hash"]) for r in sections.orderBy("place").collect()] == [(1, "1", hashes[1]), (1, "2", hashes[1])]
+
+
+def test_normalised_statutes_builds_texts_once(spark, sf_dir):
+    from quern.plans.registry import QUERIES
+
+    assert QUERIES["normalised_statutes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Relation ") == 1

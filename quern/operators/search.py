@@ -17,13 +17,17 @@ are looked up by passage and never multiplied by requests.
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from math import log
 from operator import and_, or_
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quern.functions.tables import written
 from quern.functions.text import fold, fold_term, query_terms, term_count, terms_of, token_count, tokens
@@ -35,6 +39,8 @@ THRESHOLD, HIGH, MEDIUM = 0.4, 0.7, 0.4
 SNIPPET_BEFORE, SNIPPET_AFTER, ELLIPSIS = 80, 160, "…"
 #: Steps of a term's gains in the index, and postings of each term that the first look reads about.
 TIERS, PROBE_ROWS = 64, 4096
+#: Texts whose words are counted at once.
+_ROWS = 256
 #: Sums of gains are rounded to so many digits, as Spark adds them in any order and equal passages must tie.
 DIGITS = 12
 
@@ -91,12 +97,28 @@ def scored(corpus: Corpus, query: str) -> DataFrame:
     return matched.withColumn("bm25", score).drop("_length", "_n", "_mean", *names, *(f"_df{n}" for n in names))
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, words) to (id, term, length, tf), counted within each row, a few rows at a time."""
+    for batch in batches:
+        for part in (batch.slice(k, _ROWS) for k in range(0, batch.num_rows, _ROWS)):
+            words = part.column("words")
+            flat = pa.table({"row": pc.list_parent_indices(words), "term": pc.list_flatten(words)})
+            found = flat.group_by(["row", "term"], use_threads=False).aggregate([([], "count_all")]).combine_chunks()
+            row, length = found["row"], pc.list_value_length(words).cast(pa.int32())
+            out = pa.table({"id": part.column("id").take(row), "term": found["term"], "length": length.take(row), "tf": found["count_all"]})
+            yield from out.combine_chunks().to_batches()
+
+
 def postings(corpus: Corpus) -> DataFrame:
-    """(id, term, tf, length) of every passage's terms."""
+    """(id, term, tf, length) of every passage's terms. Passages are counted where they lie; only if identifiers repeat, their postings of equal length are added up by a shuffle."""
     p = corpus.passages
     words = F.flatten(F.array(*(tokens(p[c]) for c in corpus.indexed)))
-    rows = p.select(p[corpus.id_col].alias("id"), words.alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return rows.groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    rows = p.select(p[corpus.id_col].alias("id"), words.alias("words"))
+    schema = T.StructType([rows.schema["id"], T.StructField("term", T.StringType()), T.StructField("length", T.IntegerType()), T.StructField("tf", T.LongType())])
+    counts = rows.mapInArrow(_term_counts, schema)
+    if p.groupBy(p[corpus.id_col]).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        return counts
+    return counts.groupBy("id", "term", "length").agg(F.sum("tf").alias("tf"))
 
 
 def corpus_stats(corpus: Corpus) -> DataFrame:
@@ -116,10 +138,14 @@ class Index:
 
 def write_index(corpus: Corpus, path: str, partitions: int | None = None) -> Index:
     """Postings sorted by term and tier, so that a query reads only the row groups that it needs, with the tiers and the statistics beside them."""
-    corpus_stats(corpus).write.mode("overwrite").parquet(f"{path}/stats")
     spark = corpus.passages.sparkSession
+    counted = written(postings(corpus))  # texts are read and split once, and the ranges' sample reads this
+    total = counted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_tokens"))
+    stats = corpus.passages.agg(F.count("*").alias("n_docs")).crossJoin(F.broadcast(total))  # one row each
+    stats = stats.select("n_docs", (F.col("n_tokens") / F.nullif("n_docs", F.lit(0))).alias("mean_length"))
+    stats.write.mode("overwrite").parquet(f"{path}/stats")
     mean = spark.read.parquet(f"{path}/stats").select("mean_length")
-    rows = postings(corpus).crossJoin(F.broadcast(mean))  # one row
+    rows = counted.crossJoin(F.broadcast(mean))  # one row
     rows = rows.select("term", "id", "tf", "length", _gain(F.col("tf"), F.col("length"), F.col("mean_length")).alias("gain"))
     rows = rows.withColumn("tier", F.least(F.lit(TIERS - 1), F.floor(F.col("gain") * TIERS / (K1 + 1))).cast("int"))
     by = ["term", "tier", "id"]

@@ -167,3 +167,13 @@ def test_requests_rank_by_nine_digits(spark):
     index = search.Index(postings, spark.createDataFrame([("x", 1, 3, 1.1)], "term string, tier int, n long, gain double"), spark.createDataFrame([(100, 5.0)], "n_docs long, mean_length double"))
     found = search.answer_requests(index, spark.createDataFrame([("r", "x", 10)], "request_id string, query string, limit int"), digits=9)
     assert [r["id"] for r in found.orderBy("rank").collect()] == [9, 7, 8]
+
+
+def test_terms_are_counted_without_a_shuffle(spark):
+    rows = [(k, f"Word word w{k}") for k in range(600)] + [(1000, None), (1001, "..."), (None, "x x")]
+    plain = search.postings(search.Corpus(spark.createDataFrame(rows, "id long, body string"), "id", ("body",), "body"))
+    got = {(r["id"], r["term"], r["length"], r["tf"]) for r in plain.collect()}
+    assert got == {(k, "word", 3, 2) for k in range(600)} | {(k, f"w{k}", 3, 1) for k in range(600)} | {(None, "x", 2, 2)} and plain.count() == len(got)
+    assert "Aggregate" not in plain._jdf.queryExecution().optimizedPlan().toString()
+    again = search.postings(search.Corpus(spark.createDataFrame([("a", "x y"), ("a", "y z"), ("a", "x")], "id string, body string"), "id", ("body",), "body"))
+    assert {(r["id"], r["term"], r["length"], r["tf"]) for r in again.collect()} == {("a", "x", 2, 1), ("a", "y", 2, 2), ("a", "z", 2, 1), ("a", "x", 1, 1)}

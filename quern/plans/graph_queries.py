@@ -248,9 +248,10 @@ _PASSAGE_KEYS = 1024
 
 def _citing_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of each customer, in passages of bounded size, that cite the parts of their orders as acts, and the customer as a case."""
-    edges = _edges(spark, sf_dir).select("citing_id", "cited_id")
-    said = F.concat(F.lit("See Republic Act No. "), F.col("cited_id"), F.lit("."))
-    texts = edges.groupBy("citing_id", F.floor(F.col("cited_id") / _PASSAGE_KEYS).alias("passage")).agg(F.array_join(F.array_sort(F.collect_list(said)), "\n").alias("acts"))
+    keys = _references(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")).select("citing_id", F.floor(F.col("cited_id") / _PASSAGE_KEYS).alias("passage"), "cited_id")
+    keys = keys.repartition("citing_id", "passage").groupBy("citing_id", "passage").agg(F.collect_set("cited_id").alias("keys"))  # keys are shuffled once, by themselves
+    said = F.transform("keys", lambda k: F.concat(F.lit("See Republic Act No. "), k, F.lit(".")))
+    texts = keys.select("citing_id", "passage", F.array_join(F.array_sort(said), "\n").alias("acts"))
     return texts.select(F.lit("case").alias("citing_kind"), "citing_id", "passage", F.concat(F.lit("G.R. No. "), F.col("citing_id"), F.lit(" holds.\n"), F.col("acts")).alias("text"))
 
 

@@ -15,19 +15,26 @@ Files have digests in three levels: of each file, of groups of files, of each ta
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from quern.functions.tables import written
+from quern.functions.tables import releasing, written
 from quern.functions.text import content_hash, tokens
-from quern.operators.borders import border_spans
+from quern.operators.citations import listed_spans
 
 from .ingest import file_checksums
 
 BUCKETS, GROUPS = 64, 256
+#: So many moved keys are sent to all tasks at most.
+MOST_KEYS = 200_000
+#: Passages whose words are counted at once.
+_ROWS = 256
 _LIST = "version long, table string, bucket int, folder string"
 
 
@@ -68,14 +75,23 @@ class Snapshots:
         folders = [f"{folder}/{table}/bucket={b}" for b, folder in places.items() if b >= 0]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
-    def publish(self, tables: dict[str, DataFrame], touched: set[int] | None = None) -> int:
-        """Write the rows of ``tables`` (each with ``key``), as the contents of the buckets ``touched`` (None: of all), and publish them with the other buckets as they are."""
+    @staticmethod
+    def _within(table: DataFrame) -> list[str]:
+        return [c for c in table.columns if c != "key"][:1]  # a bucket with one large parent is spread too
+
+    def dealt(self, rows: DataFrame, *within: str) -> DataFrame:
+        """Rows in ranges of bucket, key and short columns ``within`` a key's rows; what is made of each where it lies can be published so."""
+        return rows.repartitionByRange(self.bucket(F.col("key")), "key", *within)
+
+    def publish(self, tables: dict[str, DataFrame], touched: set[int] | None = None, *, dealt: bool = False) -> int:
+        """Write the rows of ``tables`` (each with ``key``), as the contents of the buckets ``touched`` (None: of all), and publish them with the other buckets as they are.
+        If they are ``dealt`` already, they are written where they lie."""
         folder, old = f"{self.root}/data/{uuid.uuid4().hex}", self._places()
         rows = []
         for name, df in tables.items():
-            rest = [c for c in df.columns if c != "key"][:1]
-            dealt = df.withColumn("bucket", self.bucket(F.col("key"))).repartitionByRange("bucket", "key", *rest)  # a bucket with one large parent is spread too
-            dealt.write.partitionBy("bucket").parquet(f"{folder}/{name}")
+            df = df if dealt else self.dealt(df, *self._within(df))
+            with releasing(self.spark):
+                df.withColumn("bucket", self.bucket(F.col("key"))).write.partitionBy("bucket").parquet(f"{folder}/{name}")
             held = {r["bucket"] for r in self.spark.read.schema("bucket int").parquet(f"{folder}/{name}").distinct().collect()}
             kept = {b: f for b, f in old.get(name, {}).items() if touched is not None and b not in touched and b >= 0}
             rows += [(name, b, f) for b, f in kept.items()] + [(name, b, folder) for b in held] or [(name, -1, folder)]
@@ -85,15 +101,19 @@ class Snapshots:
         return version
 
     def upsert(self, difference: DataFrame, fresh: dict[str, DataFrame], schemas: dict[str, str]) -> int:
-        """Replace what ``difference`` (key, status) says: rows of new and changed parents come from ``fresh``, whose tables hold those parents' rows, those of changed and gone parents go."""
-        moved = written(difference.filter("status <> 'same'").select("key", "status"))
+        """Replace what ``difference`` (key, status) says: rows of new and changed parents come from ``fresh``, whose tables hold those parents' rows and no others, dealt by bucket; those of changed and gone parents go.
+        Up to MOST_KEYS keys meet the old rows where these lie; more keys are joined, and the rows that stay dealt again, a table at a time."""
+        moved = written(difference.filter("status <> 'same'").select("key", "status"), release=True)
+        keys = moved.select("key")
+        few = keys.count() <= MOST_KEYS
         touched = {r["bucket"] for r in moved.select(self.bucket(F.col("key")).alias("bucket")).distinct().collect()}
         tables = {}
         for name, schema in schemas.items():
             old = self.read(name, schema)
             old = old.filter(self.bucket(F.col("key")).isin(*touched)) if touched else old.filter(F.lit(False))
-            tables[name] = old.join(moved.select("key"), "key", "left_anti").unionByName(fresh[name].join(moved.filter("status <> 'gone'").select("key"), "key", "left_semi"))
-        return self.publish(tables, touched)
+            stay = old.join(F.broadcast(keys), "key", "left_anti") if few else self.dealt(old.join(keys.hint("merge"), "key", "left_anti"), *self._within(old))  # a stated bound
+            tables[name] = stay.unionByName(fresh[name])
+        return self.publish(tables, touched, dealt=True)
 
 
 def difference(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -111,29 +131,39 @@ SCHEMAS = {
 }
 
 
-def corpus_tables(crawl: DataFrame, only: DataFrame | None = None) -> dict[str, DataFrame]:
-    """The four tables of a crawl (key, text), or of the parents ``only`` (key): the lines of a text are its passages."""
-    parents = crawl.select("key", content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    rows = crawl if only is None else crawl.join(only.select("key"), "key", "left_semi")
-    passages = rows.select("key", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("passage", "text"))
-    words = passages.select("key", "passage", F.explode(tokens(F.col("text"))).alias("term"))
-    cited = border_spans(passages.select(F.lit("case").alias("citing_kind"), F.col("key").alias("citing_id"), F.col("passage").cast("long").alias("passage"), "text"))
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, passage, words) to (key, passage, term, tf), counted within each row, a few rows at a time."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, _ROWS):
+            batch = whole.slice(at, _ROWS)
+            counts = [Counter(words) for words in batch.column("words").to_pylist()]
+            own = pa.array([k for k, c in enumerate(counts) for _ in c], pa.int32())
+            terms, tfs = pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(own), batch.column("passage").take(own), terms, tfs], names=["key", "passage", "term", "tf"])
+
+
+def corpus_tables(crawl: DataFrame) -> dict[str, DataFrame]:
+    """The four tables of a crawl (key, text; each key once): the lines of a text are its passages. All are made of each row where it lies; nothing is shuffled."""
+    rows = crawl.select("key", F.coalesce("text", F.lit("")).alias("text"))
+    lines = rows.select("key", F.split("text", "\n").alias("texts"))
+    passages = lines.select("key", F.posexplode("texts").alias("passage", "text"))
+    words = passages.select("key", "passage", tokens(F.col("text")).alias("words"))
     columns = [c.split()[0] for c in SCHEMAS["spans"].split(", ")]
-    first = F.min(F.struct("passage", *columns[3:])).alias("s")
-    spans = cited.withColumnRenamed("citing_id", "key").groupBy("key", "raw").agg(first).select("key", "raw", "s.*")
-    return {"parents": parents if only is None else parents.join(only.select("key"), "key", "left_semi"), "passages": passages, "postings": words.groupBy("key", "passage", "term").agg(F.count("*").alias("tf")), "spans": spans}
+    return {"parents": rows.select("key", content_hash(F.col("text")).alias("content_hash")), "passages": passages, "postings": words.mapInArrow(_term_counts, SCHEMAS["postings"]), "spans": listed_spans(lines).select(*columns)}
 
 
 def ingest_crawl(store: Snapshots, crawl: DataFrame) -> DataFrame:
-    """Bring the published snapshot to the state of ``crawl`` (key, text); returns (key, status). Texts of unchanged parents are hashed, and not read again."""
-    crawl = crawl.dropDuplicates(["key"])
+    """Bring the published snapshot to the state of ``crawl`` (key, text; of a key's texts the least counts); returns (key, status). Texts of unchanged parents are hashed,
+    and not read again. Those of the others are dealt by bucket once, and their tables made where they lie."""
+    crawl = crawl.groupBy("key").agg(F.min("text").alias("text"))  # the same whenever it is read
     hashes = crawl.select("key", content_hash(F.coalesce("text", F.lit(""))).alias("content_hash"))
-    found = written(difference(store.read("parents", SCHEMAS["parents"]), hashes))
-    moved = found.filter("status IN ('new', 'changed')")
+    found = written(difference(store.read("parents", SCHEMAS["parents"]), hashes), release=True)
+    moved = found.filter("status IN ('new', 'changed')").select("key")
     if store.version() is None:
-        store.publish(corpus_tables(crawl))
+        store.publish(corpus_tables(written(store.dealt(crawl), release=True)), dealt=True)
     elif not found.filter("status <> 'same'").isEmpty():
-        store.upsert(found, corpus_tables(crawl, moved), SCHEMAS)
+        texts = written(store.dealt(crawl.join(moved.hint("merge"), "key", "left_semi")), release=True)
+        store.upsert(found, corpus_tables(texts), SCHEMAS)
     return found
 
 

@@ -91,7 +91,7 @@ class Snapshots:
         for name, df in tables.items():
             df = df if dealt else self.dealt(df, *self._within(df))
             with releasing(self.spark):
-                df.withColumn("bucket", self.bucket(F.col("key"))).write.partitionBy("bucket").parquet(f"{folder}/{name}")
+                df.withColumn("bucket", self.bucket(F.col("key"))).write.option("compression", "zstd").partitionBy("bucket").parquet(f"{folder}/{name}")
             held = {r["bucket"] for r in self.spark.read.schema("bucket int").parquet(f"{folder}/{name}").distinct().collect()}
             kept = {b: f for b, f in old.get(name, {}).items() if touched is not None and b not in touched and b >= 0}
             rows += [(name, b, f) for b, f in kept.items()] + [(name, b, folder) for b in held] or [(name, -1, folder)]
